@@ -36,10 +36,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by fingerprint the one with the smallest id stays."""
-    found = simhash.near_duplicates(docs, shingle=5)
-    kept = found.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("k_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["k_id"]), "left_semi").select(*docs.columns)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the one with the smallest id stays."""
+    copies = simhash.near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("c_id"))
+    return docs.join(copies, docs["doc_id"] == copies["c_id"], "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

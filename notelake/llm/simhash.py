@@ -73,26 +73,37 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def links(fingerprints: DataFrame, fp: str = "fp", max_distance: int = 3) -> DataFrame:
+def _segments(fp: Column, n: int) -> list[tuple[Column, list[int]]]:
+    """The key of each of ``n`` segments, its number above its bits, and the widths' single-bit flips."""
+    widths = [64 // n + (i < 64 % n) for i in range(n)]
+    out, low = [], 0
+    for i, width in enumerate(widths):
+        bits = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
+        out.append((bits.bitwiseOR(F.lit(i << 33)), [0, *(1 << k for k in range(width))]))
+        low += width
+    return out
+
+
+def links(fingerprints: DataFrame, fp: str = "fp", max_distance: int = 3, segments: int = 2) -> DataFrame:
     """(a, b) for each pair of distinct fingerprints, a < b, at most ``max_distance`` bits apart.
 
-    ``max_distance`` may be up to 3: beyond it one flipped bit a segment is not enough.
+    One flipped bit a segment must be enough, so ``max_distance`` is less than twice ``segments``.
+    More segments have shorter, less selective keys.
     """
-    if not 0 <= max_distance <= 3:
-        raise ValueError("max_distance must lie between 0 and 3")
-    low = F.lit(0xFFFFFFFF)
-    # the segment's number stands above its 32 bits, so one column holds the whole key
-    high_key = F.shiftrightunsigned(F.col(fp), 32)
-    low_key = F.col(fp).bitwiseAND(low).bitwiseOR(F.lit(1 << 32))
-    segments = F.explode(F.array(high_key, low_key))
+    if not 0 <= max_distance < 2 * segments:
+        raise ValueError("max_distance must be less than twice the segments")
     distinct = fingerprints.select(fp).where(F.col(fp).isNotNull()).distinct()
-    entries = distinct.select(F.col(fp).alias("b"), segments.alias("key"))
-    ball = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-    probes = distinct.select(F.col(fp).alias("a"), segments.alias("segment")).select(
-        "a", F.explode(F.transform(ball, lambda flip: F.col("segment").bitwiseXOR(flip))).alias("key")
-    )
+    cut = _segments(F.col(fp), segments)
+    entries = distinct.select(F.col(fp).alias("b"), F.explode(F.array(*[key for key, _ in cut])).alias("key"))
+    balls = F.concat(*[_ball(key, flips) for key, flips in cut])
+    probes = distinct.select(F.col(fp).alias("a"), F.explode(balls).alias("key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
-    return probes.join(entries, (probes["key"] == entries["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
+    matches = probes.join(entries, (probes["key"] == entries["key"]) & (F.col("a") < F.col("b")) & near)
+    return matches.select("a", "b")
+
+
+def _ball(key: Column, flips: list[int]) -> Column:
+    return F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: key.bitwiseXOR(f))
 
 
 def near_duplicates(
@@ -111,3 +122,48 @@ def near_duplicates(
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = written(rooted.join(least, "root").select(F.col("fp").alias("group_fp"), "component_id"), "groups")
     return prints.join(groups, prints["fp"] == groups["group_fp"]).select(id_col, "fp", "component_id")
+
+
+def shingle_set(text: Column, size: int = 5) -> Column:
+    """Distinct shingles of a text as 64-bit hashes."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t or "", size)).view(np.int64) for t in texts])
+
+    return shingles(text)
+
+
+def near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    similarity: float = 0.8,
+    candidate_shingle: int = 2,
+    max_distance: int = 5,
+    segments: int = 3,
+) -> DataFrame:
+    """(id, component_id) of documents with a near copy: word shingles with a Jaccard similarity of ``similarity`` or more.
+
+    Candidates are the links of fingerprints over runs of ``candidate_shingle`` words, which an edit
+    moves less than longer shingles; each is verified by the exact similarity of the two sets of
+    ``shingle`` words. Documents with equal fingerprints are each held against the one with the
+    smallest id. Ids are taken as unique; rows with a null id and texts without words take no part.
+    """
+    rows = docs.select(docs[id_col].alias("id"), whole_text(docs, text_col).alias("text")).where("id is not null")
+    prints = written(rows.select("id", fingerprint(F.col("text"), candidate_shingle).alias("fp")).where("fp <> 0"), "prints")
+    first = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "first")
+    near = links(prints, "fp", max_distance, segments)
+    of_a, of_b = (first.select(F.col("fp").alias(f"fp_{c}"), F.col("first").alias(c)) for c in ("x", "y"))
+    apart = near.join(of_a, near["a"] == of_a["fp_x"]).join(of_b, near["b"] == of_b["fp_y"]).select("x", "y")
+    alike = prints.join(first, "fp").where("id <> first").select(F.col("first").alias("x"), F.col("id").alias("y"))
+    pairs = written(apart.unionByName(alike), "pairs")
+    involved = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    sets = written(rows.join(involved, "id").select("id", shingle_set(F.col("text"), shingle).alias("s")), "sets")
+    of_x, of_y = (sets.select(F.col("id").alias(f"id_{c}"), F.col("s").alias(f"s_{c}")) for c in ("x", "y"))
+    both = pairs.join(of_x, pairs["x"] == of_x["id_x"]).join(of_y, pairs["y"] == of_y["id_y"])
+    shared = F.size(F.array_intersect("s_x", "s_y"))
+    union = F.size("s_x") + F.size("s_y") - shared
+    verified = both.where(shared >= F.lit(similarity) * union).select("x", "y")
+    return connected_components(verified, "x", "y").select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
