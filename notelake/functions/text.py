@@ -12,10 +12,6 @@ STOPWORDS = (
 ).split()
 
 
-def lit_list(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def tokens(text: Column) -> Column:
     """Runs of a-z and 0-9 of the lower-cased text, repeats included."""
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notelake.functions.text import tokens
 
@@ -24,9 +27,17 @@ def hash_weights(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def hash_vectors(docs: DataFrame, id_col: str, text_col: str, out: str = "embedding") -> DataFrame:
     """(id, embedding) with ``BUCKETS`` doubles; texts without tokens are left out."""
-    pairs = F.map_from_entries(F.collect_list(F.struct("bucket", "weight")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)))
-    return hash_weights(docs, id_col, text_col).groupBy(id_col).agg(pairs.alias("m")).select(id_col, dense.alias(out))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def dense(buckets: pd.Series, weights: pd.Series) -> pd.Series:
+        m = np.zeros((len(buckets), BUCKETS))
+        for row, b, w in zip(m, buckets, weights):
+            row[b] = w
+        return pd.Series(list(m))
+
+    pairs = F.collect_list(F.struct("bucket", "weight")).alias("p")
+    held = hash_weights(docs, id_col, text_col).groupBy(id_col).agg(pairs)
+    return held.select(id_col, dense("p.bucket", "p.weight").alias(out))
 
 
 def mean_of_rows(keyed: DataFrame, rows: DataFrame, id_col: str, key_col: str, vector_col: str) -> DataFrame:

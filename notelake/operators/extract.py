@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notelake.functions.text import content_id, lit_list, normal, tokens, without_code
+from notelake.functions.text import content_id, normal, tokens, without_code
 
 LINK = r"\[\[([^\]\[|#^]+)(?:[#^][^\]\[|]*)?(?:\|([^\]\[]+))?\]\]"
 HEAD = r"(?s)\A---\n(.*?)\n---\n"
@@ -329,5 +329,3 @@ def token_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf)."""
     return docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "lit_list")]

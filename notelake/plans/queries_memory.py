@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notelake.functions.text import content_id
-from notelake.operators import extract as X
 from notelake.operators import memory as M
 from notelake.operators import search as R
 from notelake.operators.embed import hash_vectors
@@ -16,7 +15,6 @@ from notelake.plans.queries_search import _HASHED
 from notelake.plans.registry import query, table
 
 _LIVE = f"superseded_by IS NULL AND NOT coalesce(expires <= TIMESTAMP '{NOW}', false)"
-_ASK = "'which customer ' || (o % 200)::VARCHAR || ' prefers urgent or low'"
 _SCOPE = "cust % 100 = 7"
 
 
@@ -304,5 +302,3 @@ def f17_vector_fact_search(spark, sf):
     hits = R.dense(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding"))
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), "id"))).where("rank <= 5")
 
-
-_ = X

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notelake.functions.text import content_words, jaccard, tokens
+from notelake.functions.text import jaccard, tokens
 from notelake.operators import extract as X
 from notelake.operators import search as R
 from notelake.operators.embed import hash_vectors
@@ -405,7 +405,3 @@ def f18_all_words_recall(spark, sf):
     p = R.terms(table(spark, sf, "documents"), ["doc_id"], "text").select("doc_id", "term")
     return p.join(asked, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("n")).where("n = 2").select("qid", "doc_id")
 
-
-def content_overlap(a, b):
-    """Jaccard of two statements' content words."""
-    return jaccard(content_words(a), content_words(b))

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from notelake.operators import access_log as A
-from notelake.operators import extract as X
 from notelake.operators import sync as Y
 from notelake.plans.extraction import SLUG
 from notelake.plans.inputs import FACTS, NOTES, memory, notes
-from notelake.plans.queries_links import NOW, _now
 from notelake.plans.registry import query, table
 from notelake.sources.notes import document_hash
 
@@ -307,5 +305,3 @@ def i11_windowed_metrics(spark, sf):
     out = w.agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value_sum"), F.count_if(F.col("value") <= 25).alias("under_25"))
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "allowed", "n", "value_sum", "under_25")
 
-
-_ = (X, NOW, _now)
