@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from notelake.llm.common import text_batches
+
 #: Unicode White_Space, spelled out because Python's own class has four characters more.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: Characters for which the ranges in _NARROW are exact: up to U+024F without superscripts and fractions.
@@ -49,7 +51,7 @@ _NARROW = re.compile(_splitter(r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "
 _WIDE = regex.compile(_splitter(r"\p{L}", r"\p{N}"))
 
 #: Encoded pieces that one worker remembers, and the length from which a piece is not remembered.
-MAX_REMEMBERED, MAX_REMEMBERED_CHARS = 500_000, 48
+MAX_REMEMBERED, MAX_REMEMBERED_CHARS = 200_000, 32
 
 
 def pieces(text: str) -> list[str]:
@@ -158,7 +160,8 @@ def encode(text: Column, ranks_path: str) -> Column:
         pack = _encoder(ranks_path).pack
         return pd.Series([pack(t) for t in texts], dtype=object)
 
-    return bpe_encode(text)
+    # else the optimizer may run it once for each use of its result
+    return bpe_encode.asNondeterministic()(text)
 
 
 def decode(ids: Column, ranks_path: str) -> Column:
@@ -174,6 +177,7 @@ def decode(ids: Column, ranks_path: str) -> Column:
 
 def encode_texts(df: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with the packed ids of ``text_col`` in ``ids_col``."""
+    text_batches(df.sparkSession)
     return df.withColumn(ids_col, encode(F.coalesce(df[text_col].cast("string"), F.lit("")), ranks_path))
 
 

@@ -47,6 +47,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in one Arrow batch of texts at most.
+BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bounds the rows per Arrow batch for this session, so that a Python worker holds few whole texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def whole_text(df: DataFrame, text_col: str = "text") -> Column:
     """The text column as a string, null as empty."""
     return F.coalesce(df[text_col].cast(T.StringType()), F.lit(""))
