@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from notelake.llm.common import located, spaced, whole_text, written
 
 #: Most copies of a document, the weights that sources take in turn, rows per block, blocks combined at a time.
-MAX_COPIES, WEIGHTS, BLOCK_ROWS, FAN_IN = 3, (1.0, 2.0, 3.0), 20_000, 16
+MAX_COPIES, WEIGHTS, BLOCK_ROWS, FAN_IN = 3, (1.0, 2.0, 3.0), 2_000, 16
 
 
 def word_count(text):
