@@ -18,7 +18,8 @@ from notelake.llm.queries import ranks_path
 def _rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """``docs`` joined with ``chosen`` by locator, without the locator."""
     at = chosen.withColumnsRenamed({"__file": "c_file", "__row": "c_row"})
-    rows = located(docs).join(at, (F.col("__file") == F.col("c_file")) & (F.col("__row") == F.col("c_row")))
+    # decisions grow with the documents, so they are never broadcast
+    rows = located(docs).join(at.hint("merge"), (F.col("__file") == F.col("c_file")) & (F.col("__row") == F.col("c_row")))
     return rows.drop("__file", "__row", "c_file", "c_row")
 
 
@@ -38,7 +39,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the one with the smallest id stays."""
     copies = simhash.near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("c_id"))
-    return docs.join(copies, docs["doc_id"] == copies["c_id"], "left_anti").select(*docs.columns)
+    return docs.join(copies.hint("merge"), docs["doc_id"] == copies["c_id"], "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelake.llm.common import whole_text, written
+from notelake.llm.common import text_batches, whole_text, written
 from notelake.llm.components import connected_components
 
 SEED = 42
@@ -73,33 +73,40 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _segments(fp: Column, n: int) -> list[tuple[Column, list[int]]]:
-    """The key of each of ``n`` segments, its number above its bits, and the widths' single-bit flips."""
+def _segments(n: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of each of ``n`` segments of a fingerprint."""
     widths = [64 // n + (i < 64 % n) for i in range(n)]
-    out, low = [], 0
-    for i, width in enumerate(widths):
-        bits = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
-        out.append((bits.bitwiseOR(F.lit(i << 33)), [0, *(1 << k for k in range(width))]))
-        low += width
-    return out
+    return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
+
+
+#: A key holds a segment's bits, and the segment's number from this bit on.
+NUMBER_AT = 33
 
 
 def links(fingerprints: DataFrame, fp: str = "fp", max_distance: int = 3, segments: int = 2) -> DataFrame:
-    """(a, b) for each pair of distinct fingerprints, a < b, at most ``max_distance`` bits apart.
+    """(a, b), once, for each pair of distinct fingerprints, a < b, at most ``max_distance`` bits apart.
 
     One flipped bit a segment must be enough, so ``max_distance`` is less than twice ``segments``.
-    More segments have shorter, less selective keys.
+    More segments have shorter, less selective keys. A pair that could meet in several segments
+    leaves the join in the first of them alone.
     """
-    if not 0 <= max_distance < 2 * segments:
-        raise ValueError("max_distance must be less than twice the segments")
+    if segments < 2 or not 0 <= max_distance < 2 * segments:
+        raise ValueError("there must be two segments or more, and max_distance less than twice as many")
     distinct = fingerprints.select(fp).where(F.col(fp).isNotNull()).distinct()
-    cut = _segments(F.col(fp), segments)
-    entries = distinct.select(F.col(fp).alias("b"), F.explode(F.array(*[key for key, _ in cut])).alias("key"))
-    balls = F.concat(*[_ball(key, flips) for key, flips in cut])
+    cut = _segments(segments)
+    keys = [
+        F.shiftrightunsigned(F.col(fp), low).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(i << NUMBER_AT))
+        for i, (low, width) in enumerate(cut)
+    ]
+    entries = distinct.select(F.col(fp).alias("b"), F.explode(F.array(*keys)).alias("key"))
+    balls = F.concat(*[_ball(key, [0, *(1 << k for k in range(width))]) for key, (_, width) in zip(keys, cut)])
     probes = distinct.select(F.col(fp).alias("a"), F.explode(balls).alias("key"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
-    matches = probes.join(entries, (probes["key"] == entries["key"]) & (F.col("a") < F.col("b")) & near)
-    return matches.select("a", "b")
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    fits = (probes["key"] == entries["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_distance)
+    for i, (low, width) in enumerate(cut[:-1]):
+        apart = F.bit_count(F.shiftrightunsigned(differ, low).bitwiseAND(F.lit((1 << width) - 1))) > 1
+        fits = fits & ((F.shiftright(probes["key"], NUMBER_AT) <= i) | apart)
+    return probes.join(entries, fits).select("a", "b")
 
 
 def _ball(key: Column, flips: list[int]) -> Column:
@@ -110,6 +117,7 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_distance: int = 3
 ) -> DataFrame:
     """(id, fp, component_id), a row per document; component_id is the smallest id reachable by links."""
+    text_batches(docs.sparkSession)
     prints = written(
         docs.select(docs[id_col].alias(id_col), fingerprint(whole_text(docs, text_col), shingle).alias("fp")), "prints"
     )
@@ -151,6 +159,7 @@ def near_copies(
     ``shingle`` words. Documents with equal fingerprints are each held against the one with the
     smallest id. Ids are taken as unique; rows with a null id and texts without words take no part.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), whole_text(docs, text_col).alias("text")).where("id is not null")
     prints = written(rows.select("id", fingerprint(F.col("text"), candidate_shingle).alias("fp")).where("fp <> 0"), "prints")
     first = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "first")
@@ -159,10 +168,10 @@ def near_copies(
     apart = near.join(of_a, near["a"] == of_a["fp_x"]).join(of_b, near["b"] == of_b["fp_y"]).select("x", "y")
     alike = prints.join(first, "fp").where("id <> first").select(F.col("first").alias("x"), F.col("id").alias("y"))
     pairs = written(apart.unionByName(alike), "pairs")
-    involved = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    sets = written(rows.join(involved, "id").select("id", shingle_set(F.col("text"), shingle).alias("s")), "sets")
+    involved = pairs.select(F.col("x").alias("id")).distinct().unionByName(pairs.select(F.col("y").alias("id")).distinct()).distinct()
+    sets = written(rows.join(involved.hint("merge"), "id").select("id", shingle_set(F.col("text"), shingle).alias("s")), "sets")
     of_x, of_y = (sets.select(F.col("id").alias(f"id_{c}"), F.col("s").alias(f"s_{c}")) for c in ("x", "y"))
-    both = pairs.join(of_x, pairs["x"] == of_x["id_x"]).join(of_y, pairs["y"] == of_y["id_y"])
+    both = pairs.join(of_x.hint("merge"), pairs["x"] == of_x["id_x"]).join(of_y.hint("merge"), pairs["y"] == of_y["id_y"])
     shared = F.size(F.array_intersect("s_x", "s_y"))
     union = F.size("s_x") + F.size("s_y") - shared
     verified = both.where(shared >= F.lit(similarity) * union).select("x", "y")
