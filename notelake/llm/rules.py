@@ -112,10 +112,9 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
-def order_rules(statistics: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by estimated rejection per cost, from at most ``sample_rows`` rows; reads a few partitions only."""
-    sample = statistics.limit(sample_rows)
-    figures = sample.select(
+def order_rules(statistics: DataFrame, rules: Sequence[Rule] = RULES) -> list[Rule]:
+    """The rules by estimated rejection per cost, over the rows of ``statistics``, a bounded sample."""
+    figures = statistics.select(
         *[F.avg(F.expr(f"cast(({r.reject}) as int)")).alias(f"reject_{i}") for i, r in enumerate(rules)],
         *[F.avg(F.expr(r.work).cast("double")).alias(f"cost_{i}") for i, r in enumerate(rules)],
     ).first()
@@ -127,6 +126,14 @@ def order_rules(statistics: DataFrame, rules: Sequence[Rule] = RULES, sample_row
     return [rules[i] for i in sorted(range(len(rules)), key=gain)]
 
 
+def bounded_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, files: int = 2) -> DataFrame:
+    """At most ``rows`` rows, from the first ``files`` files where there are more, so that the estimate's
+    cost does not grow with the table."""
+    paths = docs.inputFiles()
+    few = docs.sparkSession.read.schema(docs.schema).parquet(*sorted(paths)[:files]) if len(paths) > files else docs
+    return few.limit(rows)
+
+
 def cascade(rules: Sequence[Rule]) -> Column:
     """Name of the first rule that rejects, else null."""
     verdict = F.when(F.lit(False), F.lit(None).cast("string"))
@@ -140,7 +147,7 @@ def judge(
 ) -> DataFrame:
     """id, text, base statistics, base_failed, rejected_by (null when kept) and kept."""
     statistics = base_statistics(docs, id_col, text_col)
-    ordered = order_rules(base_statistics(docs.limit(SAMPLE_ROWS), id_col, text_col), rules)
+    ordered = order_rules(base_statistics(bounded_sample(docs), id_col, text_col), rules)
     failed = F.expr(BASE_FAILED)
     return statistics.withColumn("base_failed", failed).withColumn(
         "rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(ordered))
