@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from notelake.llm.common import text_batches, whole_text, written
 from notelake.llm.components import connected_components
@@ -143,36 +144,81 @@ def shingle_set(text: Column, size: int = 5) -> Column:
 
 
 def near_copies(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = 5,
-    similarity: float = 0.8,
-    candidate_shingle: int = 2,
-    max_distance: int = 5,
-    segments: int = 3,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """(id, component_id) of documents with a near copy: word shingles with a Jaccard similarity of ``similarity`` or more.
 
-    Candidates are the links of fingerprints over runs of ``candidate_shingle`` words, which an edit
-    moves less than longer shingles; each is verified by the exact similarity of the two sets of
-    ``shingle`` words. Documents with equal fingerprints are each held against the one with the
-    smallest id. Ids are taken as unique; rows with a null id and texts without words take no part.
+    The join is complete: every pair that reaches the similarity ends in one component. Two such sets
+    share ``similarity`` of either, so with shingles in order of rarity their prefixes meet in a shingle;
+    shingles of one document come first in that order and meet nothing. Equal sets form a class, of
+    which one takes part. Ids are taken as unique; rows with a null id and texts without words take no part.
     """
     text_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), whole_text(docs, text_col).alias("text")).where("id is not null")
-    prints = written(rows.select("id", fingerprint(F.col("text"), candidate_shingle).alias("fp")).where("fp <> 0"), "prints")
-    first = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "first")
-    near = links(prints, "fp", max_distance, segments)
-    of_a, of_b = (first.select(F.col("fp").alias(f"fp_{c}"), F.col("first").alias(c)) for c in ("x", "y"))
-    apart = near.join(of_a, near["a"] == of_a["fp_x"]).join(of_b, near["b"] == of_b["fp_y"]).select("x", "y")
-    alike = prints.join(first, "fp").where("id <> first").select(F.col("first").alias("x"), F.col("id").alias("y"))
-    pairs = written(apart.unionByName(alike), "pairs")
-    involved = pairs.select(F.col("x").alias("id")).distinct().unionByName(pairs.select(F.col("y").alias("id")).distinct()).distinct()
-    sets = written(rows.join(involved.hint("merge"), "id").select("id", shingle_set(F.col("text"), shingle).alias("s")), "sets")
+    keys = written(_rare_keys(rows, shingle, similarity), "keys")
+    met = _meeting(keys, "id").select("id").distinct()
+    sets = written(rows.join(met.hint("merge"), "id").select("id", shingle_set(F.col("text"), shingle).alias("s")), "sets")
+    mark = [F.xxhash64("s").alias("m1"), F.hash("s").alias("m2"), F.size("s").alias("n")]
+    marks = sets.select("id", *mark)
+    classes = marks.groupBy("m1", "m2", "n").agg(F.min("id").alias("class"))
+    members = written(marks.join(classes.hint("merge"), ["m1", "m2", "n"]).select("id", "class", "n"), "members")
+    equal = members.where("id <> class").select(F.col("class").alias("x"), F.col("id").alias("y"))
+    firsts = members.where("id = class").select("id", "n")
+    buckets = written(_meeting(keys.join(firsts.hint("merge"), "id"), "id"), "buckets")
+    linked = written(_alike(_star_pairs(buckets, similarity), sets, similarity).unionByName(equal), "linked")
+    groups = connected_components(linked, "x", "y")
+    rest = _alike(_pairs_between(buckets, groups, similarity), sets, similarity)
+    found = connected_components(linked.unionByName(rest), "x", "y")
+    return found.select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+
+
+def _rare_keys(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(id, h): each document's prefix of shingles in order of rarity, without those of one document.
+
+    A document with fewer than ``similarity`` of its shingles in others has no key: nothing can be like it.
+    """
+    sets = rows.select("id", shingle_set(F.col("text"), shingle).alias("s"))
+    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
+    common = each.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
+    of = Window.partitionBy("id")
+    ranked = common.withColumns({"m": F.count("*").over(of), "r": F.row_number().over(of.orderBy("df", "h"))})
+    need = F.ceil(F.col("n") * similarity - 1e-6)  # never too many by rounding
+    return ranked.where(F.col("r") <= F.col("m") - need + 1).select("id", "h")
+
+
+def _meeting(keys: DataFrame, by: str) -> DataFrame:
+    """The rows whose key ``h`` has two values of ``by`` or more."""
+    several = keys.groupBy("h").agg(F.min(by).alias("low"), F.max(by).alias("high")).where("low <> high").select("h")
+    return keys.join(several.hint("merge"), "h")
+
+
+def _sized(similarity: float) -> Column:
+    return F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * similarity - 1e-6
+
+
+def _star_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
+    """(x, y), x < y: every member of a key with three of its members, so that dense groups join up without all their pairs."""
+    member = F.struct("id", "n")
+    ends = buckets.groupBy("h").agg(F.min(member).alias("p"), F.max(member).alias("q"), F.min_by(member, F.xxhash64("id")).alias("r"))
+    centres = ends.select("h", F.explode(F.array_distinct(F.array("p", "q", "r"))).alias("c"))
+    stars = buckets.join(centres.hint("merge"), "h").withColumns({"n_x": F.col("n"), "n_y": F.col("c.n")})
+    pairs = stars.where(_sized(similarity) & (F.col("id") != F.col("c.id")))
+    return pairs.select(F.least("id", "c.id").alias("x"), F.greatest("id", "c.id").alias("y")).distinct()
+
+
+def _pairs_between(buckets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(x, y), x < y: all pairs that meet in a key and are not in one group yet."""
+    rooted = buckets.join(groups.hint("merge"), buckets["id"] == groups["node"], "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = written(_meeting(rooted.select("h", "id", "n", "root"), "root"), "open")
+    x, y = (open_.select("h", *[F.col(c).alias(f"{c}_{e}") for c in ("id", "n", "root")]) for e in ("x", "y"))
+    pairs = x.join(y.hint("merge"), "h").where((F.col("id_x") < F.col("id_y")) & (F.col("root_x") != F.col("root_y")) & _sized(similarity))
+    return pairs.select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets have the similarity, exactly."""
     of_x, of_y = (sets.select(F.col("id").alias(f"id_{c}"), F.col("s").alias(f"s_{c}")) for c in ("x", "y"))
     both = pairs.join(of_x.hint("merge"), pairs["x"] == of_x["id_x"]).join(of_y.hint("merge"), pairs["y"] == of_y["id_y"])
     shared = F.size(F.array_intersect("s_x", "s_y"))
     union = F.size("s_x") + F.size("s_y") - shared
-    verified = both.where(shared >= F.lit(similarity) * union).select("x", "y")
-    return connected_components(verified, "x", "y").select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+    return both.where(shared >= F.lit(similarity) * union).select("x", "y")

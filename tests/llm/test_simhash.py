@@ -83,3 +83,47 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame([*edges, (None, 4)], "x long, y long"), "x", "y").collect()
     nodes = {n for a, b in edges if a != b for n in (a, b)}
     assert {r.node: r.root for r in got} == {n: root(n) for n in nodes} and len(got) == len(nodes)
+
+
+def edited_copies(rng, kinds=12):
+    """Texts with copies that have a word replaced, text appended or half of it repeated."""
+    texts = []
+    for _ in range(kinds):
+        for n in (50, 200):
+            base = [f"w{rng.randrange(100_000)}" for _ in range(n)]
+            other = [*base]
+            other[rng.randrange(n)] = "changed"
+            texts += [base, other]
+            for more in (0.1, 0.15, 0.2):
+                base = [f"w{rng.randrange(100_000)}" for _ in range(n)]
+                texts += [base, base + [f"w{rng.randrange(100_000)}" for _ in range(int(n * more))]]
+            base = [f"w{rng.randrange(100_000)}" for _ in range(n)]
+            texts += [base, base + base[: n // 2] * 3]
+    return [" ".join(t) for t in texts]
+
+
+def brute_components(texts, similarity=0.8):
+    """Smallest position of each text's component, for the texts that have a near copy."""
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    root, linked = list(range(len(texts))), set()
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        shared = len(sets[i] & sets[j])
+        if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+            linked |= {i, j}
+    return {i: find(i) for i in linked}
+
+
+def test_near_copies_of_edited_texts_are_all_found(filed):
+    texts = edited_copies(random.Random(11))
+    want = brute_components(texts)
+    assert len(want) > len(texts) // 2
+    got = simhash.near_copies(filed(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
