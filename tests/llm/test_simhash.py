@@ -127,3 +127,13 @@ def test_near_copies_of_edited_texts_are_all_found(filed):
     assert len(want) > len(texts) // 2
     got = simhash.near_copies(filed(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_near_copies_under_one_fingerprint(filed):
+    passage = " ".join(f"p{i}" for i in range(41))
+    tails = [" ".join(f"{c}{i}" for i in range(40)) for c in "ab"]
+    texts = [f"{(passage + ' ') * 60}{t}" for t in (*tails, tails[1].replace("b39", "changed"))]
+    assert len({simhash.fingerprint_of(t, 2) for t in texts}) == 1  # the passage alone decides it
+    assert brute_components(texts) == {1: 1, 2: 1}
+    got = simhash.near_copies(filed(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1}
