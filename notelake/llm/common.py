@@ -15,9 +15,11 @@ WHITE = r"\x20\x09-\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where none is set, as in tests, a temporary folder becomes it."""
+    """The cluster's ``spark.checkpoint.dir``; only in local mode, as in tests, a temporary folder may stand in for it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="notelake-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -101,6 +103,17 @@ def numbered(df: DataFrame, group: list[str], cell: list[Column], order: list[Co
     )
 
 
+def joined_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Left join of ``left`` with ``right``, a row per ``keys``, where a few keys hold many rows of ``left``.
+
+    ``hot`` names these keys; the caller states what bounds their number. Their rows of ``right``
+    are broadcast, so rows of a hot key stay where they are; only the others are shuffled.
+    """
+    few = F.broadcast(hot.select(*keys))
+    at_hot = left.join(few, keys, "left_semi").join(F.broadcast(right.join(few, keys, "left_semi")), keys, "left")
+    return at_hot.unionByName(left.join(few, keys, "left_anti").join(right.hint("merge"), keys, "left"))
+
+
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` with __file and __row, where each row's content lies; ``docs`` has to be read from files.
 
