@@ -2,39 +2,41 @@
 
 The base statistics of a text are computed once, by array functions in the row itself; no
 row meets another, so nothing is shuffled. The rules then run as one CASE: a rule is only
-evaluated for texts that every rule before it let pass. Their order is found on a sample:
-each rule's cost (the mean of its work expression, in characters handled) and its rejection
-rate are estimated, and rules run by rejection per cost, highest first. The order changes
-what a run costs and which rule is named, never the verdict.
+evaluated for texts that every rule before it let pass. Their order is found on a sample,
+drawn evenly from all rows: each rule's rejection rate is counted and its cost is measured,
+as the time that evaluating it on the sample takes, and rules run by rejection per cost,
+highest first. The order changes what a run costs and which rule is named, never the verdict.
 
 Defined cases: a null or empty text has no words and fails the base; ids may be null or
-repeated; ties in rejection per cost go by rule name; a table of no rows keeps the order by
-cost; columns other than id and text are ignored.
+repeated; ties in rejection per cost go by rule name; a table of no rows has its rules by
+name; any DataFrame will do, filtered or not and from any source, and the text column may
+have any name; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import let, spaced, whole_text, words
+from notelake.llm.common import drop_written, let, spaced, whole_text, words, written
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Rows that the estimate reads at most.
-SAMPLE_ROWS = 2000
+#: Rows that the estimate evaluates, about; how often it evaluates a rule on them; the least time it tells apart.
+SAMPLE_ROWS, REPEATS, LEAST_SECONDS = 2000, 4, 1e-6
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``reject`` and ``work`` are SQL over the base statistics and ``text``; work is what evaluating costs."""
+    """``reject`` is SQL over the base statistics and ``text``."""
 
     name: str
     reject: str
-    work: str = "1"
 
 
 #: What the query runs. The last two read the text again, so they cost its length.
@@ -46,12 +48,10 @@ RULES = (
     Rule(
         "shouting",
         "length(regexp_replace(text, '[^A-Z]+', '')) * 2 > word_chars",
-        "length(text) + 50",
     ),
     Rule(
         "exclamations",
         "(length(text) - length(replace(text, '!', ''))) * 2 > n_words",
-        "length(text) * 0.1 + 20",
     ),
 )
 
@@ -112,26 +112,41 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
-def order_rules(statistics: DataFrame, rules: Sequence[Rule] = RULES) -> list[Rule]:
-    """The rules by estimated rejection per cost, over the rows of ``statistics``, a bounded sample."""
-    figures = statistics.select(
-        *[F.avg(F.expr(f"cast(({r.reject}) as int)")).alias(f"reject_{i}") for i, r in enumerate(rules)],
-        *[F.avg(F.expr(r.work).cast("double")).alias(f"cost_{i}") for i, r in enumerate(rules)],
-    ).first()
+def order_rules(statistics: DataFrame, rules: Sequence[Rule] = RULES, costs: Sequence[float] | None = None) -> list[Rule]:
+    """The rules by rejection per cost, estimated on ``statistics``, a bounded sample. ``costs`` replaces the measurement."""
+    if len(rules) < 2:
+        return list(rules)
+    rates = statistics.select(*[F.avg(F.expr(f"cast(({r.reject}) as int)")).alias(f"r{i}") for i, r in enumerate(rules)]).first()
+    costs = measured_costs(statistics, rules) if costs is None else costs
 
     def gain(i: int) -> tuple:
-        rejected, cost = figures[f"reject_{i}"] or 0.0, max(figures[f"cost_{i}"] or 1.0, 1e-9)
-        return (-rejected / cost, cost, rules[i].name)
+        return (-(rates[i] or 0.0) / costs[i], costs[i], rules[i].name)
 
     return [rules[i] for i in sorted(range(len(rules)), key=gain)]
 
 
-def bounded_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, files: int = 2) -> DataFrame:
-    """At most ``rows`` rows, from the first ``files`` files where there are more, so that the estimate's
-    cost does not grow with the table."""
-    paths = docs.inputFiles()
-    few = docs.sparkSession.read.schema(docs.schema).parquet(*sorted(paths)[:files]) if len(paths) > files else docs
-    return few.limit(rows)
+def measured_costs(statistics: DataFrame, rules: Sequence[Rule]) -> list[float]:
+    """Seconds a row that each rule takes beyond reading the row, to a power of two, so that noise seldom tells."""
+    again = statistics.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+    read = F.sum(F.length("text") + F.col("__turn"))
+
+    def seconds(*more: Column) -> float:
+        took = []
+        for _ in range(2):
+            start = time.perf_counter()
+            again.agg(F.count("*"), read, *more).first()
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    rows = max(1, statistics.count() * REPEATS)
+    idle = seconds()
+    spent = [max(LEAST_SECONDS, (seconds(F.count_if(F.expr(r.reject))) - idle) / rows) for r in rules]
+    return [2.0 ** round(math.log2(s)) for s in spent]
+
+
+def even_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 11) -> DataFrame:
+    """About ``rows`` rows, each row of the frame as likely as any other."""
+    return docs.sample(min(1.0, rows / max(1, docs.count())), seed)
 
 
 def cascade(rules: Sequence[Rule]) -> Column:
@@ -147,7 +162,9 @@ def judge(
 ) -> DataFrame:
     """id, text, base statistics, base_failed, rejected_by (null when kept) and kept."""
     statistics = base_statistics(docs, id_col, text_col)
-    ordered = order_rules(base_statistics(bounded_sample(docs), id_col, text_col), rules)
+    sample = written(base_statistics(even_sample(docs.select(id_col, text_col)), id_col, text_col), "sample")
+    ordered = order_rules(sample, rules)
+    drop_written(sample)
     failed = F.expr(BASE_FAILED)
     return statistics.withColumn("base_failed", failed).withColumn(
         "rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(ordered))

@@ -36,13 +36,38 @@ def test_order_changes_no_verdict(odd_docs):
 def test_rules_run_by_rejection_per_cost(filed):
     text = " ".join(f"w{i}" for i in range(80))
     docs = filed([(i, text + ("!" * 200 if i % 2 else "")) for i in range(20)], "doc_id long, text string")
-    dear = rules.Rule("dear", "n_words > 10", "1000000")
-    cheap = rules.Rule("cheap", "length(text) > 400", "1")
-    never = rules.Rule("never", "false", "1")
-    ordered = rules.order_rules(rules.base_statistics(docs), [never, dear, cheap])
+    dear, cheap, never = rules.Rule("dear", "n_words > 10"), rules.Rule("cheap", "length(text) > 400"), rules.Rule("never", "false")
+    ordered = rules.order_rules(rules.base_statistics(docs), [never, dear, cheap], [1.0, 1e6, 1.0])
     assert [r.name for r in ordered] == ["cheap", "dear", "never"]
 
 
+def test_measured_costs_tell_a_dear_rule(filed):
+    docs = filed([(i, "Word " * 4000) for i in range(200)], "doc_id long, text string")
+    cheap = rules.Rule("cheap", "n_words > 10")
+    dear = rules.Rule("dear", "length(regexp_replace(text, '[^A-Z]+', '')) > 10")
+    costs = rules.measured_costs(rules.base_statistics(docs).cache(), [cheap, dear])
+    assert costs[1] > costs[0]
+
+
+def test_any_frame_is_judged(spark, filed, tmp_path):
+    rows = [(i, f"{TEXTS[i % len(TEXTS)] or ''} " * (i % 40)) for i in range(120)]
+    docs = filed(rows, "doc_id long, text string", files=4)
+    want = {(r.doc_id, r.kept, r.n_words) for r in rules.judge(docs).collect()}
+    docs.write.json(str(tmp_path / "json"))
+    from_json = spark.read.schema("doc_id long, text string").json(str(tmp_path / "json"))
+    assert {(r.doc_id, r.kept, r.n_words) for r in rules.judge(from_json).collect()} == want
+    renamed = docs.withColumnRenamed("text", "said")
+    assert {(r.doc_id, r.kept, r.n_words) for r in rules.judge(renamed, text_col="said").collect()} == want
+    some = rules.judge(docs.where("doc_id < 50")).collect()
+    assert {(r.doc_id, r.kept, r.n_words) for r in some} == {x for x in want if x[0] < 50}
+
+
+def test_sample_comes_from_all_files(filed):
+    docs = filed([(i, "x") for i in range(4000)], "doc_id long, text string", files=8)
+    ids = [r.doc_id for r in rules.even_sample(docs, 400).collect()]
+    assert 250 < len(ids) < 550 and min(ids) < 500 and max(ids) > 3500
+
+
 def test_no_rules(odd_docs):
     assert {r.kept for r in rules.judge(odd_docs, ()).where("not base_failed").collect()} <= {True}
 
