@@ -3,8 +3,8 @@
 Every rule names the literal tokens (runs of ASCII letters and digits) that a url it
 matches must contain. The rule is filed under whichever of these is rarest among the urls
 at hand. A url's own tokens fetch candidate rules by an equi-join with that index, and only
-candidates run their regular expression. Work is done once per distinct url, so one url on
-a third of the rows costs no more than any other, and verdicts are joined back.
+candidates run their regular expression. Work is done once per distinct url, and verdicts are
+joined back; urls on many rows get theirs by broadcast, so that none meets in one task.
 
 Host rules (a host and a path prefix) fit their host and its subdomains; of several that
 fit, the longest wins, then the longer host, then the name. Where none fits, pattern rules
@@ -24,8 +24,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notelake.llm.common import joined_hot, written
+
 #: Index rows up to which the index is broadcast: a few hundred bytes each.
 BROADCAST_RULES = 10_000
+#: A url on more than one in so many rows has its verdict broadcast; there are fewer than so many of them.
+HOT_URLS = 1000
 
 
 @dataclass(frozen=True)
@@ -115,8 +119,8 @@ def filter_urls(
     """id, host, path, rule (the host rule that won, else null), verdict, pattern (the pattern rule that blocked)."""
     rows = pages.select(pages[id_col].alias(id_col), pages[url_col].cast("string").alias("url"))
     rules = [*host_rules, *pattern_rules]
-    parts = rows.select("url").where("url is not null").distinct()
-    parts = parts.select("url", F.concat(host_of(F.col("url")), path_of(F.col("url"))).alias("subject"))
+    counted = written(rows.where("url is not null").groupBy("url").agg(F.count("*").alias("n")), "urls")
+    parts = counted.select("url", F.concat(host_of(F.col("url")), path_of(F.col("url"))).alias("subject"))
     none = F.lit(None).cast("string")
     if rules:
         tokens = parts.select("url", "subject", F.explode(tokens_of(F.col("subject"))).alias("token"))
@@ -127,8 +131,9 @@ def filter_urls(
         won = fits.groupBy("url").agg(
             F.max(F.when(F.col("host_length") > 0, rank)).alias("best"),
             F.min(F.when(F.col("host_length") == 0, F.col("name"))).alias("pattern"),
-        ).select(F.col("url").alias("won_url"), "best", "pattern")
-        rows = rows.join(won, F.col("url") == F.col("won_url"), "left")
+        )
+        hot = counted.where(F.col("n") * HOT_URLS > rows.count())
+        rows = joined_hot(rows, written(won, "verdicts"), ["url"], hot)
         rule, action, pattern = F.col("best.name"), F.col("best.action"), F.col("pattern")
     else:
         rule, action, pattern = none, none, none
