@@ -10,9 +10,12 @@ Lines are compared without leading and trailing ASCII white space, by MD5; blank
 never boilerplate. Every occurrence of a boilerplate line goes, the other lines stay as
 they are.
 
-Defined cases: a null text has no lines and stays null; a null site is a site; documents
-with the same or a null id are cleaned alike; an empty table gives an empty result; columns
-other than id, site and text pass through, unless they start with two underscores.
+Documents meet their boilerplate lines by file and row, so they must be read from files.
+
+Defined cases: a null text has no lines and stays null; a null site is a site; ids do not
+matter, they may be null or repeated; an empty table gives an empty result; columns named
+n_lines and n_removed are replaced, other columns than the text pass through, unless they
+start with two underscores.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.llm.common import spaced, written
+from notelake.llm.common import located, spaced, written
 
 #: Sites from which a line is boilerplate; log2 of a sketch's buckets; error band in standard errors.
 MIN_SITES, LG_K, BAND = 10, 12, 6.0
+#: Boilerplate lines, of 16 bytes each, up to which they are broadcast.
+BROADCAST_LINES = 100_000
 
 
 def line_key(line: Column) -> Column:
@@ -32,10 +37,11 @@ def line_key(line: Column) -> Column:
     return F.when(bare != "", F.unhex(F.md5(bare)))
 
 
-def _keys(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> DataFrame:
+def _keys(docs: DataFrame, site_col: str, text_col: str) -> DataFrame:
     keys = F.array_distinct(F.transform(F.split(docs[text_col], "\n"), line_key))
-    return docs.select(
-        docs[id_col].alias("id"),
+    return located(docs).select(
+        "__file",
+        "__row",
         F.coalesce(docs[site_col].cast("string"), F.lit("")).alias("site"),
         F.explode(keys).alias("line"),
     ).where("line is not null")
@@ -60,18 +66,19 @@ def boilerplate(keys: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -
 
 def remove_boilerplate(
     docs: DataFrame,
-    id_col: str = "doc_id",
     site_col: str = "source",
     text_col: str = "text",
     min_sites: int = MIN_SITES,
     lg_k: int = LG_K,
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text_col``, plus n_lines and n_removed."""
-    keys = _keys(docs, id_col, site_col, text_col)
+    keys = _keys(docs, site_col, text_col)
     common = written(boilerplate(keys, min_sites, lg_k), "boilerplate")
-    hit = keys.join(common, "line").groupBy(F.col("id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
+    few = common.count() <= BROADCAST_LINES
+    met = keys.join(F.broadcast(common) if few else common.hint("merge"), "line")
+    hit = met.groupBy("__file", "__row").agg(F.collect_set("line").alias("__gone"))
     lines = F.split(F.col(text_col), "\n")
-    rows = docs.join(hit, docs[id_col].eqNullSafe(hit["__id"]), "left").drop("__id")
+    rows = located(docs).join(hit.hint("merge"), ["__file", "__row"], "left").select(*docs.columns, "__gone")
     kept = F.when(F.col("__gone").isNull(), lines).otherwise(
         F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__gone"), line_key(x)), F.lit(False)))
     )

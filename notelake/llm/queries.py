@@ -93,8 +93,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    cleaned = lines.remove_boilerplate(docs)
+    cleaned = lines.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return cleaned.select(
         "doc_id",
         "n_lines",

@@ -44,6 +44,21 @@ def test_a_digest_that_covers_two_texts(filed, monkeypatch):
     assert got == {1: (1, 1, True), 2: (2, 2, True), 3: (2, 2, False), 4: (4, 1, True)}
 
 
+def test_a_later_run_knows_the_texts_of_earlier_ones(filed, tmp_path):
+    schema, at = "doc_id long, text string", str(tmp_path / "kept")
+    first = filed([(5, "a  b"), (6, "c"), (7, "d")], schema)
+    assert exact.exact_duplicates(first, checkpoint=at).where("kept").count() == 3
+    second = filed([(2, "c"), (8, "a b"), (9, "e"), (10, "a\tb")], schema)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.exact_duplicates(second, checkpoint=at).collect()}
+    assert got == {2: (2, 2, True), 8: (5, 3, False), 9: (9, 1, True), 10: (5, 3, False)}
+
+
+def test_many_hits_are_not_broadcast(filed, monkeypatch):
+    monkeypatch.setattr(exact, "BROADCAST_HITS", 0)
+    monkeypatch.setattr(exact, "HOT_DIGESTS", 3)
+    check(exact.exact_duplicates(filed(TEXTS, "doc_id long, text string")), TEXTS)
+
+
 def test_odd_rows(odd_docs):
     got = exact.exact_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count() and sum(r.kept for r in got if r.keep_id == 1) == 1
@@ -70,6 +85,14 @@ def test_boilerplate_goes_by_sites(filed):
     assert full.text == "own 7\nbody 7\n\nrare 1" and full.n_lines == 4
 
 
+def test_many_boilerplate_lines_and_null_ids(filed, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
+    docs = _sites(filed, 12)
+    nulls = filed([(None, r.source, r.text) for r in docs.collect()], "doc_id long, source string, text string")
+    texts = lambda out: sorted(str(r.text) for r in out.collect())
+    assert texts(lines.remove_boilerplate(nulls)) == texts(lines.remove_boilerplate(docs))
+
+
 def test_few_sites_are_no_boilerplate(filed):
     out = lines.remove_boilerplate(_sites(filed, 9).where("source is not null"), min_sites=10)
     assert out.where("n_removed > 0").count() == 0
