@@ -7,16 +7,19 @@ move from one to the other, the direction drawn so that neither's expectation ch
 until one of the two is integral. Every pair keeps the source's words exact, so all that
 is lost in the end is the last document's fraction.
 
-A source is split into blocks by a hash of the id; each block leaves one undecided document
-at most, and a reduction tree combines those of ``FAN_IN`` blocks at a time, level by level,
-until one is left per source. It is rounded to the nearer side, and the words this is off
-by go to the document of the source whose size comes closest. Blocks, order and draws
-depend on ids, sizes and the seed alone, so reruns agree.
+A source is split into blocks by a hash of id and text; each block leaves one undecided
+document at most, and a reduction tree combines those of ``FAN_IN`` blocks at a time, level
+by level, until one is left per source. It is rounded to the nearer side, and the words this
+is off by go to the document of the source whose size comes closest; these two documents of
+a source are the only ones whose expectation is not kept. Blocks, order and draws depend on
+ids, texts and the seed, so reruns agree wherever the rows lie; only rows with a null id are
+also told apart by their place in the file.
 
 Defined cases: a null text has size 0, and documents of size 0 take no part in the words but
-get copies by their own draw; a null source is a source of its own, last; ids may be null
-or repeated (rows are told apart by locator, so documents must be read from files); where
-every size is 0 all targets are 0; an empty table gives an empty result.
+get copies by their own draw; a null source is a source of its own, last; ids may be of any
+type, null or repeated (rows are told apart by locator, so documents must be read from
+files); rows that repeat both id and text share a block; where every size is 0 all targets
+are 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notelake.llm.common import located, spaced, whole_text, written
+from notelake.llm.common import joined_hot, located, spaced, whole_text, written
 
 #: Most copies of a document, the weights that sources take in turn, rows per block, blocks combined at a time.
 MAX_COPIES, WEIGHTS, BLOCK_ROWS, FAN_IN = 3, (1.0, 2.0, 3.0), 2_000, 16
+#: A source with more than one in so many rows is joined by broadcast; there are fewer than so many of them.
+HOT_SOURCES = 256
 
 
 def word_count(text):
@@ -110,7 +115,7 @@ def _level(rows: DataFrame, seed: int, level: int) -> DataFrame:
     """One level of the tree: settles each (source, block) and marks what is left as undecided."""
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "id", "file", "row"], ascending=[False, True, True, True], kind="stable")
+        group = group.sort_values(["size", "at", "file", "row"], ascending=[False, True, True, True], kind="stable")
         draw = int(group["draw"].iloc[0]) & 0xFFFFFFFFFFFFFFFF
         rng = np.random.default_rng([seed, level, draw, int(group["block"].iloc[0])])
         share, left = settle(group["share"].to_numpy(), group["size"].to_numpy(dtype=np.float64), rng)
@@ -133,11 +138,15 @@ def mix(
     seed: int = 7,
 ) -> DataFrame:
     """id, source, size, source_size, target, copies and the locator __file, __row; a row per document."""
+    text = whole_text(docs, text_col)
+    named, said = F.xxhash64(F.lit(seed), docs[id_col]), F.xxhash64(text)
     sized = written(
         located(docs).select(
-            F.col(id_col).cast("long").alias("id"),
+            F.col(id_col).alias("id"),
             F.col(source_col).cast("string").alias("source"),
-            word_count(whole_text(docs, text_col)).alias("size"),
+            F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("source_key"),
+            word_count(text).alias("size"),
+            F.when(docs[id_col].isNull(), F.xxhash64(named, said, F.col("__row"))).otherwise(F.xxhash64(named, said)).alias("at"),
             F.col("__file").alias("file"),
             F.col("__row").alias("row"),
         ),
@@ -145,23 +154,22 @@ def mix(
     )
     targets = written(source_targets(sized, weights, max_copies), "targets")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    at = F.xxhash64("id", F.lit(seed))
     blocks = F.ceil(F.col("source_rows") / block_rows)
-    t = targets.withColumnRenamed("source", "t_source")
+    keyed = targets.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
+    hot = keyed.where(F.col("source_rows") * HOT_SOURCES > sized.count())
     rows = (
-        sized.join(t, sized["source"].eqNullSafe(t["t_source"]))
-        .drop("t_source")
+        joined_hot(sized, keyed, ["source_key"], hot)
         .withColumn("wanted", wanted)
         .withColumn("whole", F.floor(F.col("wanted") + 1e-12).cast("int"))
         .withColumn("share", F.greatest(F.col("wanted") - F.col("whole"), F.lit(0.0)))
         .withColumn("draw", F.xxhash64("source"))
-        .withColumn("block", F.pmod(at, blocks).cast("long"))
+        .withColumn("block", F.pmod("at", blocks).cast("long"))
         .withColumn("undecided", F.lit(True))
         .drop("wanted", "source_rows")
     )
     # documents of size 0 carry no mass; each is drawn by its own hash
     lone = rows.where("size = 0").withColumn(
-        "share", ((F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)) / (1 << 30)) < F.col("share")).cast("double")
+        "share", ((F.pmod(F.xxhash64("at", F.lit(1)), F.lit(1 << 30)) / (1 << 30)) < F.col("share")).cast("double")
     ).withColumn("undecided", F.lit(False))
     level = written(_level(rows.where("size > 0"), seed, 0), "level")
     decided = [lone, level.where("not undecided")]
@@ -179,15 +187,15 @@ def mix(
         settled = settled.unionByName(d)
     settled = settled.withColumn("off", F.lit(0.0)).unionByName(final)
     settled = settled.withColumn("copies", (F.col("whole") + F.col("share").cast("int")).cast("int"))
-    off = final.select(F.col("source").alias("o_source"), F.col("off").alias("to_settle"))
+    off = final.select("source_key", F.col("off").alias("to_settle"))
+    settled, off = written(settled, "settled"), written(off, "off")
     able = F.when(F.col("to_settle") < 0, F.col("copies") < max_copies).otherwise(F.col("copies") > 0)
     gap = F.abs(F.col("size") - F.abs("to_settle"))
     moved = (
-        settled.where("size > 0")
-        .join(off, settled["source"].eqNullSafe(off["o_source"]))
+        joined_hot(settled.where("size > 0"), off, ["source_key"], hot)
         .where(able & (gap < F.abs("to_settle")))
-        .groupBy("o_source")
-        .agg(F.min(F.struct(gap.alias("gap"), "id", "file", "row", F.signum("to_settle").alias("sign"))).alias("m"))
+        .groupBy("source_key")
+        .agg(F.min(F.struct(gap.alias("gap"), "at", "file", "row", F.signum("to_settle").alias("sign"))).alias("m"))
         .select(
             F.col("m.file").alias("m_file"), F.col("m.row").alias("m_row"), (-F.col("m.sign")).cast("int").alias("change")
         )
