@@ -66,6 +66,42 @@ def test_mixture(filed):
         assert abs(sum(v[2] * v[4] for v in group) - group[0][3]) <= 10, source
 
 
+@pytest.mark.parametrize("kind", ["string", "null"])
+def test_mixture_without_number_ids(filed, kind):
+    rows = [(f"doc {i}" if kind == "string" else None, " ".join(f"w{i}x{j}" for j in range(i % 17 + 1)), f"s{i % 2}") for i in range(400)]
+    docs = filed(rows, "doc_id string, text string, source string", files=4)
+    got = _mixed(docs, block_rows=40)
+    assert len(got) == 400 and got == _mixed(docs, block_rows=40)
+    for source in ("s0", "s1"):
+        own = [v for v in got.values() if v[1] == source]
+        assert abs(sum(v[2] * v[4] for v in own) - own[0][3]) <= 10
+
+
+def test_rows_of_one_null_id_spread_over_blocks(filed, monkeypatch):
+    seen = []
+    level = mixing._level
+    monkeypatch.setattr(mixing, "_level", lambda rows, seed, k: seen.append(rows.groupBy("block").count().agg(F.max("count")).first()[0]) or level(rows, seed, k))
+    docs = filed([(None, "one and the same text", "a") for _ in range(1000)], "doc_id long, text string, source string")
+    assert mixing.mix(docs, block_rows=50).count() == 1000
+    assert seen[0] < 120
+
+
+def test_mixture_on_small_tables(spark):
+    """Every document within its cap and every source within one document of its target, by brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {}
+    sizes = {r.doc_id: (r.source, len((r.text or "").encode().split())) for r in docs.collect()}
+    for source, n in sizes.values():
+        want[source] = want.get(source, 0) + n
+    target = slow_targets(want)
+    got = mixing.mix(docs).collect()
+    assert {r.doc_id: (r.source, r.size) for r in got} == sizes
+    for source in want:
+        own = [r for r in got if r.source == source]
+        assert all(0 <= r.copies <= 3 and abs(r.target - target[source]) < 1e-6 for r in own)
+        assert abs(sum(r.size * r.copies for r in own) - target[source]) <= max(r.size for r in own)
+
+
 def test_mixture_of_odd_rows(odd_docs):
     got = _mixed(odd_docs)
     assert len(got) == odd_docs.count()
@@ -123,6 +159,11 @@ def test_shards_keep_groups_together(filed):
     assert sum(held[:5]) > len(hot) / 2
 
 
+def test_cut_counts_groups_on_several_shards(spark):
+    rows = [(1, 0), (1, 0), (1, 3), (2, 4), (2, 4), (3, 5)]
+    assert tuple(shards.cut(spark.createDataFrame(rows, "by_group long, shard int")).first()) == (2, 1, 1)
+
+
 def test_shards_of_odd_rows(odd_docs):
     got = check_shards(shards.shard_documents(odd_docs), odd_docs.count())
     assert {r.size for r in got if r.doc_id in (3, 4)} == {1}
