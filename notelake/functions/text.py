@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no topic.
-STOPWORDS = (
-    "a an and are as at be but by for from had has have he her his i in is it its me my not of on or our she so "
-    "that the their them they this to was we were will with you your"
-).split()
+#: Words that are dropped before statements are compared. Negations are not among them.
+STOPWORDS = "a an the of to in on at for and or is are was were be been that this it as with".split()
 
 
 def tokens(text: Column) -> Column:
@@ -24,8 +21,8 @@ def without_code(body: Column) -> Column:
 
 
 def normal(text: Column) -> Column:
-    """Lower case, anything but a-z and 0-9 to one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    """Lower case, anything but letters and numbers of any script to one space, trimmed."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def content_words(text: Column) -> Column:

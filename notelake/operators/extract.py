@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notelake.functions.text import content_id, normal, tokens, without_code
+from notelake.functions.statements import attribute, is_negation, values  # noqa: F401
+from notelake.functions.text import content_id, tokens, without_code
 
 LINK = r"\[\[([^\]\[|#^]+)(?:[#^][^\]\[|]*)?(?:\|([^\]\[]+))?\]\]"
 HEAD = r"(?s)\A---\n(.*?)\n---\n"
@@ -204,53 +205,6 @@ def statements(text: Column) -> Column:
     return F.filter(clean, lambda x: x != "")
 
 
-#: Phrases that tie a subject to a value, the longer ones of a shared start first.
-PREDICATES = ("is located in", "is called", "lives in", "works at", "prefers", "uses", "likes", "owns", "was", "is")
-
-
-def attribute(text: Column) -> Column:
-    """struct(subject, predicate, value) from the earliest, then longest predicate; null without one."""
-    pattern = r"(?i)^(.+?) (" + "|".join(PREDICATES) + r") (.+)$"
-    found = F.struct(
-        normal(F.regexp_extract(text, pattern, 1)).alias("subject"),
-        F.lower(F.regexp_extract(text, pattern, 2)).alias("predicate"),
-        normal(F.regexp_extract(text, pattern, 3)).alias("value"),
-    )
-    return F.when(text.rlike(pattern), found)
-
-
-NEGATION = r"\b(not|no longer|never|stopped|cancelled|isn't|doesn't)\b"
-
-
-def is_negation(text: Column) -> Column:
-    return F.lower(text).rlike(NEGATION)
-
-
-#: Kinds of value in the order they are looked for; what one has matched is masked for the next.
-VALUE_KINDS = (
-    ("money", r"[$€£] ?[0-9][0-9,]*(?:\.[0-9]+)?"),
-    ("duration", r"[0-9]+ (?:minutes?|hours?|days?|weeks?|months?|years?)"),
-    ("percent", r"[0-9]+(?:\.[0-9]+)?%"),
-    ("number", r"[0-9]+(?:\.[0-9]+)?"),
-)
-
-
-def _of_kind(kind: str, hits: Column) -> Column:
-    return F.transform(hits, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
-
-
-def values(text: Column) -> Column:
-    """array of (kind, text); bare years between 1900 and 2099 are no numbers."""
-    found, rest = F.array().cast("array<struct<kind:string,text:string>>"), F.lower(text)
-    for kind, pattern in VALUE_KINDS:
-        hits = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
-        if kind == "number":
-            hits = F.filter(hits, lambda x: ~x.rlike("^(19|20)[0-9][0-9]$"))
-        found = F.concat(found, _of_kind(kind, hits))
-        rest = F.regexp_replace(rest, pattern, " ")
-    return found
-
-
 def suggested_tags(docs: DataFrame, id_col: str, text_col: str, n: int = 5, least: int = 4) -> DataFrame:
     """(id, tag, n, rank): the most frequent words of at least ``least`` letters, ties by first place."""
     words = F.regexp_extract_all(F.lower(text_col), F.lit(f"[a-z]{{{least},}}"), F.lit(0))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from notelake.functions.text import normal, slug, tokens
+from notelake.functions import statements as G
+from notelake.functions.text import STOPWORDS, normal, slug, tokens
 from notelake.operators import extract as X
 from notelake.plans.inputs import FACTS, NOTES, PAGES, entity_sql, markdown_pages, memory, notes
 from notelake.plans.registry import query, table
@@ -49,7 +50,7 @@ FACT_LINES = r"""
 kv AS (SELECT note, line, regexp_extract(text, '^([A-Za-z][\w -]*?)::\s+(.+)$', 1) AS key,
               trim(regexp_extract(text, '^([A-Za-z][\w -]*?)::\s+(.+)$', 2)) AS value
        FROM lines WHERE NOT fenced AND regexp_matches(text, '^([A-Za-z][\w -]*?)::\s+(.+)$'))"""
-NORMAL = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+NORMAL = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 SLUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
@@ -288,51 +289,92 @@ def b14_statements(spark, sf):
     return c.select("conv_id", "turn", F.explode(X.statements(F.col("text"))).alias("statement"))
 
 
-_PRED = "|".join(X.PREDICATES)
-ATTRIBUTE = rf"""
-attr AS (SELECT *, {NORMAL.format(f"regexp_extract(text, '(?i)^(.+?) ({_PRED}) (.+)$', 1)")} AS subject,
-                lower(regexp_extract(text, '(?i)^(.+?) ({_PRED}) (.+)$', 2)) AS predicate,
-                {NORMAL.format(f"regexp_extract(text, '(?i)^(.+?) ({_PRED}) (.+)$', 3)")} AS value
-         FROM mem WHERE regexp_matches(text, '(?i)^(.+?) ({_PRED}) (.+)$'))"""
+def _quoted(words):
+    return ", ".join(f"'{w}'" for w in words)
 
 
-@query(f"WITH {FACTS}, {ATTRIBUTE} SELECT id, subject, predicate, value FROM attr")
+def attribute_sql(text: str, name: str = "") -> str:
+    """Columns {name}subject, {name}predicate, {name}value of a statement, empty where there is none."""
+    part = lambda i: f"regexp_extract({NORMAL.format(text)}, '{G.ATTRIBUTE}', {i})"
+    bare = lambda i: f"regexp_replace({part(i)}, '^(?:(?:the|a|an)(?: |$))+', '')"
+    return f"{bare(1)} AS {name}subject, {part(2)} AS {name}predicate, {bare(3)} AS {name}value"
+
+
+def negation_sql(text: str) -> str:
+    return "(" + " OR ".join(f"contains(' ' || {NORMAL.format(text)} || ' ', ' {n} ')" for n in G.NEGATIONS) + ")"
+
+
+def words_sql(text: str) -> str:
+    return f"list_filter(list_distinct(string_split({NORMAL.format(text)}, ' ')), lambda w: w <> '' AND w NOT IN ({_quoted(STOPWORDS)}))"
+
+
+def slot_sql(text: str) -> str:
+    out = _quoted([*G.SLOT_NOISE, *G.NUMBER_WORDS])
+    return f"list_filter({words_sql(text)}, lambda w: octet_length(encode(w)) >= 3 AND w NOT IN ({out}) AND NOT regexp_matches(w, '[0-9]'))"
+
+
+def values_sql(text: str, source: str, keep: str) -> str:
+    """A query of ``keep`` and a list column per kind of value."""
+    stage, masked = "", f"SELECT {keep}, lower({text}) AS s0 FROM {source}"
+    for i, (kind, pattern) in enumerate(G.VALUE_PATTERNS):
+        plain = r"regexp_replace(regexp_replace(regexp_replace(x, '[^0-9:.]', '', 'g'), '\.$', ''), '\.0$', '')"
+        hits = f"list_transform(regexp_extract_all(s{i}, '{pattern}'), lambda x: {plain})"
+        if kind == "number":
+            said = "CASE w " + " ".join(f"WHEN '{w}' THEN '{n}'" for w, n in G.NUMBER_WORDS.items()) + " END"
+            hits = f"list_concat(list_filter({hits}, lambda x: NOT regexp_matches(x, '{G.YEAR}')), list_transform(regexp_extract_all(s{i}, '{G.NUMBER_WORD}'), lambda w: {said}))"
+        stage += f", list_distinct(list_filter({hits}, lambda x: x <> '')) AS v_{kind}"
+        masked = f"SELECT *, regexp_replace(s{i}, '{pattern}', ' ', 'g') AS s{i + 1} FROM ({masked})"
+    return f"SELECT {keep}{stage} FROM ({masked})"
+
+
+ATTRIBUTE = f"attr AS (SELECT * FROM (SELECT *, {attribute_sql('text')} FROM mem) WHERE subject <> '' AND value <> '')"
+
+#: Statements of many shapes, valid in both dialects.
+_STATED = """CASE o_orderkey % 8
+  WHEN 0 THEN 'The Customer ' || cast(o_custkey as string) || ' prefers ' || lower(o_orderpriority)
+  WHEN 1 THEN 'Équipe ' || cast(o_custkey as string) || ' lives in an ' || lower(o_orderpriority) || ' flat'
+  WHEN 2 THEN 'This island is not called ' || 'clerk ' || cast(o_orderkey % 90 as string)
+  WHEN 3 THEN 'Works at: ' || 'clerk ' || cast(o_orderkey % 90 as string) || '; is ' || o_orderstatus
+  WHEN 4 THEN 'customer ' || cast(o_custkey as string) || ' doesn''t use ' || 'clerk ' || cast(o_orderkey % 90 as string)
+  WHEN 5 THEN 'User is called ' || 'clerk ' || cast(o_orderkey % 90 as string) || ', and is the ' || o_orderstatus
+  WHEN 6 THEN 'we gave up; ' || 'clerk ' || cast(o_orderkey % 90 as string) || ' was a'
+  ELSE 'nothing said of ' || 'clerk ' || cast(o_orderkey % 90 as string) END"""
+
+
+def _stated(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", F.expr(_STATED).alias("text"))
+
+
+@query(f"WITH a AS (SELECT o_orderkey, {attribute_sql('text')} FROM (SELECT o_orderkey, {_STATED} AS text FROM orders)) SELECT * FROM a WHERE subject <> '' AND value <> ''")
 def b15_attributes(spark, sf):
-    m = memory(spark, sf).withColumn("a", X.attribute(F.col("text"))).where("a is not null")
-    return m.select("id", "a.subject", "a.predicate", "a.value")
+    m = _stated(spark, sf).withColumn("a", X.attribute(F.col("text"))).where("a is not null")
+    return m.select("o_orderkey", "a.subject", "a.predicate", "a.value")
 
 
 @query(
-    r"WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'we no longer use ' || text WHEN turn % 5 = 1 THEN 'it is NOT ' || text ELSE text END AS t FROM conversations) "
-    r"SELECT conv_id, turn, regexp_matches(lower(t), '\b(not|no longer|never|stopped|cancelled|isn''t|doesn''t)\b') AS negated FROM s"
+    f"""SELECT 'o' || o_orderkey::VARCHAR AS id, {negation_sql('text')} AS negated FROM (SELECT o_orderkey, {_STATED} AS text FROM orders)
+    UNION ALL SELECT conv_id::VARCHAR || '-' || turn::VARCHAR, {negation_sql('text')} FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'we No Longer use ' || text ELSE text END AS text FROM conversations)"""
 )
 def b16_negation(spark, sf):
-    t = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("we no longer use "), "text")).when(
-        F.col("turn") % 5 == 1, F.concat(F.lit("it is NOT "), "text")
-    ).otherwise(F.col("text"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", X.is_negation(t).alias("negated"))
+    c = table(spark, sf, "conversations")
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("we No Longer use "), "text")).otherwise(F.col("text"))
+    rows = c.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), said.alias("text"))
+    rows = _stated(spark, sf).select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), "text").unionByName(rows)
+    return rows.select("id", X.is_negation(F.col("text")).alias("negated"))
 
 
-_VALUE_TEXT = "'Order ' || o_orderkey::VARCHAR || ' of 1997 cost $' || floor(o_totalprice)::BIGINT::VARCHAR || ' in ' || (o_orderkey % 30 + 2)::VARCHAR || ' days at ' || (o_orderkey % 40)::VARCHAR || '%'"
+_VALUED = """'Order ' || cast(o_orderkey as string) || ' of 1997 cost $' || cast(cast(floor(o_totalprice) as bigint) as string) || '.0 and '
+  || CASE o_orderkey % 5 WHEN 0 THEN '1,200 euros' WHEN 1 THEN '£ 7.50' WHEN 2 THEN 'twice' WHEN 3 THEN 'ten percent' ELSE '5 dollars' END
+  || ' in ' || cast(o_orderkey % 30 + 2 as string) || ':07 at ' || cast(o_orderkey % 40 as string) || '% for three days, 3 times, since ' || cast(1890 + o_orderkey % 40 as string)"""
 
 
 @query(
-    rf"""WITH t AS (SELECT o_orderkey, lower({_VALUE_TEXT}) AS s0 FROM orders),
-    m AS (SELECT *, regexp_replace(s0, '[$€£] ?[0-9][0-9,]*(?:\.[0-9]+)?', ' ', 'g') AS s1 FROM t),
-    d AS (SELECT *, regexp_replace(s1, '[0-9]+ (?:minutes?|hours?|days?|weeks?|months?|years?)', ' ', 'g') AS s2 FROM m),
-    p AS (SELECT *, regexp_replace(s2, '[0-9]+(?:\.[0-9]+)?%', ' ', 'g') AS s3 FROM d)
-    SELECT o_orderkey, 'money' AS kind, unnest(regexp_extract_all(s0, '[$€£] ?[0-9][0-9,]*(?:\.[0-9]+)?')) AS value FROM p
-    UNION ALL SELECT o_orderkey, 'duration', unnest(regexp_extract_all(s1, '[0-9]+ (?:minutes?|hours?|days?|weeks?|months?|years?)')) FROM p
-    UNION ALL SELECT o_orderkey, 'percent', unnest(regexp_extract_all(s2, '[0-9]+(?:\.[0-9]+)?%')) FROM p
-    UNION ALL SELECT o_orderkey, 'number', unnest(list_filter(regexp_extract_all(s3, '[0-9]+(?:\.[0-9]+)?'), lambda x: NOT regexp_matches(x, '^(19|20)[0-9][0-9]$'))) FROM p"""
+    f"""WITH v AS ({values_sql(_VALUED, 'orders', 'o_orderkey')})
+    """ + " UNION ALL ".join(f"SELECT o_orderkey, '{kind}' AS kind, unnest(v_{kind}) AS value FROM v" for kind, _ in G.VALUE_PATTERNS)
 )
 def b17_typed_values(spark, sf):
-    o = table(spark, sf, "orders")
-    text = F.concat(
-        F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" of 1997 cost $"), F.floor("o_totalprice").cast("string"), F.lit(" in "),
-        (F.col("o_orderkey") % 30 + 2).cast("string"), F.lit(" days at "), (F.col("o_orderkey") % 40).cast("string"), F.lit("%"),
-    )
-    return o.select("o_orderkey", F.explode(X.values(text)).alias("v")).select("o_orderkey", "v.kind", F.col("v.text").alias("value"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.explode(X.values(F.expr(_VALUED))).alias("v"))
+    return o.select("o_orderkey", "v.kind", F.col("v.text").alias("value"))
 
 
 @query(
@@ -378,17 +420,44 @@ def b21_bookmarks(spark, sf):
 @query(
     f"""WITH {NOTES}, {LINKS}, {TAGS}, {lines_of('notes')}, {FACT_LINES}, {BLOCKS}
     SELECT 'links' AS part, count(*) AS n FROM links UNION ALL SELECT 'tags', count(*) FROM tags UNION ALL SELECT 'facts', count(*) FROM kv
-    UNION ALL SELECT 'blocks', count(*) FROM blocks UNION ALL SELECT 'notes', count(*) FROM notes"""
+    UNION ALL SELECT 'blocks', count(*) FROM blocks UNION ALL SELECT 'notes', count(*) FROM notes
+    UNION ALL SELECT 'letters in chunks', sum(length(regexp_replace(body, '[ \t\n]+', '', 'g')))::BIGINT FROM notes UNION ALL SELECT 'embedded notes', count(*) FROM notes"""
 )
 def b22_corpus_build(spark, sf):
+    """Every derived table. Chunks are counted by their letters, none lost, vectors by the notes whose chunks all have one of unit length."""
     from notelake.operators.corpus import build_corpus
+    from notelake.operators.embed import hash_vectors
+
+    def embed(chunks):
+        return hash_vectors(chunks.select(F.struct("note", "chunk_idx").alias("id"), "text"), "id", "text").select("id.*", "embedding")
 
-    parts = build_corpus(notes(spark, sf))
+    parts = build_corpus(notes(spark, sf), embed)
     out = None
     for name in ("links", "tags", "facts", "blocks", "notes"):
         one = parts[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
         out = one if out is None else out.unionByName(one)
-    return out
+    letters = parts["chunks"].agg(F.sum(F.length(F.regexp_replace("text", r"[ \t\n]+", ""))).cast("long").alias("n"))
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    whole = parts["vectors"].groupBy("note").agg(F.min(F.abs(norm - 1) < 1e-9).alias("unit")).agg(F.count_if("unit").alias("n"))
+    return out.unionByName(letters.select(F.lit("letters in chunks").alias("part"), "n")).unionByName(whole.select(F.lit("embedded notes").alias("part"), "n"))
+
+
+@query(
+    """SELECT doc_id, 256 AS dims, 'hash-256|v1' AS signature, true AS stale_before FROM documents WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0"""
+)
+def b10_embed_chain(spark, sf):
+    """A model without a vector for texts of one source is passed over for the hash; vectors stored under it are stale."""
+    from notelake.operators.embed import embed_chain, hash_vectors, signature, stale
+
+    d = table(spark, sf, "documents").select("doc_id", "text", "source")
+    first = d.agg(F.min("source").alias("source"))
+
+    def partial(docs, id_col, text_col):
+        return hash_vectors(docs.join(F.broadcast(first), "source", "left_anti"), id_col, text_col)
+
+    stored = partial(d, "doc_id", "text").withColumn("signature", F.lit(signature("partial")))
+    made = embed_chain(d, "doc_id", "text", [(signature("partial"), partial), (signature("hash-256"), hash_vectors)])
+    return made.select("doc_id", F.size("embedding").alias("dims"), "signature", F.lit(stale(stored, signature("hash-256"))).alias("stale_before"))
 
 
 @query(
