@@ -8,18 +8,14 @@ from notelake.functions.text import content_id
 from notelake.operators import memory as M
 from notelake.operators import search as R
 from notelake.operators.embed import hash_vectors
-from notelake.plans.extraction import _PRED, ATTRIBUTE, NORMAL
+from notelake.functions.statements import GENERIC_TERMS, VALUE_PATTERNS
+from notelake.plans.extraction import ATTRIBUTE, NORMAL, attribute_sql, negation_sql, slot_sql, values_sql, words_sql
 from notelake.plans.inputs import FACTS, memory
 from notelake.plans.queries_links import NOW, _now
 from notelake.plans.queries_search import _HASHED
 from notelake.plans.registry import query, table
 
 _LIVE = f"superseded_by IS NULL AND NOT coalesce(expires <= TIMESTAMP '{NOW}', false)"
-_SCOPE = "cust % 100 = 7"
-
-
-def _facts(spark, sf):
-    return memory(spark, sf).where(f"{_SCOPE}")
 
 
 def _asked(spark, sf):
@@ -30,7 +26,7 @@ def _asked(spark, sf):
 
 
 _FQ = f"""
-f AS (SELECT * FROM mem WHERE {_SCOPE}), q AS (SELECT n_nationkey::BIGINT AS qid, 'Which customer ' || (n_nationkey * 100 + 7)::VARCHAR || ' prefers urgent or low' AS text FROM nation),
+f AS (SELECT * FROM mem), q AS (SELECT n_nationkey::BIGINT AS qid, 'Which customer ' || (n_nationkey * 100 + 7)::VARCHAR || ' prefers urgent or low' AS text FROM nation),
 ft AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM f),
 qt AS (SELECT qid, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM q),
 w AS (SELECT term, ln(1 + ((SELECT count(*) FROM f) - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM ft GROUP BY term),
@@ -52,7 +48,7 @@ _ENT = r"""list_filter(list_distinct(list_transform(list_concat(regexp_extract_a
     r AS (SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, stamp DESC, id))::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 10"""
 )
 def g1_fact_ranking(spark, sf):
-    f, q = _facts(spark, sf), _asked(spark, sf)
+    f, q = memory(spark, sf), _asked(spark, sf)
     semantic = R.dense(hash_vectors(f, "id", "text"), hash_vectors(q, "qid", "text"))
     return M.rank_facts(f, q, semantic, _now())
 
@@ -64,7 +60,7 @@ def g2_fact_filter(spark, sf):
 
 @query(f"WITH {FACTS}, {_FQ} SELECT qid, id, round(keyword, 6) AS keyword FROM kw")
 def g3_keyword_score(spark, sf):
-    return M.keyword_scores(_facts(spark, sf), _asked(spark, sf)).withColumn("keyword", F.round("keyword", 6))
+    return M.keyword_scores(memory(spark, sf), _asked(spark, sf)).withColumn("keyword", F.round("keyword", 6))
 
 
 _INSTANTS = ("1996-01-01 00:00:00", "1998-06-15 00:00:00", NOW)
@@ -109,37 +105,18 @@ def g6_recency_usefulness(spark, sf):
 
 
 _AUTH = "CASE WHEN {0} NOT IN ('human', 'agent', 'import') THEN 0 WHEN {1} THEN 2 ELSE 1 END"
-_WORDS = "list_filter(list_distinct(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' ')), lambda w: w <> '' AND w NOT IN ({1}))"
-
-
-def _words_sql(column):
-    from notelake.functions.text import STOPWORDS
-
-    return _WORDS.format(column, ", ".join(f"'{w}'" for w in STOPWORDS))
-
-
-_ATTR_PARTS = "{2} AS {3}s, lower(regexp_extract({0}, '(?i)^(.+?) ({1}) (.+)$', 2)) AS {3}p, {4} AS {3}v"
-
-
-def _parts_sql(column, name):
-    pattern = f"'(?i)^(.+?) ({_PRED}) (.+)$'"
-    return _ATTR_PARTS.format(
-        column, _PRED, NORMAL.format(f"regexp_extract({column}, {pattern}, 1)"), name, NORMAL.format(f"regexp_extract({column}, {pattern}, 3)")
-    )
-
-
-_NEG = r"regexp_matches(lower({0}), '\b(not|no longer|never|stopped|cancelled|isn''t|doesn''t)\b')"
-_PAIRS_SQL = """pr AS (SELECT n.id, n.id AS new_id, CASE WHEN n.num % 10 = 3 THEN 'It is not true that ' || o.text WHEN n.num % 10 = 4 THEN o.text || ' now' ELSE n.text END AS new, o.text AS old,
+_PAIRS_SQL = """pr AS (SELECT n.id, n.id AS new_id, CASE WHEN n.num % 10 = 3 THEN 'It is not so: ' || o.text WHEN n.num % 10 = 4 THEN o.text || ' now' ELSE n.text END AS new, o.text AS old,
   CASE WHEN n.origin NOT IN ('human', 'agent', 'import') THEN 0 WHEN n.human THEN 2 ELSE 1 END AS na, CASE WHEN o.origin NOT IN ('human', 'agent', 'import') THEN 0 WHEN o.human THEN 2 ELSE 1 END AS oa, o.immutable AS im
   FROM mem o JOIN mem n ON o.superseded_by = n.id)"""
 
 
 @query(
-    f"""WITH {FACTS}, {_PAIRS_SQL}, a AS (SELECT *, {_parts_sql('new', 'n')}, {_parts_sql('old', 'o')}, {_words_sql('new')} AS nw, {_words_sql('old')} AS ow FROM pr),
-    b AS (SELECT *, round(len(list_intersect(nw, ow)) / len(list_distinct(list_concat(nw, ow))), 6) AS similarity, ns <> '' AND ns = os AND np = op AS same, nv = ov AS eq, na < oa OR im AS barred FROM a),
-    c AS (SELECT *, CASE WHEN same AND eq THEN 'NOOP' WHEN similarity >= 0.9 THEN 'NOOP' WHEN {_NEG.format('new')} AND NOT {_NEG.format('old')} AND similarity >= 0.45 THEN CASE WHEN barred THEN 'ADD' ELSE 'DELETE' END
-        WHEN same THEN CASE WHEN barred THEN 'ADD' ELSE 'UPDATE' END ELSE 'ADD' END AS verdict FROM b)
-    SELECT id, similarity, verdict AS op, verdict = 'ADD' AND barred AND (same OR similarity >= 0.45) AND NOT (same AND eq) AS challenge FROM c"""
+    f"""WITH {FACTS}, {_PAIRS_SQL}, a AS (SELECT *, {attribute_sql('new', 'n_')}, {attribute_sql('old', 'o_')}, {words_sql('new')} AS nw, {words_sql('old')} AS ow, {negation_sql('new')} AS neg FROM pr),
+    b AS (SELECT *, round(len(list_intersect(nw, ow)) / len(list_distinct(list_concat(nw, ow))), 6) AS similarity, n_subject <> '' AND n_value <> '' AND o_value <> '' AND n_subject = o_subject AND n_predicate = o_predicate AS same,
+        n_value = o_value AS eq, na < oa AS outranked FROM a),
+    c AS (SELECT *, CASE WHEN NOT outranked AND NOT im AND same THEN CASE WHEN neg THEN 'DELETE' WHEN eq THEN 'NOOP' ELSE 'UPDATE' END WHEN similarity >= 0.9 AND NOT neg THEN 'NOOP'
+        WHEN neg AND similarity >= 0.45 AND NOT outranked AND NOT im THEN 'DELETE' ELSE 'ADD' END AS verdict FROM b)
+    SELECT id, similarity, verdict AS op, verdict = 'ADD' AND outranked AND similarity > 0 AS challenge FROM c"""
 )
 def g7_pair_decision(spark, sf):
     m = memory(spark, sf)
@@ -147,33 +124,28 @@ def g7_pair_decision(spark, sf):
         "superseded_by", F.col("text").alias("old"), M.authority(F.col("origin"), F.col("human")).alias("old_authority"), F.col("immutable").alias("old_immutable")
     )
     new = m.select("id", "num", "text", M.authority(F.col("origin"), F.col("human")).alias("new_authority"))
-    text = F.when(F.col("num") % 10 == 3, F.concat(F.lit("It is not true that "), "old")).when(F.col("num") % 10 == 4, F.concat("old", F.lit(" now"))).otherwise(F.col("text"))
+    text = F.when(F.col("num") % 10 == 3, F.concat(F.lit("It is not so: "), "old")).when(F.col("num") % 10 == 4, F.concat("old", F.lit(" now"))).otherwise(F.col("text"))
     pairs = old.join(new, old["superseded_by"] == new["id"]).withColumn("new", text)
     return M.decide_pairs(pairs).select("id", "similarity", "op", "challenge")
 
 
-_SLOT = "list_filter(" + _WORDS + ", lambda w: length(w) > 2)"
-
-
-def _slot_sql(column):
-    from notelake.functions.text import STOPWORDS
-
-    return _SLOT.format(f"regexp_replace({column}, '[0-9$€£%.,]+', ' ', 'g')", ", ".join(f"'{w}'" for w in STOPWORDS))
+_NEW = """'The yearly hosting budget of team ' || o_orderstatus || ' is $' || cast(cast(floor(o_totalprice) as bigint) as string)"""
+_OLD = """CASE o_orderkey % 5 WHEN 0 THEN 'The yearly hosting budget of team ' || o_orderstatus || ' is $' || cast(cast(floor(o_totalprice) as bigint) - o_orderkey % 2 as string) || '.0'
+  WHEN 1 THEN 'A cat named $' || cast(o_orderkey % 7 as string) || ' sleeps' WHEN 2 THEN 'team hosting budget yearly: between $20 and $30'
+  WHEN 3 THEN 'the yearly hosting budget is twelve percent' ELSE 'yearly hosting budget was $12 of team ' || o_orderstatus END"""
 
 
 @query(
-    f"""WITH p AS (SELECT o_orderkey AS id, 'The yearly hosting budget of team ' || o_orderstatus || ' is $' || floor(o_totalprice)::BIGINT::VARCHAR AS new,
-       CASE WHEN o_orderkey % 3 = 0 THEN 'The yearly hosting budget of team ' || o_orderstatus || ' is $' || (floor(o_totalprice)::BIGINT - o_orderkey % 2)::VARCHAR ELSE 'A cat named $' || (o_orderkey % 7)::VARCHAR || ' sleeps' END AS old FROM orders),
-    w AS (SELECT *, {_slot_sql('new')} AS nw, {_slot_sql('old')} AS ow FROM p),
-    x AS (SELECT *, len(list_intersect(nw, ow)) AS shared, round(len(list_intersect(nw, ow)) / len(list_distinct(list_concat(nw, ow))), 6) AS overlap, regexp_extract(new, '\\$[0-9]+') AS a, regexp_extract(old, '\\$[0-9]+') AS b FROM w)
-    SELECT id, shared::INT AS shared, overlap, shared >= 3 AND overlap >= 0.34 AND a <> b AS "update" FROM x""".replace("\\\\", "\\")
+    f"""WITH p AS (SELECT o_orderkey AS id, {_NEW} AS new, {_OLD} AS old FROM orders),
+    w AS (SELECT id, {slot_sql('new')} AS nw, {slot_sql('old')} AS ow FROM p), vn AS ({values_sql('new', 'p', 'id')}), vo AS ({values_sql('old', 'p', 'id')}),
+    x AS (SELECT id, list_intersect(nw, ow) AS both_, least(len(nw), len(ow)) AS least_ FROM w)
+    SELECT id, len(both_)::INT AS shared, round(CASE WHEN least_ = 0 THEN 0 ELSE len(both_) / least_ END, 6) AS overlap,
+      len(both_) >= 3 AND len(list_filter(both_, lambda t: t NOT IN ({", ".join(f"'{t}'" for t in GENERIC_TERMS)}))) >= 1 AND len(both_) >= 0.34 * least_ AND ("""
+    + " OR ".join(f"(len(vn.v_{k}) = 1 AND len(vo.v_{k}) = 1 AND coalesce(vn.v_{k}[1] <> vo.v_{k}[1], false))" for k, _ in VALUE_PATTERNS)
+    + """) AS "update" FROM x JOIN vn USING (id) JOIN vo USING (id)"""
 )
 def g8_value_updates(spark, sf):
-    k = F.col("o_orderkey")
-    head = F.concat(F.lit("The yearly hosting budget of team "), "o_orderstatus", F.lit(" is $"))
-    price = F.floor("o_totalprice")
-    old = F.when(k % 3 == 0, F.concat(head, (price - k % 2).cast("string"))).otherwise(F.concat(F.lit("A cat named $"), (k % 7).cast("string"), F.lit(" sleeps")))
-    pairs = table(spark, sf, "orders").select(k.alias("id"), F.concat(head, price.cast("string")).alias("new"), old.alias("old"))
+    pairs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_NEW).alias("new"), F.expr(_OLD).alias("old"))
     return M.value_updates(pairs).select("id", "shared", "overlap", "update")
 
 
@@ -187,10 +159,25 @@ def g9_reconcile_attributes(spark, sf):
     return M.reconcile_attributes(memory(spark, sf), "note")
 
 
-@query()
+#: One attribute per customer and no authority: a repeat of the live value is a NOOP, any other value an UPDATE.
+FOLD = f"""WITH {FACTS}, l AS (SELECT cust, id, stamp, text, lag(text) OVER w AS before FROM mem WINDOW w AS (PARTITION BY cust ORDER BY stamp, id)),
+    o AS (SELECT *, CASE WHEN before IS NULL THEN 'ADD' WHEN before = text THEN 'NOOP' ELSE 'UPDATE' END AS op FROM l)
+    SELECT cust AS scope, id, op, last_value(CASE WHEN op <> 'NOOP' THEN id END IGNORE NULLS) OVER (PARTITION BY cust ORDER BY stamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS target,
+      NULL::VARCHAR AS challenges FROM o"""
+
+
+@query(FOLD)
 def g9_reconcile_fold(spark, sf):
-    """The full fold per customer; tests hold it against the decision table and the native path."""
-    return M.reconcile(memory(spark, sf), "cust")
+    """The full fold per customer."""
+    facts = memory(spark, sf).select("cust", "id", "stamp", "text")
+    return M.reconcile(facts, "cust")
+
+
+@query()
+def g9_reconcile_authority(spark, sf):
+    """The fold per topic with authority, immutable facts and expiry; a test holds it against a plain version."""
+    m = memory(spark, sf).withColumn("authority", M.authority(F.col("origin"), F.col("human")))
+    return M.reconcile(m, "note")
 
 
 @query(f"WITH {FACTS} SELECT id, {_AUTH.format('origin', 'human')}::INT AS authority FROM mem")
@@ -299,6 +286,5 @@ def f17_vector_fact_search(spark, sf):
     from pyspark.sql.window import Window
 
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    hits = R.dense(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding"))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), "id"))).where("rank <= 5")
-
+    hits = R.dense(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding"), best=5)
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), "id")))

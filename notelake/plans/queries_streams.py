@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from notelake.plans.inputs import NOTES, memory, notes
+from notelake.plans.queries_memory import FOLD
 from notelake.plans.queries_sync import _EV, _events
 from notelake.plans.registry import query, table
 from notelake.sources import exports
@@ -47,11 +48,11 @@ def a5_feed(spark, sf):
 
 @query(
     """SELECT 'K-' || conv_id::VARCHAR AS external_id, 'p' || (conv_id % 5)::VARCHAR || ' · ' || CASE WHEN conv_id % 2 = 0 THEN 'open' ELSE 'done' END || ' · unassigned' || chr(10) || chr(10) || '# Head' || chr(10) || chr(10) || 'said ' || conv_id::VARCHAR
-      || chr(10) || chr(10) || string_agg('**' || role || '**: ' || left(text, 20), chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id"""
+      || chr(10) || chr(10) || string_agg('**' || role || '**: ' || text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id"""
 )
 def a8_tracker_export(spark, sf):
     c = table(spark, sf, "conversations")
-    said = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.col("role").alias("author"), F.left("text", F.lit(20)).alias("body")))), lambda x: F.struct(x["author"].alias("author"), x["body"].alias("body")))
+    said = F.transform(F.sort_array(F.collect_list(F.struct("turn", F.col("role").alias("author"), F.col("text").alias("body")))), lambda x: F.struct(x["author"].alias("author"), x["body"].alias("body")))
     g = c.groupBy("conv_id").agg(said.alias("comments"))
     k = F.col("conv_id").cast("string")
     tree = F.concat(
@@ -75,11 +76,11 @@ def a9_wiki_export(spark, sf):
 
 @query(
     """SELECT CASE WHEN conv_id % 2 = 0 THEN 'pull-' ELSE 'issue-' END || conv_id::VARCHAR AS external_id, CASE WHEN conv_id % 2 = 0 THEN 'pull' ELSE 'issue' END AS kind, 'bug,x' AS labels,
-    string_agg(role || ': ' || left(text, 30), chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id"""
+    string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id"""
 )
 def a10_code_export(spark, sf):
     c = table(spark, sf, "conversations")
-    said = F.collect_list(F.struct(F.lpad(F.col("turn").cast("string"), 6, "0").alias("at"), F.col("role").alias("user"), F.left("text", F.lit(30)).alias("body")))
+    said = F.collect_list(F.struct(F.lpad(F.col("turn").cast("string"), 6, "0").alias("at"), F.col("role").alias("user"), F.col("text").alias("body")))
     g = c.groupBy(F.col("conv_id").alias("number")).agg(said.alias("comments"))
     pull = F.when(F.col("number") % 2 == 0, F.struct(F.lit("u").alias("url")))
     rows = g.select("number", F.lit("t").alias("title"), F.lit("").alias("body"), F.lit("me").alias("user"), F.lit("2024-01-01").alias("updated_at"), pull.alias("pull_request"), F.array(F.lit("bug"), F.lit("x")).alias("labels"), "comments")
@@ -87,19 +88,19 @@ def a10_code_export(spark, sf):
     return out.select("external_id", F.element_at("meta", F.lit("kind")).alias("kind"), F.element_at("meta", F.lit("labels")).alias("labels"), "body")
 
 
-@query("SELECT doc_id::VARCHAR AS external_id, source AS title FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 28 + 1 > 10")
+@query("SELECT doc_id::VARCHAR AS external_id, source AS title, md5(text) AS body_md5 FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 28 + 1 > 10")
 def a11_drive_export(spark, sf):
     k = F.col("doc_id")
     day = F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))
     kind = F.when(k % 3 == 0, "image/png").otherwise("text/plain")
-    rows = table(spark, sf, "documents").select(k.cast("string").alias("id"), F.col("source").alias("name"), kind.alias("mimeType"), day.alias("modifiedTime"), F.left("text", F.lit(10)).alias("text"))
-    return exports.drive(spark, _landed(spark, rows, "drive"), "2024-01-10").select("external_id", "title")
+    rows = table(spark, sf, "documents").select(k.cast("string").alias("id"), F.col("source").alias("name"), kind.alias("mimeType"), day.alias("modifiedTime"), "text")
+    return exports.drive(spark, _landed(spark, rows, "drive"), "2024-01-10").select("external_id", "title", F.md5("body").alias("body_md5"))
 
 
-@query("SELECT item_id AS q, left(text, 50) AS question FROM benchmark")
+@query("SELECT item_id AS q, text AS question FROM benchmark")
 def a14_eval_set(spark, sf):
     path = f"{shared_folder(spark)}/set-{uuid.uuid4().hex}"
-    write_jsonl(table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), F.left("text", F.lit(50)).alias("question")), path)
+    write_jsonl(table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("question")), path)
     return read_jsonl(spark, path, "q long, question string")
 
 
@@ -107,34 +108,30 @@ def a14_eval_set(spark, sf):
 
 @query(f"WITH {_EV} SELECT id, caller, left(path, 512) AS path, allowed FROM ev WHERE NOT allowed OR restricted")
 def i1_stream_ingest(spark, sf):
-    e = _events(spark, sf)
-    s = jobs.read(spark, jobs.land(e, "events", 3), e.schema, 1)
-    return jobs.drain(jobs.log_ingest(s), "append", "ingest").select("id", "caller", "path", "allowed")
+    return jobs.deliver(_events(spark, sf), "at", jobs.log_ingest, "append", "ingest").select("id", "caller", "path", "allowed")
 
 
 @query(
     f"""WITH {_EV}, w AS (SELECT caller, date_trunc('minute', "at") AS minute FROM ev WHERE NOT allowed) SELECT caller, minute, least(count(*), 1) AS kept, greatest(count(*) - 1, 0) AS suppressed FROM w GROUP BY ALL"""
 )
 def i2_stream_denial_cap(spark, sf):
-    e = _events(spark, sf)
-    s = jobs.read(spark, jobs.land(e, "events"), e.schema)
-    out = jobs.drain(jobs.denial_caps(s, 1), "update", "caps")
+    out = jobs.newest(jobs.deliver(_events(spark, sf), "at", lambda s: jobs.denial_caps(s, 1), "update", "caps"), ["caller", "minute"])
     return out.select("caller", F.col("minute").cast("timestamp_ntz").alias("minute"), "kept", "suppressed")
 
 
 @query(
-    f"""WITH {_EV}, k AS (SELECT *, row_number() OVER (PARTITION BY caller, path ORDER BY "at", id) AS r, lag("at") OVER (PARTITION BY path ORDER BY "at") AS b FROM ev WHERE path LIKE '%-7%'),
+    f"""WITH {_EV}, k AS (SELECT *, lag("at") OVER (PARTITION BY path ORDER BY "at") AS b FROM ev),
     g AS (SELECT *, sum(CASE WHEN b IS NULL OR "at" >= b + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS s FROM k)
-    SELECT path, min("at") AS first, max("at") AS last, count(*) AS n, arg_max(caller, "at") AS content FROM g GROUP BY path, s"""
+    SELECT path, min("at") AS first, max("at") AS last, count(*) AS n, arg_max(caller, ("at", id)) AS content FROM g GROUP BY path, s"""
 )
 def i8_stream_coalesced_edits(spark, sf):
-    e = _events(spark, sf).where("path like '%-7%'").select("path", "at", F.col("id").alias("seq"), F.col("caller").alias("content"))
-    s = jobs.read(spark, jobs.land(e, "edits"), e.schema)
-    out = jobs.drain(jobs.coalesced_edits(s, "6 hours"), "append", "edits")
-    closed = out.select("path", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n", "content")
-    # bursts that the watermark has not closed yet are still in state; the batch form gives them
-    batch = jobs.coalesced_edits(e, "6 hours").select("path", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n", "content")
-    return closed.unionByName(batch).distinct()
+    """Bursts as the stream closes them; a row from long after the last edit moves the watermark past all of them."""
+    e = _events(spark, sf).select("path", "at", F.col("id").alias("seq"), F.col("caller").alias("content"))
+    end = e.agg(F.max("at").alias("at")).select(
+        F.lit("").alias("path"), F.expr("at + interval '30' day").alias("at"), F.lit(-1).cast("long").alias("seq"), F.lit("").alias("content")
+    )
+    out = jobs.deliver(e.unionByName(end), "at", lambda s: jobs.coalesced_edits(s, "6 hours"), "append", "edits")
+    return out.where("path <> ''").select("path", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n", "content")
 
 
 @query("SELECT DISTINCT 'c' || (doc_id % 3)::VARCHAR AS connector, 'e' || (doc_id // 2)::VARCHAR AS external_id, md5((doc_id // 2)::VARCHAR) AS hash FROM documents")
@@ -143,24 +140,21 @@ def i7_stream_upserts(spark, sf):
     half = F.floor(k / 2).cast("string")
     at = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id)")
     rows = table(spark, sf, "documents").select(F.concat(F.lit("c"), (k % 3).cast("string")).alias("connector"), F.concat(F.lit("e"), half).alias("external_id"), F.md5(half).alias("hash"), at.alias("at"))
-    p = rows.unionByName(rows)  # every page delivered twice
-    s = jobs.read(spark, jobs.land(p, "pages"), p.schema)
-    return jobs.drain(jobs.connector_upserts(s), "append", "upserts").select("connector", "external_id", "hash")
+    # every page is delivered twice, the second time half an hour later
+    p = rows.unionByName(rows.withColumn("at", F.expr("at + interval '30' minute")))
+    return jobs.deliver(p, "at", jobs.connector_upserts, "append", "upserts").select("connector", "external_id", "hash")
 
 
 @query(
     f"""WITH {_EV} SELECT time_bucket(INTERVAL 1 HOUR, "at") AS "start", allowed, count(*) AS n, round(sum(value), 2) AS value_sum FROM ev GROUP BY ALL"""
 )
 def i11_stream_metrics(spark, sf):
-    e = _events(spark, sf)
-    s = jobs.read(spark, jobs.land(e, "events"), e.schema)
-    out = jobs.drain(jobs.windowed_metrics(s), "update", "metrics")
+    out = jobs.newest(jobs.deliver(_events(spark, sf), "at", jobs.windowed_metrics, "update", "metrics"), ["start", "allowed"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "allowed", "n", F.round("value_sum", 2).alias("value_sum"))
 
 
-@query()
+@query(FOLD)
 def i6_stream_reconcile(spark, sf):
-    """Facts reconciled as they arrive, a scope per customer; tests hold it against the batch fold."""
+    """Facts reconciled as they arrive, a scope per customer."""
     m = memory(spark, sf).select("cust", "id", "stamp", "text")
-    s = jobs.read(spark, jobs.land(m, "facts"), m.schema)
-    return jobs.drain(jobs.reconcile_stream(s, "cust"), "append", "reconcile").select("scope", "id", "op", "target")
+    return jobs.deliver(m, "stamp", lambda s: jobs.reconcile_stream(s, "cust"), "append", "reconcile").select("scope", "id", "op", "target", "challenges")

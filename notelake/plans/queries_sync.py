@@ -126,14 +126,14 @@ def h8_apply_changes(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT conv_id AS doc, turn * 1000 + i AS k, substr(text, i::BIGINT, 1) AS ch, turn FROM (SELECT conv_id, turn, text, unnest(range(1, least(length(text), 40) + 1)) AS i FROM conversations))
+    """WITH a AS (SELECT conv_id AS doc, turn * 1000000 + i AS k, substr(text, i::BIGINT, 1) AS ch, turn FROM (SELECT conv_id, turn, text, unnest(range(1, length(text) + 1)) AS i FROM conversations))
     SELECT doc, string_agg(ch, '' ORDER BY turn % 3, k) AS text, count(*) AS atoms FROM a WHERE NOT (k % 5 = 0) GROUP BY doc"""
 )
 def h9_crdt_merge(spark, sf):
     c = table(spark, sf, "conversations")
-    i = F.explode(F.sequence(F.lit(1), F.least(F.length("text"), F.lit(40))))
+    i = F.explode(F.sequence(F.lit(1), F.length("text")))
     a = c.where("length(text) > 0").select("conv_id", "turn", "text", i.alias("i"))
-    clock = F.col("turn") * 1000 + F.col("i")
+    clock = F.col("turn") * 1_000_000 + F.col("i")
     key = F.array((F.col("turn") % 3).cast("int"), clock.cast("int"))
     atoms = a.select(F.col("conv_id").alias("doc"), key.alias("key"), (F.col("turn") % 2).cast("string").alias("site"), clock.alias("clock"), F.expr("substring(text, i, 1)").alias("ch"))
     other = atoms.where("clock % 2 = 0")  # a second replica that knows a part

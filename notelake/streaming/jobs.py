@@ -7,38 +7,50 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from notelake.operators.access_log import ingest
-from notelake.operators.memory import fold
+from notelake.operators.memory import LOG, LiveFacts, _folded, fold, folded_rows
 from notelake.sources.notes import shared_folder
 
 
-def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a stream over all that has landed and returns what it wrote."""
-    spark = stream.sparkSession
+def deliver(rows: DataFrame, at: str | None, job: Callable[[DataFrame], DataFrame], mode: str, name: str, deliveries: int = 3) -> DataFrame:
+    """Lands ``rows`` in several deliveries, in order of ``at``, and runs the stream after each on what is new.
+
+    State, watermark and checkpoint carry over from one run to the next, as when a job is restarted. Returns
+    what the stream wrote, with the number of the micro-batch in ``batch``. A delivery keeps the partitions of
+    ``rows``; without ``at`` rows are dealt by hash.
+    """
+    spark = rows.sparkSession
     root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if at is None:
+        turn = F.pmod(F.xxhash64(*rows.columns), F.lit(deliveries))
+    else:
+        ends = rows.agg(F.unix_micros(F.min(at).cast("timestamp")), F.unix_micros(F.max(at).cast("timestamp"))).first()
+        low, high = ends[0] or 0, ends[1] or 0
+        since = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")) - low, F.lit(0))
+        turn = F.least(F.floor(since * deliveries / (high - low + 1)), F.lit(deliveries - 1))
+    landed = rows.withColumn("__turn", turn)
+    rows.where(F.lit(False)).write.parquet(f"{root}/in")  # a stream needs the folder to be there
+    stream = job(spark.readStream.schema(rows.schema).parquet(f"{root}/in"))
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{root}/out/part={n}")
 
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
-    run.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(keep).trigger(availableNow=True)
+    for i in range(deliveries):
+        landed.where(F.col("__turn") == i).drop("__turn").write.mode("append").parquet(f"{root}/in")
+        writer.start().awaitTermination()
     return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{root}/out")
 
 
-def land(df: DataFrame, name: str, files: int = 1) -> str:
-    """Writes rows where a stream can pick them up."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.repartition(files).write.parquet(path)
-    return path
-
-
-def read(spark: SparkSession, path: str, schema, per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
-    return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(path)
+def newest(out: DataFrame, keys: list[str]) -> DataFrame:
+    """The last row per key of a stream in update mode."""
+    rest = [c for c in out.columns if c not in (*keys, "batch", "part")]
+    last = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__last"))
+    return last.select(*keys, *[F.col(f"__last.{c}").alias(c) for c in rest])
 
 
 def log_ingest(events: DataFrame) -> DataFrame:
@@ -81,21 +93,22 @@ def connector_upserts(pages: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def reconcile_stream(facts: DataFrame, scope: str) -> DataFrame:
-    """(scope, id, op, target): facts reconciled as they arrive; a scope's live facts are its state.
+    """(scope, id, op, target, challenges): facts reconciled as they arrive; a scope's live facts are its state.
 
-    Facts of one batch are taken in order of stamp and id.
+    Facts of one batch are taken in order of stamp and id; those of a later batch that come before what they
+    would replace are LATE. A fact leaves the state once a stamp of its scope has passed its expiry.
     """
     kind = dict(facts.dtypes)[scope]
 
     def step(key: tuple, groups: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(groups)).sort_values(["stamp", "id"], kind="stable")
-        held = json.loads(state.get[0]) if state.exists else []
-        log, held = fold(zip(rows["id"], rows["stamp"], rows["text"]), held)
-        state.update((json.dumps(held),))
-        yield pd.DataFrame([(key[0], *x) for x in log], columns=["scope", "id", "op", "target"])
-
-    out = f"scope {kind}, id string, op string, target string"
-    return facts.select(scope, "id", "stamp", "text").groupBy(scope).applyInPandasWithState(step, out, "held string", "append", "NoTimeout")
+        rows = folded_rows(pd.concat(list(groups)))
+        held, seen = json.loads(state.get[0]) if state.exists else ([], None)
+        log, live = fold(rows, LiveFacts(held))
+        seen = max(filter(None, [seen, *(r["stamp"] for r in rows)]), default=None)
+        state.update((json.dumps((live.held(seen), seen)),))
+        yield pd.DataFrame([(key[0], *x) for x in log], columns=["scope", "id", "op", "target", "challenges"])
+
+    return _folded(facts, scope).groupBy(scope).applyInPandasWithState(step, f"scope {kind}, {LOG}", "held string", "append", "NoTimeout")
 
 
 def on_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str):

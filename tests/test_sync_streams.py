@@ -46,17 +46,30 @@ def test_bursts_at_the_edge(spark):
 def test_stream_of_facts_equals_the_fold(spark):
     rows = [(f"s{i % 2}", f"i{i:02}", f"2024-01-{i + 1:02}", f"Ana prefers {'tea' if i % 4 else 'milk'}") for i in range(12)]
     facts = spark.createDataFrame(rows, "scope string, id string, stamp string, text string")
-    first, later = facts.where("id < 'i06'"), facts.where("id >= 'i06'")
-    path = jobs.land(first, "facts")
-    later.coalesce(1).write.mode("append").parquet(path)
-    got = jobs.drain(jobs.reconcile_stream(jobs.read(spark, path, facts.schema, 1), "scope"), "append", "t").select("scope", "id", "op", "target")
+    got = jobs.deliver(facts, "stamp", lambda s: jobs.reconcile_stream(s, "scope"), "append", "t", 4)
+    assert got.select("batch").distinct().count() >= 4
     key = lambda r: tuple(map(str, r))
-    assert sorted(map(key, got.collect())) == sorted(map(key, M.reconcile(facts, "scope").collect()))
+    assert sorted(map(key, got.select("scope", "id", "op", "target", "challenges").collect())) == sorted(map(key, M.reconcile(facts, "scope").collect()))
+
+
+def test_expired_facts_leave_the_state(spark):
+    rows = [("s", "a", "2024-01-01", "Ana prefers tea", "2024-01-05"), ("s", "b", "2024-01-09", "x y z", None), ("s", "c", "2024-02-01", "Ana prefers tea", None)]
+    facts = spark.createDataFrame(rows, "scope string, id string, stamp string, text string, expires string")
+    got = {r.id: r.op for r in jobs.deliver(facts, "stamp", lambda s: jobs.reconcile_stream(s, "scope"), "append", "t", 4).collect()}
+    assert got == {"a": "ADD", "b": "ADD", "c": "ADD"}
+
+
+def test_a_late_fact_does_not_replace_a_newer_one(spark):
+    rows = [(0, "s", "b", "2024-02-01", "Ana prefers tea"), (1, "s", "a", "2024-01-01", "Ana prefers milk")]
+    facts = spark.createDataFrame(rows, "turn int, scope string, id string, stamp string, text string")
+    late = facts.withColumn("turn", F.timestamp_seconds("turn"))
+    got = {r.id: (r.op, r.target) for r in jobs.deliver(late, "turn", lambda s: jobs.reconcile_stream(s, "scope"), "append", "t", 2).collect()}
+    assert got == {"b": ("ADD", None), "a": ("LATE", "b")}
 
 
 def test_upserts_are_delivered_once(spark):
     e = _burst(spark, 6, 10).select(F.lit("c").alias("connector"), (F.col("id") % 3).cast("string").alias("external_id"), F.lit("h").alias("hash"), "at")
-    assert jobs.drain(jobs.connector_upserts(jobs.read(spark, jobs.land(e, "p"), e.schema)), "append", "u").count() == 3
+    assert jobs.deliver(e, "at", jobs.connector_upserts, "append", "u").count() == 3
 
 
 def test_note_tree_skips_hidden_folders(spark, tmp_path):
