@@ -1,43 +1,137 @@
-"""Embeddings without a model file: signed token hashing, and means of rows of a token table."""
+"""Embeddings: signed token hashing, means of rows of a token table behind word pieces, and chains of models."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelake.functions.text import tokens
+from notelake.sources.notes import shared_folder
 
 BUCKETS = 256
 
 
-def hash_weights(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, bucket, weight), unit length per id: bucket is a token's last MD5 byte, sign the low bit of the one before."""
-    m = F.md5("tok")
-    bucket = F.conv(F.substring(m, 31, 2), 16, 10).cast("int")
-    sign = F.when(F.conv(F.substring(m, 29, 2), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
-    # equal tokens are counted first, so that a token is hashed once per document
-    counted = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("tok")).groupBy(id_col, "tok").agg(F.count("*").alias("n"))
-    summed = counted.groupBy(id_col, bucket.alias("bucket")).agg(F.sum(sign * F.col("n")).alias("x")).where("x <> 0")
-    norms = summed.groupBy(id_col).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return summed.join(norms, id_col).select(id_col, "bucket", (F.col("x") / F.col("norm")).alias("weight"))
+#: Tokens whose bucket a worker remembers.
+REMEMBERED = 1_000_000
+_TOKEN = re.compile("[a-z0-9]+")
+
+
+class _Codes(dict):
+    """Token -> 2 * bucket + sign bit: the bucket is the last byte of its MD5, the sign the low bit of the one before."""
+
+    def __missing__(self, token: str) -> int:
+        digest = hashlib.md5(token.encode(), usedforsecurity=False).digest()
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[token] = code = 2 * digest[15] + (digest[14] & 1)
+        return code
+
+
+_CODES = _Codes()
+
+
+def hash_vector(text: str | None) -> np.ndarray | None:
+    """The text's tokens as signed counts in ``BUCKETS`` places, of unit length; none without tokens or where all cancel out."""
+    codes = [_CODES[t] for t in _TOKEN.findall((text or "").lower())]
+    counts = np.bincount(np.array(codes, dtype=np.int64), minlength=2 * BUCKETS)
+    x = (counts[1::2] - counts[::2]).astype(np.float64)
+    norm = np.sqrt((x * x).sum())
+    return x / norm if norm > 0 else None
 
 
 def hash_vectors(docs: DataFrame, id_col: str, text_col: str, out: str = "embedding") -> DataFrame:
-    """(id, embedding) with ``BUCKETS`` doubles; texts without tokens are left out."""
+    """(id, embedding) with ``BUCKETS`` doubles, in one pass over the texts; texts without a vector are left out."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def dense(buckets: pd.Series, weights: pd.Series) -> pd.Series:
-        m = np.zeros((len(buckets), BUCKETS))
-        for row, b, w in zip(m, buckets, weights):
-            row[b] = w
-        return pd.Series(list(m))
-
-    pairs = F.collect_list(F.struct("bucket", "weight")).alias("p")
-    held = hash_weights(docs, id_col, text_col).groupBy(id_col).agg(pairs)
-    return held.select(id_col, dense("p.bucket", "p.weight").alias(out))
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series([hash_vector(t) for t in texts], dtype=object)
+
+    # else the optimizer may run it once for each use of its result
+    made = docs.select(id_col, vectors.asNondeterministic()(F.col(text_col)).alias(out))
+    return made.where(F.col(out).isNotNull())
+
+
+def hash_weights(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, bucket, weight): the places of ``hash_vectors`` that are not zero."""
+    spread = hash_vectors(docs, id_col, text_col, "v").select(id_col, F.posexplode("v").alias("bucket", "weight"))
+    return spread.where("weight <> 0")
+
+
+# -- several models
+
+def signature(name: str, version: int = 1) -> str:
+    """What tells vectors of one model and row shape from those of another."""
+    return f"{name}|v{version}"
+
+
+def embed_chain(docs: DataFrame, id_col: str, text_col: str, models: Sequence[tuple[str, Callable]]) -> DataFrame:
+    """(id, embedding, signature) by the first model that gives every text a vector.
+
+    ``models``: (signature, function of (docs, id column, text column) -> (id, embedding)), in order of preference.
+    A model that fails or leaves out a text is passed over, so that one corpus never mixes models; the last may
+    leave texts out. The signature is that of the model that was used.
+    """
+    if not models:
+        raise ValueError("a chain needs a model")
+    spark = docs.sparkSession
+    wanted = docs.count()
+    for i, (name, model) in enumerate(models):
+        path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+        try:
+            made = model(docs, id_col, text_col).withColumn("signature", F.lit(name))
+            made.write.parquet(path)
+        except (PySparkException, OSError, ValueError):
+            if i == len(models) - 1:
+                raise
+            continue
+        written = spark.read.schema(made.schema).parquet(path)
+        if i == len(models) - 1 or written.where("size(embedding) > 0").count() == wanted:
+            return written
+    raise AssertionError("unreachable")
+
+
+def stale(stored: DataFrame, current: str) -> bool:
+    """Whether any stored vector was made under another signature; all have to be made again then."""
+    return not stored.where(~F.col("signature").eqNullSafe(F.lit(current))).isEmpty()
+
+
+# -- word pieces
+
+def word_pieces(word: str, vocabulary: dict[str, int], unknown: int, prefix: str = "##", longest: int = 100) -> list[int]:
+    """Ids of the word cut greedily into the longest known pieces; one ``unknown`` for the whole word if that fails."""
+    if len(word) > longest:
+        return [unknown]
+    ids, at = [], 0
+    while at < len(word):
+        for end in range(len(word), at, -1):
+            piece = word[at:end] if at == 0 else prefix + word[at:end]
+            if piece in vocabulary:
+                ids.append(vocabulary[piece])
+                at = end
+                break
+        else:
+            return [unknown]
+    return ids
+
+
+def piece_ids(words: DataFrame, vocabulary: dict[str, int], unknown: int, word_col: str = "word") -> DataFrame:
+    """``words``, a distinct vocabulary of a corpus, with the ids of their pieces in ``ids``. The pieces of a model, a
+    few ten thousand, go to each worker."""
+    held = words.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @F.pandas_udf("array<int>")
+    def pieces(w: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else word_pieces(x, held.value, unknown) for x in w], dtype=object)
+
+    return words.withColumn("ids", pieces(F.col(word_col)))
 
 
 def mean_of_rows(keyed: DataFrame, rows: DataFrame, id_col: str, key_col: str, vector_col: str) -> DataFrame:

@@ -72,28 +72,29 @@ def dangling(resolved: DataFrame, n: int = 200) -> DataFrame:
 def mentions(docs: DataFrame, names: DataFrame, linked: DataFrame, least: int = 3) -> DataFrame:
     """(name, doc, line): texts that hold a note's name as whole words without linking to it.
 
-    Words of each text are joined to runs as long as the longest name and meet the names in an
-    equi-join; no name is searched in every text. ``docs``: (doc, body); ``names``: (name, dst);
-    ``linked``: (doc, dst).
+    Names of one word meet the texts' words in an equi-join. A longer name meets a text where the
+    rarest of its words among the names' words stands in a line, and is looked up there at its place;
+    no name is searched in every text, and texts are read once whatever the lengths of the names.
+    ``docs``: (doc, body); ``names``: (name, dst); ``linked``: (doc, dst).
     """
     keyed = names.select("name", "dst", normal(F.col("name")).alias("key")).where(F.length("key") >= least)
-    sizes = [r[0] for r in keyed.select(F.size(F.split("key", " ")).alias("k")).distinct().orderBy("k").limit(32).collect()]
-    lines = docs.select("doc", F.posexplode(F.split("body", "\n")).alias("line", "text")).withColumn("w", F.split(normal(F.col("text")), " "))
-    found = None
-    for k in sizes:
-        one = lines.where(F.size("w") >= k).select("doc", "line", F.explode(_runs(k)).alias("key"))
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return docs.select(F.lit("").alias("name"), "doc", F.lit(0).alias("line")).limit(0)
-    first = found.join(keyed, "key").groupBy("name", "dst", "doc").agg(F.min("line").alias("line")).where("doc <> dst")
+    keyed = keyed.withColumn("k", F.split("key", " "))
+    lines = docs.select("doc", F.posexplode(F.split("body", "\n")).alias("line", "text")).select("doc", "line", normal(F.col("text")).alias("t"))
+    spoken = lines.select("doc", "line", F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
+    single = keyed.where("size(k) = 1").select("name", "dst", F.col("key").alias("word"))
+    found = spoken.join(single, "word").select("name", "dst", "doc", "line")
+    words = keyed.where("size(k) > 1").select("name", "dst", "key", F.explode(F.array_distinct("k")).alias("word"))
+    # a name is filed under its word that the fewest lines hold
+    held = spoken.join(words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    filed = words.join(held, "word").groupBy("name", "dst", "key").agg(F.min_by("word", F.struct("n", "word")).alias("word"), F.count("*").alias("known"))
+    filed = filed.where(F.col("known") == F.size(F.array_distinct(F.split("key", " ")))).drop("known")
+    space = F.lit(" ")
+    near = spoken.join(filed, "word").join(lines, ["doc", "line"])
+    runs = near.where(F.contains(F.concat(space, "t", space), F.concat(space, "key", space))).select("name", "dst", "doc", "line")
+    first = found.unionByName(runs).groupBy("name", "dst", "doc").agg(F.min("line").alias("line")).where("doc <> dst")
     return first.join(linked, ["doc", "dst"], "left_anti").select("name", "doc", "line")
 
 
-def _runs(k: int) -> Column:
-    starts = F.sequence(F.lit(1), F.size("w") - (k - 1))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(k)), " ")))
-
-
 # -- tenancy
 
 def prefixes(path: Column) -> Column:
@@ -190,20 +191,27 @@ def busiest(mentioned: DataFrame, n: int = 20) -> tuple[DataFrame, DataFrame]:
     return top, co_mentions(kept)
 
 
-def chains(facts: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, last, length): where each fact's line of supersession ends, by pointer doubling."""
+def chains(facts: DataFrame) -> DataFrame:
+    """(id, last, length): where each fact's line of supersession ends, by pointer doubling.
+
+    Rounds grow with the logarithm of the longest line. A pointer to an id that is no fact ends the line
+    there. Facts that supersede each other in a circle have no end; they, and what leads to them, are an error.
+    """
     spark = facts.sparkSession
     step = facts.select("id", F.col("superseded_by").alias("last"), F.when(F.col("superseded_by").isNull(), 0).otherwise(1).cast("long").alias("length"))
     step = step.withColumn("last", F.coalesce("last", "id"))
-    for _ in range(rounds):
+    most = facts.count()
+    total = None
+    while True:
         nxt = step.select(F.col("id").alias("n_id"), F.col("last").alias("n_last"), F.col("length").alias("n_length"))
         joined = step.join(nxt, step["last"] == nxt["n_id"], "left")
         following = joined.select("id", F.coalesce("n_last", "last").alias("last"), (F.col("length") + F.coalesce("n_length", F.lit(0))).alias("length"))
         path = f"{shared_folder(spark)}/chain-{uuid.uuid4().hex}"
         following.write.parquet(path)
-        following = spark.read.schema(following.schema).parquet(path)
-        if following.agg(F.sum("length")).first()[0] == step.agg(F.sum("length")).first()[0]:
-            return following
-        step = following
-    return step
-
+        step = spark.read.schema(following.schema).parquet(path)
+        longest, now = step.agg(F.max("length"), F.sum("length")).first()
+        if (longest or 0) > most:
+            raise ValueError("facts supersede each other in a circle")
+        if now == total:
+            return step
+        total = now

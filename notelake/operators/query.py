@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_LIMIT = 200
-NOTE_SORTS = ("path", "title", "created", "updated", "balance", "segment")
+#: Principals who read everything, administrators, at most.
+MAX_READ_ALL = 1000
+#: Columns that every note can be sorted by; properties of notes are named in ``Spec.sortable``.
+NOTE_SORTS = ("path", "title", "created", "updated", "mtime")
 OPERATORS = ("=", "!=", ">", ">=", "<", "<=", "contains", "exists", "missing")
 FORMULAS = ("days_since", "days_until", "year", "month", "date", "upper", "lower", "length", "default", "concat")
 BLOCK_FILTERS = ("kind", "section", "level", "checked", "text", "tag", "path", "linked_to")
@@ -29,6 +32,7 @@ class Spec:
     columns: Sequence[str] = ("path", "title")
     formulas: dict[str, tuple] = field(default_factory=dict)
     group: str | None = None
+    sortable: Sequence[str] = ()
 
     def __post_init__(self):
         allowed = {"notes": NOTE_FILTERS, "blocks": BLOCK_FILTERS}.get(self.source)
@@ -39,7 +43,7 @@ class Spec:
             raise ValueError(f"{', '.join(sorted(unknown))}: no filter of {self.source}")
         if not 1 <= self.limit <= MAX_LIMIT:
             raise ValueError(f"limit must lie between 1 and {MAX_LIMIT}")
-        if self.source == "notes" and self.sort not in NOTE_SORTS:
+        if self.source == "notes" and self.sort not in (*NOTE_SORTS, *self.sortable):
             raise ValueError(f"cannot sort by {self.sort}")
         for key, op, _ in self.filters.get("where", ()):
             if op not in OPERATORS or not key:
@@ -158,14 +162,19 @@ def visible_to(rows: DataFrame, principals: DataFrame, space: str = "space", rea
     reader list, where it has one, narrows access. The principals are a small table of users.
     """
     p = principals
-    # an equi-join on space for those with a list, and one pass for those who see all
+    # an equi-join on space for those with a list; those who see all stand in every row's own list
     listed = p.where("spaces is not null").select("*", F.explode("spaces").alias("__space"))
     a = rows.join(listed, (rows[space] == listed["__space"]) & _fits(rows, listed, readers, private, untrusted)).drop("__space")
-    everyone = p.where("spaces is null").withColumn("__k", F.lit(1))
-    b = rows.withColumn("__k", F.lit(1)).join(everyone, "__k").drop("__k")
-    b = b.where(_fits(b, b, readers, private, untrusted))
+    told = p.where("spaces is null").select("user", "include_private", "trusted_only").take(MAX_READ_ALL + 1)
+    if len(told) > MAX_READ_ALL:
+        raise ValueError(f"more than {MAX_READ_ALL} principals read everything; give them their spaces")
+    everyone = [F.struct(*[F.lit(r[c]).alias(c) for c in ("user", "include_private", "trusted_only")]) for r in told]
     keep = [*rows.columns, "user"]
-    return a.select(*[rows[c] for c in rows.columns], listed["user"]).unionByName(b.select(*keep))
+    a = a.select(*[rows[c] for c in rows.columns], listed["user"])
+    if not everyone:
+        return a
+    b = rows.withColumn("__p", F.explode(F.array(*everyone))).select(*rows.columns, "__p.*")
+    return a.unionByName(b.where(_fits(b, b, readers, private, untrusted)).select(*keep))
 
 
 def _fits(rows: DataFrame, p: DataFrame, readers, private, untrusted) -> Column:

@@ -157,11 +157,11 @@ def c10_filter_before_limit(spark, sf):
     return v.where("rank <= 10").select("user", "path", "rank")
 
 
-@query("SELECT doc_id, (row_number() OVER (ORDER BY source, doc_id))::BIGINT AS place, length(text)::BIGINT AS chars FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, (row_number() OVER (ORDER BY source, doc_id))::BIGINT AS place, length(text)::BIGINT AS chars FROM documents")
 def c11_whole_corpus(spark, sf):
     from notelake.functions.ranks import numbered
 
-    d = table(spark, sf, "documents").where("lang = 'en'").select("source", "doc_id", F.length("text").cast("long").alias("chars"))
+    d = table(spark, sf, "documents").select("source", "doc_id", F.length("text").cast("long").alias("chars"))
     placed = numbered(d, [], [F.col("source")], [F.col("doc_id")], "place")
     return placed.select("doc_id", (F.col("place") + 1).alias("place"), "chars")
 
@@ -381,14 +381,15 @@ def d12_provenance(spark, sf):
 def _mentioned(spark, sf):
     c = table(spark, sf, "conversations")
     fact = F.concat_ws("-", "conv_id", "turn")
-    return c.select(fact.alias("fact"), F.explode(X.entities(F.col("text"))).alias("entity")).where("length(entity) > 8")
+    return c.select(fact.alias("fact"), F.explode(X.entities(F.col("text"))).alias("entity"))
 
 
 _MENTIONED = r"""
 a_ AS (SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS fact, list_concat(
    regexp_extract_all(text, '\[\[([^\]\[|]+)', 1), regexp_extract_all(text, '`([^`\n]+)`', 1), regexp_extract_all(text, '[@#]([A-Za-z][\w-]+)', 1),
    regexp_extract_all(text, '[A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)+'), regexp_extract_all(text, '[A-Z]{2,}[0-9]*'), regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) AS l FROM conversations),
-men AS (SELECT * FROM (SELECT DISTINCT fact, lower(trim(unnest(l))) AS entity FROM a_) WHERE length(entity) > 8)"""
+men AS (SELECT * FROM (SELECT DISTINCT fact, lower(trim(unnest(l))) AS entity FROM a_) WHERE length(entity) > 1 AND entity NOT IN
+  ('the','a','an','this','that','these','those','it','in','on','of','for','and','but','we','i','to','he','she'))"""
 
 
 @query(

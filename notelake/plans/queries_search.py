@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from notelake.functions.text import jaccard, tokens
+from notelake.functions.text import tokens
 from notelake.operators import extract as X
+from notelake.operators import memory as M
 from notelake.operators import search as R
 from notelake.operators.embed import hash_vectors
-from notelake.plans.extraction import LINKS, TAGS
+from notelake.plans.extraction import _STATEMENTS, LINKS, TAGS, words_sql
 from notelake.plans.inputs import FACTS, NOTES, memory, notes
 from notelake.plans.queries_links import _RESOLVED_SQL, NOW, _now, _resolved
 from notelake.plans.registry import query, table
@@ -119,23 +120,13 @@ def e10_vault_stats(spark, sf):
 
 
 @query(
-    f"""WITH {FACTS}, s AS (SELECT DISTINCT text FROM mem), w AS (SELECT text, unnest(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '))) AS w FROM s),
-    z AS (SELECT text, count(*) AS n FROM w GROUP BY text), r AS (SELECT w FROM w GROUP BY w HAVING count(*) BETWEEN 2 AND 40),
-    p AS (SELECT a.text AS a, b.text AS b FROM w a JOIN w b USING (w) JOIN r USING (w) WHERE a.text < b.text GROUP BY ALL),
-    i AS (SELECT p.a, p.b, count(*) AS shared FROM p JOIN w x ON x.text = p.a JOIN w y ON y.text = p.b AND x.w = y.w GROUP BY ALL)
-    SELECT i.a, i.b, round(shared / (za.n + zb.n - shared), 4) AS similarity FROM i JOIN z za ON za.text = i.a JOIN z zb ON zb.text = i.b"""
+    f"""WITH {_STATEMENTS}, s AS (SELECT DISTINCT statement AS text FROM st), w AS (SELECT text, unnest({words_sql('text')}) AS w FROM s), z AS (SELECT text, count(*) AS n FROM w GROUP BY text),
+    i AS (SELECT a.text AS a, b.text AS b, count(*) AS shared FROM w a JOIN w b USING (w) WHERE a.text < b.text GROUP BY ALL)
+    SELECT i.a, i.b, round(shared / (za.n + zb.n - shared), 4) AS similarity FROM i JOIN z za ON za.text = i.a JOIN z zb ON zb.text = i.b WHERE shared / (za.n + zb.n - shared) >= 0.5"""
 )
 def e12_statement_similarity(spark, sf):
-    """Jaccard of statements that share a word found in 2 to 40 statements; a stated candidate rule, not a cap on results."""
-    s = memory(spark, sf).select("text").distinct().withColumn("w", F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " ")))
-    words = s.select("text", F.explode("w").alias("k"))
-    rare = words.groupBy("k").agg(F.count("*").alias("n")).where("n between 2 and 40").select("k")
-    left = words.join(rare, "k")
-    right = left.select("k", F.col("text").alias("b"))
-    pairs = left.select("k", F.col("text").alias("a")).join(right, "k").where("a < b").select("a", "b").distinct()
-    w = s.select(F.col("text").alias("t"), "w")
-    both = pairs.join(w.withColumnsRenamed({"t": "a", "w": "wa"}), "a").join(w.withColumnsRenamed({"t": "b", "w": "wb"}), "b")
-    return both.select("a", "b", F.round(jaccard(F.col("wa"), F.col("wb")), 4).alias("similarity"))
+    said = table(spark, sf, "conversations").select(F.explode(X.statements(F.col("text"))).alias("text"))
+    return M.similar_statements(said, 0.5).withColumn("similarity", F.round("similarity", 4))
 
 
 @query(
@@ -157,11 +148,11 @@ def e13_briefing(spark, sf):
     return parts.withColumn("again", again).where("again = 1").drop("again")
 
 
-# -- retrieval over documents, one chunk a row; queries are the heads of benchmark texts
+# -- retrieval over documents, one chunk a row; queries are the benchmark texts
 
 _TOK = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 POSTINGS = f"""
-q AS (SELECT item_id AS qid, left(text, 120) AS text FROM benchmark),
+q AS (SELECT item_id AS qid, text FROM benchmark),
 p AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY ALL),
 ln_ AS (SELECT doc_id AS id, len({_TOK.format('text')}) AS n_tokens FROM documents),
 st AS (SELECT count(*) AS n, avg(n_tokens) AS avg_len FROM ln_),
@@ -184,29 +175,25 @@ hits AS (SELECT qid, id, lex, cos, score, (row_number() OVER (PARTITION BY qid O
 HYBRID = f"{POSTINGS},{SEMANTIC},{FUSED}"
 
 
-def _rows(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return d.join(hash_vectors(d, "id", "text"), "id", "left")
-
-
 def _queries(spark, sf):
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.left("text", F.lit(120)).alias("text"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return q.join(hash_vectors(q, "qid", "text"), "qid", "left")
 
 
 def _asked(spark, sf):
     return table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("qid"), F.explode(F.array_distinct(tokens(F.left("text", F.lit(120))))).alias("term")
+        F.col("item_id").alias("qid"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")
     )
 
 
 def _lexical(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return R.bm25(R.terms(d, ["id"], "text"), d.select("id", F.size(tokens(F.col("text"))).alias("n_tokens")), _asked(spark, sf))
+    return R.bm25_texts(d, _asked(spark, sf))
 
 
 def hybrid_hits(spark, sf, k=8):
-    return R.hybrid_search(_rows(spark, sf), _queries(spark, sf), k)
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return R.hybrid_search(d, _queries(spark, sf), k, vectors=hash_vectors(d, "id", "text"))
 
 
 @query(f"WITH {POSTINGS} SELECT qid, id, lex FROM lexical")
@@ -215,12 +202,13 @@ def f1_bm25(spark, sf):
 
 
 @query(
-    """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0)
-    SELECT qid, vec_id AS id, round(list_cosine_similarity(e, embedding::DOUBLE[]), 6) AS cos FROM q, embeddings WHERE round(list_cosine_similarity(e, embedding::DOUBLE[]), 6) > 0"""
+    """WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0),
+    c AS (SELECT qid, vec_id AS id, round(list_cosine_similarity(e, embedding::DOUBLE[]), 6) AS cos FROM q, embeddings)
+    SELECT * FROM c WHERE cos > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) <= 50"""
 )
 def f2_dense(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return R.dense(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding"))
+    return R.dense(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding"), best=50)
 
 
 @query(f"WITH {HYBRID} SELECT qid, id, lex, cos, round(score, 9) AS score, rank FROM hits WHERE rank < 100")
@@ -295,7 +283,7 @@ _PREFIXED = "left(regexp_extract_all(lower(text), '[a-z0-9]+')[2], 4) || ' ' ||
 
 
 @query(
-    f"""WITH {POSTINGS.replace("left(text, 120)", _PREFIXED)}, n AS (SELECT qid, count(*) AS needed FROM qt GROUP BY qid),
+    f"""WITH {POSTINGS.replace("item_id AS qid, text FROM", f"item_id AS qid, {_PREFIXED} AS text FROM")}, n AS (SELECT qid, count(*) AS needed FROM qt GROUP BY qid),
     m AS (SELECT qid, id, count(DISTINCT qt.term) AS matched FROM qt JOIN p ON starts_with(p.term, qt.term) GROUP BY ALL), f AS (SELECT * FROM m JOIN n USING (qid))
     SELECT qid, id, matched, 'all' AS mode FROM f WHERE matched = needed UNION ALL
     SELECT qid, id, matched, 'any' FROM f WHERE needed > 1 AND qid NOT IN (SELECT qid FROM f WHERE matched = needed)"""
@@ -322,10 +310,10 @@ def f11_phrase_search(spark, sf):
 
 @query()
 def f12_stems(spark, sf):
-    """Porter-style stems of the distinct vocabulary; tests hold the stemmer against known words."""
-    from notelake.functions.stem import stem_terms
+    """Stems of the distinct vocabulary of letters and numbers; tests hold the stemmer against published words."""
+    from notelake.functions.stem import search_terms, stem_terms
 
-    vocabulary = table(spark, sf, "documents").select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    vocabulary = table(spark, sf, "documents").select(F.explode(search_terms(F.col("text"))).alias("term")).distinct()
     return stem_terms(vocabulary)
 
 
@@ -393,15 +381,16 @@ def f19_reader_context(spark, sf):
 
 
 @query(
-    """WITH q AS (SELECT conv_id AS qid, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 3)))[1:2] AS w FROM conversations WHERE turn = 0),
-    d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents)
-    SELECT qid, doc_id FROM q, d WHERE len(w) = 2 AND list_has_all(t, w)"""
+    f"""WITH u AS (SELECT conv_id AS qid, text FROM conversations WHERE turn = 0 AND text IS NOT NULL), w_ AS (SELECT qid, list_sort(list_distinct(list_filter({_TOK.format('text')}, lambda w: length(w) > 3)))[1:2] AS w FROM u),
+    d AS (SELECT doc_id, source, list_distinct({_TOK.format('text')}) AS t FROM documents), m AS (SELECT DISTINCT qid, source AS note FROM w_, d WHERE len(w) = 2 AND list_has_all(t, w)),
+    q AS (SELECT * FROM u WHERE qid NOT IN (SELECT qid FROM m)),{_HASHED.format('d', 'doc_id', 'documents')},{_HASHED.format('q', 'qid', 'q')},
+    c AS (SELECT vq.id AS qid, vd.id AS id, round(sum(vq.w * vd.w), 6) AS cos FROM vq JOIN vd USING (b) GROUP BY ALL HAVING round(sum(vq.w * vd.w), 6) > 0),
+    r AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) <= 15)
+    SELECT qid, note, 'words' AS how FROM m UNION ALL SELECT DISTINCT qid, source, 'meaning' FROM r JOIN documents ON doc_id = id"""
 )
 def f18_all_words_recall(spark, sf):
-    c = table(spark, sf, "conversations").where("turn = 0")
-    w = F.slice(F.sort_array(F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " "), lambda x: F.length(x) > 3))), F.lit(1), F.lit(2))
-    q = c.select(F.col("conv_id").alias("qid"), w.alias("w")).where("size(w) = 2")
-    asked = q.select("qid", F.explode("w").alias("term"))
-    p = R.terms(table(spark, sf, "documents"), ["doc_id"], "text").select("doc_id", "term")
-    return p.join(asked, "term").groupBy("qid", "doc_id").agg(F.count("*").alias("n")).where("n = 2").select("qid", "doc_id")
-
+    """Notes that hold the two first words of a question; for questions that no note answers, those of the 15 nearest documents."""
+    asked = table(spark, sf, "conversations").where("turn = 0 and text is not null").select(F.col("conv_id").alias("qid"), "text")
+    words = F.slice(F.sort_array(F.array_distinct(F.filter(tokens(F.col("text")), lambda x: F.length(x) > 3))), F.lit(1), F.lit(2))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("note"), "text")
+    return R.recall_notes(d, hash_vectors(d, "id", "text"), asked.withColumn("words", words).where("size(words) = 2"), asked, hash_vectors, 15)

@@ -1,12 +1,17 @@
+import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from notelake.functions.statements import statement
+from notelake.functions.stem import stem_terms
 from notelake.functions.text import tokens
 from notelake.operators import evaluate as E
 from notelake.operators import memory as M
 from notelake.operators import search as R
+from notelake.operators.embed import embed_chain, hash_vectors, piece_ids, signature, stale, word_pieces
 
 
 def _bm25(spark, docs, queries):
@@ -57,11 +62,175 @@ def test_fence_breaks_inner_markers(spark):
     "text,held,want",
     [
         ("Ana prefers tea", [], ("ADD", -1)), ("Ana prefers tea", ["Ana prefers Tea!"], ("NOOP", 0)), ("Ana prefers coffee", ["x y z", "Ana prefers tea"], ("UPDATE", 1)),
-        ("We never deploy on late Friday evenings", ["We deploy on late Friday evenings"], ("DELETE", 0)), ("quarterly report sent", ["report quarterly sent"], ("NOOP", 0)),
+        ("the Ana prefers a tea", ["Ana prefers tea"], ("NOOP", 0)), ("Ana no longer uses vim", ["Ana uses vim"], ("DELETE", 0)),
+        ("We never again deploy on late Friday evenings", ["We deploy on late Friday evenings"], ("DELETE", 0)), ("quarterly report sent", ["report quarterly sent"], ("NOOP", 0)),
+        ("the deploy pipeline takes 20 minutes end to end", ["the nightly backup takes 11 minutes end to end"], ("ADD", -1)),
+        ("my best 5K race time came down to 25:50", ["my best 5K race time came down to 27:12"], ("UPDATE", 0)),
+        ("Zoé préfère le thé vert", ["Zoé préfère le thé vert!"], ("NOOP", 0)),
     ],
 )
 def test_decisions(text, held, want):
-    assert M.decide(text, [{"id": str(i), "text": t} for i, t in enumerate(held)]) == want
+    got = M.decide(text, 1, [{"id": str(i), "text": t, "authority": 1, "immutable": False} for i, t in enumerate(held)])
+    assert got == (*want, False)
+
+
+def test_authority_and_immutability():
+    held = lambda rank, fixed: [{"id": "a", "text": "Ana prefers tea", "authority": rank, "immutable": fixed}]
+    assert M.decide("Ana prefers milk", 0, held(1, False)) == ("ADD", 0, True)
+    assert M.decide("Ana prefers milk", 1, held(1, True)) == ("ADD", -1, False)
+    assert M.decide("Ana prefers tea", 0, held(2, True)) == ("NOOP", 0, False)
+    assert M.decide("Ana prefers milk", 2, held(2, False)) == ("UPDATE", 0, False)
+    assert M.decide("Ana doesn't prefers tea", 0, held(2, False)) == ("ADD", 0, True)
+
+
+WORDS = ["Ana", "the user", "a", "prefers", "uses", "is", "was called", "is called", "no longer", "tea", "green tea", "$20", "20%", "twice", "7 days", "1997", "5:07", "budget", "hosting", "yearly", "team", "was", "island", "Zoé", "isn't", "takes", "minutes"]
+
+
+def _said(rng, n):
+    return [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 7))) for _ in range(n)]
+
+
+def test_pair_decisions_equal_the_folds_step(spark):
+    rng = random.Random(4)
+    pairs = [(i, a, b, rng.randint(0, 2), rng.randint(0, 2), rng.random() < 0.2) for i, (a, b) in enumerate(zip(_said(rng, 1500), _said(rng, 1500)))]
+    pairs += [(len(pairs) + i, a, a.replace("tea", "milk"), 1, 1, False) for i, a in enumerate(_said(rng, 300))]
+    df = spark.createDataFrame(pairs, "i int, new string, old string, new_authority int, old_authority int, old_immutable boolean")
+    got = {r.i: (r.op, r.challenge) for r in M.decide_pairs(df).collect()}
+    for i, new, old, na, oa, fixed in pairs:
+        op, _, challenged = M.decide(new, na, [{"id": "x", "text": old, "authority": oa, "immutable": fixed}])
+        assert got[i] == (op, challenged), (new, old, na, oa, fixed)
+    assert {op for op, _ in got.values()} == {"ADD", "NOOP", "UPDATE", "DELETE"}
+
+
+def slow_fold(facts):
+    """Every live fact is ranked for every new one; the twelve best are decided on in order."""
+    live, log = [], []
+    for f in facts:
+        new = statement(f["text"])
+
+        def order(old):
+            said = statement(old["text"])
+            same = bool(new.attribute and said.attribute and new.attribute[:2] == said.attribute[:2])
+            return (not same, -new.similarity(said), -live.index(old))
+
+        open_ = [o for o in live if (o["expires"] is None or o["expires"] > f["stamp"])]
+        near = sorted(open_, key=order)[:12]
+        op, at, challenged = M.decide(f["text"], f["authority"], near)
+        target = near[at]["id"] if at >= 0 else None
+        if op in ("UPDATE", "DELETE"):
+            live = [o for o in live if o["id"] != target]
+        if op in ("ADD", "UPDATE"):
+            live.append(f)
+        log.append((f["id"], op, None if challenged else target, target if challenged else None))
+    return log
+
+
+def _facts(rng, n):
+    return [
+        {"id": f"i{i:04}", "stamp": f"2024-{i // 28 % 12 + 1:02}-{i % 28 + 1:02} 00:00:00", "text": t, "authority": rng.randint(0, 2), "immutable": rng.random() < 0.1,
+         "expires": f"2024-{(i // 28 + 2) % 12 + 1:02}-01 00:00:00" if rng.random() < 0.2 else None}
+        for i, t in enumerate(_said(rng, n))
+    ]
+
+
+def test_fold_takes_the_best_matches_of_many_live_facts():
+    facts = [{"id": f"i{i}", "stamp": f"{i:03}", "text": f"Person{i} prefers tea", "authority": 1, "immutable": False, "expires": None} for i in range(40)]
+    facts.append(facts[0] | {"id": "last", "stamp": "900", "text": "Person0 prefers coffee"})
+    log, live = M.fold(facts)
+    assert log[-1] == ("last", "UPDATE", "i0", None) and len(live.facts) == 40
+    for seed in range(4):
+        rows = sorted(_facts(random.Random(seed), 250), key=lambda f: (f["stamp"], f["id"]))
+        assert M.fold(rows)[0] == slow_fold(rows)
+
+
+def test_reconcile_with_authority_by_scope(spark):
+    rows = [(f"s{i % 3}", f) for i, f in enumerate(_facts(random.Random(9), 200))]
+    df = spark.createDataFrame([(s, *[f[k] for k in M.FOLDED]) for s, f in rows], "scope string, id string, stamp string, text string, authority int, immutable boolean, expires string")
+    got = {(r.scope, r.id): (r.op, r.target, r.challenges) for r in M.reconcile(df, "scope").collect()}
+    for scope in ("s0", "s1", "s2"):
+        own = sorted((f for s, f in rows if s == scope), key=lambda f: (f["stamp"], f["id"]))
+        assert {(scope, i): (o, t, c) for i, o, t, c in slow_fold(own)} == {k: v for k, v in got.items() if k[0] == scope}
+
+
+def test_late_and_empty_facts():
+    f = {"authority": 1, "immutable": False, "expires": None}
+    log, live = M.fold([f | {"id": "b", "stamp": "2", "text": "Ana prefers tea"}, f | {"id": "a", "stamp": "1", "text": "Ana prefers milk"}, f | {"id": "c", "stamp": "3", "text": " "}])
+    assert log == [("b", "ADD", None, None), ("a", "LATE", "b", None), ("c", "NOOP", None, None)] and set(live.facts) == {"b"}
+
+
+def test_similar_statements_are_all_pairs(spark):
+    texts = _said(random.Random(2), 300)
+    got = {(r.a, r.b): r.similarity for r in M.similar_statements(spark.createDataFrame([(t,) for t in texts], "text string"), 0.5).collect()}
+    want = {(a, b): statement(a).similarity(statement(b)) for a, b in itertools.combinations(sorted(set(texts)), 2)}
+    assert got == {p: s for p, s in want.items() if s >= 0.5} and len(got) > 100
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_dense_in_blocks_equals_the_broadcast_form(spark, monkeypatch, kind):
+    rng = random.Random(1)
+    of = lambda i: i if kind == "long" else f"r{i}"
+    vectors = [(of(i), [rng.gauss(0, 1) for _ in range(6 if i % 9 else 5)]) for i in range(200)]
+    rows = spark.createDataFrame(vectors, f"id {kind}, embedding array<double>")
+    q = rows.limit(60).withColumnRenamed("id", "qid")
+    whole = sorted(tuple(r) for r in R.dense(rows, q).collect())
+    best = sorted(tuple(r) for r in R.dense(rows, q, best=7).collect())
+    assert len(best) <= 60 * 7 < len(whole) and set(best) <= set(whole)
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(R, "ROW_CHUNK", 50)
+    assert sorted(tuple(r) for r in R.dense(rows, q).collect()) == whole
+    assert sorted(tuple(r) for r in R.dense(rows, q, best=7).collect()) == best
+
+
+def test_bm25_from_texts_equals_the_postings_form(spark):
+    rng = random.Random(6)
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(_said(rng, 80))], "id long, text string")
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(_said(rng, 10))], "qid long, text string").select("qid", F.explode(tokens(F.col("text"))).alias("term"))
+    a = R.bm25(R.terms(d, ["id"], "text"), d.select("id", F.size(tokens(F.col("text"))).alias("n_tokens")), q)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, R.bm25_texts(d, q).collect()))
+
+
+def test_embed_chain(spark):
+    d = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, text string")
+
+    def fails(docs, id_col, text_col):
+        raise ValueError("no model")
+
+    def partial(docs, id_col, text_col):
+        return hash_vectors(docs.where("id = 1"), id_col, text_col)
+
+    made = embed_chain(d, "id", "text", [("x|v1", fails), ("p|v1", partial), (signature("hash"), hash_vectors)])
+    assert {(r.id, r.signature, len(r.embedding)) for r in made.collect()} == {(1, "hash|v1", 256), (2, "hash|v1", 256)}
+    assert stale(made, signature("hash", 2)) and not stale(made, signature("hash"))
+    with pytest.raises(ValueError):
+        embed_chain(d, "id", "text", [("x|v1", fails)])
+
+
+def test_word_pieces(spark):
+    known = {"un": 1, "##aff": 2, "##able": 3, "a": 4, "##f": 5, "[UNK]": 0}
+    assert word_pieces("unaffable", known, 0) == [1, 2, 3] and word_pieces("unx", known, 0) == [0] and word_pieces("a" * 101, known, 0) == [0]
+    words = spark.createDataFrame([("unaff",), (None,), ("af",)], "word string")
+    assert {r.word: r.ids for r in piece_ids(words, known, 0).collect()} == {"unaff": [1, 2], None: None, "af": [4, 5]}
+
+
+def test_stems(spark):
+    known = {
+        "caresses": "caress", "ponies": "poni", "ties": "ti", "caress": "caress", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "bled": "bled",
+        "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop", "tanned": "tan", "falling": "fall", "hissing": "hiss",
+        "fizzed": "fizz", "failing": "fail", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "conditional": "condit", "rational": "ration", "valenci": "valenc",
+        "digitizer": "digit", "operator": "oper", "feudalism": "feudal", "decisiveness": "decis", "hopefulness": "hope", "formaliti": "formal", "sensibiliti": "sensibl", "triplicate": "triplic",
+        "formative": "form", "electrical": "electr", "goodness": "good", "revival": "reviv", "allowance": "allow", "adjustable": "adjust", "replacement": "replac", "adoption": "adopt",
+        "communism": "commun", "effective": "effect", "bowdlerize": "bowdler", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll",
+        "généralités": "general", "Ⅷ": "Ⅷ", "as": "as",
+    }
+    got = {r.term: r.stem for r in stem_terms(spark.createDataFrame([(w,) for w in known], "term string")).collect()}
+    assert {w: s for w, s in got.items() if s != known[w]} == {"généralités": "generalit"}
+
+
+def test_phrases(spark):
+    d = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "on the cat"), (3, "cat the on"), (4, "")], "id long, text string")
+    q = spark.createDataFrame([(1, "the cat"), (2, "cat"), (3, "on the mat"), (4, "absent cat"), (5, "")], "qid long, text string")
+    assert {(r.qid, r.id) for r in R.phrase_search(d, q).collect()} == {(1, 1), (1, 2), (2, 1), (2, 2), (2, 3), (3, 1)}
 
 
 def test_fold_equals_the_native_path(spark):
