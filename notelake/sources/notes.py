@@ -58,8 +58,14 @@ def user_statements(turns: DataFrame, most: int = 19_000) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir, or a temporary folder where none is set."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="notelake-")).rstrip("/")
+    """The cluster's spark.checkpoint.dir; only in local mode a temporary folder may stand in for it."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="notelake-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 def export_snapshot(df: DataFrame, path: str, partition: str | None = None, fmt: str = "parquet") -> None:

@@ -16,6 +16,9 @@ ROOT = Path(__file__).resolve().parent.parent
 SAMPLE = (
     "a4_chat_export", "a8_tracker_export", "b3_links", "b6_blocks", "b12_memory_bullets", "c1_note_query", "c9_visibility", "c14_autocomplete", "d2_incremental_resolution", "d12_provenance",
     "e2_memory_facets", "e8_latency_histogram", "f3_fusion", "f10_prefix_search", "g4_believed_at", "g7_pair_decision", "h9_crdt_merge", "i3_breadth_burst", "i11_stream_metrics", "j9_mcnemar",
+    "a10_code_export", "a11_drive_export", "b10_embed_chain", "b13_content_ids", "b15_attributes", "b16_negation", "b17_typed_values", "b22_corpus_build", "c10_filter_before_limit", "c11_whole_corpus", "d7_unlinked_mentions",
+    "d13_entity_neighbourhood", "d16_supersession_chains", "e12_statement_similarity", "f2_dense", "f6_hybrid_search", "f11_phrase_search", "f18_all_words_recall", "g1_fact_ranking", "g8_value_updates", "g9_reconcile_fold",
+    "i2_stream_denial_cap", "i6_stream_reconcile", "i7_stream_upserts", "i8_stream_coalesced_edits", "j4_score_run",
 )
 
 
