@@ -54,7 +54,10 @@ BATCH_ROWS = 1000
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Bounds the rows per Arrow batch for this session, so that a Python worker holds few whole texts at a time."""
+    """Bounds the rows per Arrow batch for this session, so that a Python worker holds few whole texts at a time.
+
+    The setting stays: frames are evaluated after the operator that made them has returned.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

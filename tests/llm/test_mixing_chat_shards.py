@@ -134,6 +134,13 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(turns.where("false")).count() == 0
 
 
+def test_chat_of_very_long_texts(spark):
+    long = "a # b < c : \\\\ é" * 60_000
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    r = chat.format_conversations(turns).withColumn("read", chat.read_back(F.col("formatted"))).first()
+    assert [x.text for x in r.read] == [long, long] and r.valid
+
+
 def check_shards(got, n):
     rows = got.collect()
     counts = {}

@@ -43,3 +43,37 @@ def test_pipeline(spark):
         before = n
     assert docs.columns == ["doc_id", "source", "n_tokens", "ids"]
     assert docs.where(F.octet_length("ids") != F.col("n_tokens") * 4).count() == 0
+
+
+def _ids(docs):
+    return sorted(str(r.doc_id) for r in docs.select("doc_id").collect())
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_of_odd_rows(spark, odd_docs, number):
+    name, stage = corpus_pipeline.STAGES[number]
+    before = _ids(odd_docs)
+    out = stage(spark, odd_docs, SF)
+    if number < 4:
+        assert out.columns == odd_docs.columns
+    after = _ids(out)
+    if name == "exact dedup":
+        # 1 and both rows of 2 are one text; 3 and 4 are empty; 7 is one space
+        assert after == sorted(["1", "3", "None", "5", "6", "7", "8"])
+    elif name == "SimHash near-dedup":
+        assert after == sorted(x for x in before if x != "2")
+    elif name == "byte-level BPE":
+        assert after == before
+    else:
+        assert set(after) <= set(before)
+    empty = stage(spark, odd_docs.where("doc_id > 1000"), SF)
+    assert empty.count() == 0 and empty.columns == out.columns
+
+
+def test_stages_keep_clashing_columns(spark, filed):
+    rows = [(i, f"{' '.join(f'w{i}x{j}' for j in range(30))}", f"s{i % 2}", "a", "b", "c") for i in range(20)]
+    docs = filed(rows, "doc_id long, text string, source string, copies string, c_id string, keep_id string")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.select("copies", "c_id", "keep_id").collect()} <= {("a", "b", "c")}
