@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions.text import STOPWORDS, normal
@@ -118,17 +118,21 @@ def slot_terms(text: Column) -> Column:
     )
 
 
-def value_update(old: Column, new: Column) -> tuple[Column, Column, Column]:
-    """(shared slot terms, their share of the shorter's, whether the one value of a kind differs in the same slot)."""
-    a, b = slot_terms(old), slot_terms(new)
+def with_slots(rows: DataFrame, *texts: str) -> DataFrame:
+    """``rows`` with {text}_slots and {text}_values for each named column, so that they are worked out once."""
+    return rows.withColumns({f"{t}_slots": slot_terms(F.col(t)) for t in texts} | {f"{t}_values": values(F.col(t)) for t in texts})
+
+
+def value_update(old: str = "old", new: str = "new") -> tuple[Column, Column, Column]:
+    """(shared slot terms, their share of the shorter's, whether the one value of a kind differs in the same slot), of ``with_slots``."""
+    a, b = F.col(f"{old}_slots"), F.col(f"{new}_slots")
     both = F.array_intersect(a, b)
     shared, least = F.size(both), F.least(F.size(a), F.size(b))
     telling = F.size(F.filter(both, lambda w: ~w.isin(*GENERIC_TERMS)))
     overlap = F.when(least == 0, F.lit(0.0)).otherwise(shared / least)
-    va, vb = values(old), values(new)
     differs = F.lit(False)
     for kind, _ in VALUE_PATTERNS:
-        x, y = (F.filter(v, lambda e: e["kind"] == kind) for v in (va, vb))
+        x, y = (F.filter(f"{t}_values", lambda e: e["kind"] == kind) for t in (old, new))
         differs = differs | ((F.size(x) == 1) & (F.size(y) == 1) & (F.get(x, F.lit(0))["text"] != F.get(y, F.lit(0))["text"]))
     same = (shared >= SHARED_TERMS) & (telling >= TELLING_TERMS) & (overlap >= SLOT_OVERLAP)
     return shared, overlap, same & F.coalesce(differs, F.lit(False))
