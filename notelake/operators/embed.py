@@ -134,9 +134,9 @@ def piece_ids(words: DataFrame, vocabulary: dict[str, int], unknown: int, word_c
     return words.withColumn("ids", pieces(F.col(word_col)))
 
 
-def mean_of_rows(keyed: DataFrame, rows: DataFrame, id_col: str, key_col: str, vector_col: str) -> DataFrame:
-    """(id, dim, x): the unit mean of the table rows that an id's keys name; unknown keys count for nothing."""
-    counted = keyed.groupBy(id_col, key_col).agg(F.count("*").alias("n"))
+def mean_of_rows(keyed: DataFrame, rows: DataFrame, id_col: str, key_col: str, vector_col: str, times: str | None = None) -> DataFrame:
+    """(id, dim, x): the unit mean of the table rows that an id's keys name, each as often as ``times`` says; unknown keys count for nothing."""
+    counted = keyed.groupBy(id_col, key_col).agg((F.sum(times) if times else F.count("*")).alias("n"))
     spread = counted.join(rows, key_col).select(id_col, "n", F.posexplode(vector_col).alias("dim", "v"))
     means = spread.groupBy(id_col, "dim").agg((F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).alias("m"))
     norms = means.groupBy(id_col).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm")).where("norm > 0")

@@ -54,6 +54,10 @@ NORMAL = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 SLUG = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
 
 
+def _quoted(words):
+    return ", ".join(f"'{w}'" for w in words)
+
+
 # -- sources
 
 @query(
@@ -210,23 +214,34 @@ def b8_hash_embedding(spark, sf):
     )
 
 
+#: Pieces of the demonstration vocabulary; a piece inside a word has its place plus the number of pieces as id.
+_PIECES = [*"abcdefghijklmnopqrstuvwxyz0123456789", "de", "en", "er", "la", "on", "th", "an", "re", "ou", "le", "ti", "ei", "ent", "tio", "que", "ing", "and", "sch"]
+_UNKNOWN = 499
+
+
 @query(
-    r"""WITH w AS (SELECT DISTINCT vec_id, embedding FROM embeddings),
-    t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM documents),
-    k AS (SELECT doc_id, (length(tok) * 31 + ascii(tok)) % 500 AS vec_id FROM t),
-    e AS (SELECT doc_id, unnest(range(64)) AS dim, unnest(embedding) AS x FROM k JOIN w USING (vec_id)),
-    m AS (SELECT doc_id, dim, avg(x::DOUBLE) AS x FROM e GROUP BY doc_id, dim),
+    f"""WITH RECURSIVE w AS (SELECT DISTINCT vec_id, embedding FROM embeddings), t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM documents),
+    seg AS (SELECT tok, 1 AS pos, NULL::VARCHAR AS piece, 0 AS start FROM (SELECT DISTINCT tok FROM t WHERE length(tok) <= 100)
+      UNION ALL SELECT tok, pos + n, substr(tok, pos, n), pos FROM (SELECT tok, pos, CASE WHEN pos + 2 <= length(tok) AND substr(tok, pos, 3) IN ({_quoted(p for p in _PIECES if len(p) == 3)}) THEN 3
+        WHEN pos + 1 <= length(tok) AND substr(tok, pos, 2) IN ({_quoted(p for p in _PIECES if len(p) == 2)}) THEN 2 ELSE 1 END AS n FROM seg WHERE pos <= length(tok))),
+    p AS (SELECT tok, list_position([{_quoted(_PIECES)}], piece) - 1 + CASE WHEN start > 1 THEN {len(_PIECES)} ELSE 0 END AS vec_id FROM seg WHERE piece IS NOT NULL
+      UNION ALL SELECT DISTINCT tok, {_UNKNOWN} FROM t WHERE length(tok) > 100),
+    k AS (SELECT doc_id, vec_id, count(*) AS n FROM t JOIN p USING (tok) GROUP BY ALL),
+    e AS (SELECT doc_id, n, unnest(range(64)) AS dim, unnest(embedding) AS x FROM k JOIN w USING (vec_id)),
+    m AS (SELECT doc_id, dim, sum(x::DOUBLE * n) / sum(n) AS x FROM e GROUP BY doc_id, dim),
     n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM m GROUP BY doc_id)
-    SELECT doc_id, dim::INT AS dim, round(x / norm, 5) AS x FROM m JOIN n USING (doc_id) WHERE norm > 0"""
+    SELECT doc_id, dim::INT AS dim, round(x / norm, 5) + 0.0::DOUBLE AS x FROM m JOIN n USING (doc_id) WHERE norm > 0"""
 )
 def b9_static_embedding(spark, sf):
-    from notelake.operators.embed import mean_of_rows
+    """Words are cut into known pieces once each; a document's vector is the mean of its pieces' rows."""
+    from notelake.operators.embed import mean_of_rows, piece_ids
 
-    d = table(spark, sf, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("tok"))
-    keyed = d.select("doc_id", ((F.length("tok") * 31 + F.ascii("tok")) % 500).cast("long").alias("vec_id"))
-    return mean_of_rows(keyed, table(spark, sf, "embeddings").select("vec_id", "embedding"), "doc_id", "vec_id", "embedding").select(
-        "doc_id", "dim", F.round("x", 5).alias("x")
-    )
+    vocabulary = {p: i for i, p in enumerate(_PIECES)} | {"##" + p: i + len(_PIECES) for i, p in enumerate(_PIECES)}
+    d = table(spark, sf, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("tok")).groupBy("doc_id", "tok").agg(F.count("*").alias("times"))
+    pieces = piece_ids(d.select("tok").distinct(), vocabulary, _UNKNOWN, "tok")
+    keyed = d.join(pieces, "tok").select("doc_id", "times", F.explode(F.col("ids").cast("array<long>")).alias("vec_id"))
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return mean_of_rows(keyed, rows, "doc_id", "vec_id", "embedding", "times").select("doc_id", "dim", (F.round("x", 5) + F.lit(0.0)).alias("x"))
 
 
 @query(
@@ -289,10 +304,6 @@ def b14_statements(spark, sf):
     return c.select("conv_id", "turn", F.explode(X.statements(F.col("text"))).alias("statement"))
 
 
-def _quoted(words):
-    return ", ".join(f"'{w}'" for w in words)
-
-
 def attribute_sql(text: str, name: str = "") -> str:
     """Columns {name}subject, {name}predicate, {name}value of a statement, empty where there is none."""
     part = lambda i: f"regexp_extract({NORMAL.format(text)}, '{G.ATTRIBUTE}', {i})"
