@@ -118,9 +118,11 @@ def slot_terms(text: Column) -> Column:
     )
 
 
-def with_slots(rows: DataFrame, *texts: str) -> DataFrame:
-    """``rows`` with {text}_slots and {text}_values for each named column, so that they are worked out once."""
-    return rows.withColumns({f"{t}_slots": slot_terms(F.col(t)) for t in texts} | {f"{t}_values": values(F.col(t)) for t in texts})
+def with_slots(rows: DataFrame, *texts: str, where: Column | None = None) -> DataFrame:
+    """``rows`` with {text}_slots and {text}_values for each named column, so that they are worked out once; null where
+    the condition does not hold."""
+    made = {f"{t}_slots": slot_terms(F.col(t)) for t in texts} | {f"{t}_values": values(F.col(t)) for t in texts}
+    return rows.withColumns(made if where is None else {c: F.when(where, v) for c, v in made.items()})
 
 
 def value_update(old: str = "old", new: str = "new") -> tuple[Column, Column, Column]:

@@ -188,7 +188,7 @@ def _asked(spark, sf):
 
 def _lexical(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return R.bm25_texts(d, _asked(spark, sf))
+    return R.lexical(d, _asked(spark, sf))
 
 
 def hybrid_hits(spark, sf, k=8):

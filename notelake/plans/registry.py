@@ -22,5 +22,12 @@ def query(sql: str | None = None):
     return register
 
 
+#: Bytes from which, and up to which, a table is dealt to all cores: below one split it is read by one task, whatever
+#: it costs per row. What a query then shuffles is less than one split; larger tables are read as they lie.
+DEALT = (256 << 10, 128 << 20)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if DEALT[0] <= size < DEALT[1] else df

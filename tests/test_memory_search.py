@@ -187,7 +187,11 @@ def test_bm25_from_texts_equals_the_postings_form(spark):
     d = spark.createDataFrame([(i, t) for i, t in enumerate(_said(rng, 80))], "id long, text string")
     q = spark.createDataFrame([(i, t) for i, t in enumerate(_said(rng, 10))], "qid long, text string").select("qid", F.explode(tokens(F.col("text"))).alias("term"))
     a = R.bm25(R.terms(d, ["id"], "text"), d.select("id", F.size(tokens(F.col("text"))).alias("n_tokens")), q)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, R.bm25_texts(d, q).collect()))
+    rows = lambda df: sorted((r.qid, r.id, round(r.lex, 5)) for r in df.select("qid", "id", "lex").collect())
+    want = rows(a.where("lex > 0"))
+    assert rows(R.bm25_texts(d, q)) == want and rows(R.lexical(d, q)) == want
+    best = rows(R.lexical(d, q, 3))
+    assert set(best) <= set(want) and len(best) == sum(min(3, sum(w[0] == i for w in want)) for i in range(10))
 
 
 @pytest.mark.parametrize("reach,k", [(500, 5), (3, 2), (1, 1), (20, 8)])
