@@ -1,11 +1,11 @@
-"""The ten operators as registered queries over their whole tables."""
+"""The operators as registered queries over their whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import bpe, chat, exact, lines, mixing, quality, rules, shards, simhash, urls
+from notelake.llm import bpe, chat, codes, divergence, exact, lines, lm, mixing, quality, rules, shards, simhash, urls
 from notelake.llm.common import table
 from notelake.llm.sql import ORACLES
 
@@ -110,6 +110,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(books.digest() if books else None).cast("string")
+    return coded.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -123,6 +137,9 @@ QUERIES = {
         op8_chat_formatting,
         op9_line_dedup,
         op10_sharding,
+        op11_vector_codes,
+        op12_lm_scoring,
+        op13_source_divergence,
     )
 }
 

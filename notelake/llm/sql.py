@@ -88,10 +88,57 @@ SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::
 FROM d LEFT JOIN g USING (r)
 """
 
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds of assignment and floored means, unrolled."""
+    steps = [
+        rf"""k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label,
+        list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(coalesce(x, 'nan'::FLOAT)))) = len(embedding)),
+c AS MATERIALIZED (SELECT r, part, i, v[part * w + i] AS x FROM (SELECT r, v, len(v) // {parts} AS w, unnest(range({parts})) AS part FROM k),
+        LATERAL (SELECT unnest(range(1, w + 1)) AS i)),
+e0 AS MATERIALIZED (SELECT part, r - 1 AS entry, i, x AS y FROM c WHERE r <= {entries})"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""d{n} AS (SELECT r, part, entry, sum((x - y) * (x - y))::BIGINT AS d FROM c JOIN e{n} USING (part, i) GROUP BY r, part, entry),
+a{n} AS MATERIALIZED (SELECT r, part, d, entry FROM d{n} QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY d, entry) = 1)""")
+        if n < rounds:
+            # DuckDB's // is floored by hand: it truncates
+            steps.append(f"""s{n} AS (SELECT part, entry, i, sum(x)::BIGINT AS t, count(*) AS n FROM a{n} JOIN c USING (r, part) GROUP BY part, entry, i),
+e{n + 1} AS MATERIALIZED (SELECT part, entry, i, CASE WHEN n IS NULL THEN y ELSE t // n - (t % n < 0)::BIGINT END AS y FROM e{n} LEFT JOIN s{n} USING (part, entry, i))""")
+    return "WITH " + ",\n".join(steps) + f""",
+h AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM e{rounds}),
+o AS (SELECT r, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM k JOIN o USING (r), h
+"""
+
+
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS terms, sum(lang_n)::BIGINT AS lang_total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+c AS (SELECT lang, source, term, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source)::BIGINT AS total, lang_n, lang_total, terms
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + 1000000000 * (n + 5) // (total + 5 * terms) AS p, 1 + 1000000000 * (lang_n + 5) // (lang_total + 5 * terms) AS q FROM c),
+w AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN w ON w.lang = a.lang AND w.source = a.source AND w.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 50
+"""
+
+
 ORACLES = {
     "op4_quality_rules": RULES,
     "op5_url_filters": URLS,
     "op6_exact_dedup": EXACT,
     "op8_chat_formatting": CHAT,
     "op9_line_dedup": LINES,
+    "op11_vector_codes": _codes_sql(),
+    "op13_source_divergence": DIVERGENCE,
 }

@@ -9,7 +9,7 @@ from notelake.llm import queries
 from notelake.llm.sql import ORACLES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "conversations", "labels", "benchmark")
+TABLES = ("documents", "pages", "conversations", "labels", "benchmark", "embeddings")
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
