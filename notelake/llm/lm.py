@@ -6,8 +6,8 @@ do not reach across words, so a word has one code length wherever it stands, and
 grows with the words that differ, not with positions of the corpus.
 
 The trie holds every context seen in training with the counts of the bytes after it. Where a
-context has T counts over D distinct bytes, a byte seen there has share count / (T + D) and the
-escape D / (T + D). After an escape the next shorter context leaves out the bytes that the longer
+context has T counts over D distinct bytes, a byte seen there has share (2 * count - 1) / 2T and the
+escape D / 2T. After an escape the next shorter context leaves out the bytes that the longer
 one has seen: its T and D are less by theirs. When nothing is left there the escape is certain; below the
 empty context all bytes never seen are equally likely. What is left out is always the set of the one longer
 context, as sets of longer contexts lie within it, so each node needs three numbers: T, D, and E,
@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from notelake.llm.common import drop_written, joined_hot, text_batches, whole_text, written
 
 #: Bytes of context at most, and what is added to a count of the unigram model.
-ORDER, ADD = 6, 0.1
+ORDER, ADD = 5, 0.1
 #: One row in so many is held out.
 HELD_OUT = 10
 #: Words with more than one in so many tokens, and endings of words with more than one in so many, are joined by broadcast.
@@ -158,9 +158,9 @@ def _found_share(levels: Column) -> Column:
     start = F.struct(F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("out_d"), F.lit(0).cast("long").alias("out_e"), F.lit(False).alias("found"))
 
     def step(s: Column, x: Column) -> Column:
-        d, whole = x["d"] - s["out_d"], x["t"] - s["out_e"] + x["d"] - s["out_d"]
+        d, whole = x["d"] - s["out_d"], 2 * (x["t"] - s["out_e"])
         log = (
-            F.when(x["c"].isNotNull(), F.log10(x["c"] / whole))
+            F.when(x["c"].isNotNull(), F.log10((2 * x["c"] - 1) / whole))
             .when(d > 0, F.log10(d / whole))
             .otherwise(F.lit(0.0))
         )

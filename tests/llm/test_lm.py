@@ -37,9 +37,9 @@ class Plain:
             counts = {b: n for b, n in self.seen.get(context[k:], {}).items() if b not in out}
             if not counts:
                 continue
-            whole = sum(counts.values()) + len(counts)
+            whole = 2 * sum(counts.values())
             if byte in counts:
-                return share * counts[byte] / whole
+                return share * (2 * counts[byte] - 1) / whole
             share *= len(counts) / whole
             out |= set(counts)
         return share / (256 - len(out))
