@@ -40,7 +40,11 @@ _CODES = _Codes()
 
 def hash_vector(text: str | None) -> np.ndarray | None:
     """The text's tokens as signed counts in ``BUCKETS`` places, of unit length; none without tokens or where all cancel out."""
-    codes = [_CODES[t] for t in _TOKEN.findall((text or "").lower())]
+    return hash_tokens(_TOKEN.findall((text or "").lower()))
+
+
+def hash_tokens(said: Sequence[str]) -> np.ndarray | None:
+    codes = [_CODES[t] for t in said]
     counts = np.bincount(np.array(codes, dtype=np.int64), minlength=2 * BUCKETS)
     x = (counts[1::2] - counts[::2]).astype(np.float64)
     norm = np.sqrt((x * x).sum())

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_LIMIT = 200
-#: Principals who read everything, administrators, at most.
-MAX_READ_ALL = 1000
 #: Columns that every note can be sorted by; properties of notes are named in ``Spec.sortable``.
 NOTE_SORTS = ("path", "title", "created", "updated", "mtime")
 OPERATORS = ("=", "!=", ">", ">=", "<", "<=", "contains", "exists", "missing")
@@ -159,31 +157,29 @@ def visible_to(rows: DataFrame, principals: DataFrame, space: str = "space", rea
     """Each row once per principal that may read it.
 
     ``principals``: user, spaces (null = all, empty = none), include_private, trusted_only. A row's
-    reader list, where it has one, narrows access. The principals are a small table of users.
+    reader list, where it has one, narrows access. All are equi-joins whose pairs are results: rows with a
+    reader list meet the readers on it, others the principals of their space, or those of all spaces by what they may read.
     """
-    p = principals
-    # an equi-join on space for those with a list; those who see all stand in every row's own list
-    listed = p.where("spaces is not null").select("*", F.explode("spaces").alias("__space"))
-    a = rows.join(listed, (rows[space] == listed["__space"]) & _fits(rows, listed, readers, private, untrusted)).drop("__space")
-    told = p.where("spaces is null").select("user", "include_private", "trusted_only").take(MAX_READ_ALL + 1)
-    if len(told) > MAX_READ_ALL:
-        raise ValueError(f"more than {MAX_READ_ALL} principals read everything; give them their spaces")
-    everyone = [F.struct(*[F.lit(r[c]).alias(c) for c in ("user", "include_private", "trusted_only")]) for r in told]
-    keep = [*rows.columns, "user"]
-    a = a.select(*[rows[c] for c in rows.columns], listed["user"])
-    if not everyone:
-        return a
-    b = rows.withColumn("__p", F.explode(F.array(*everyone))).select(*rows.columns, "__p.*")
-    return a.unionByName(b.where(_fits(b, b, readers, private, untrusted)).select(*keep))
-
-
-def _fits(rows: DataFrame, p: DataFrame, readers, private, untrusted) -> Column:
-    fits = p["include_private"] | ~rows[private]
-    if readers:
-        fits = fits & ((F.size(rows[readers]) == 0) | F.array_contains(rows[readers], p["user"]))
-    if untrusted:
-        fits = fits & (~p["trusted_only"] | ~rows[untrusted])
-    return fits
+    flags = F.struct(F.col(private).alias("private"), (F.col(untrusted) if untrusted else F.lit(False)).alias("untrusted"))
+    r = rows.withColumn("__flags", flags)
+    p = principals.select(
+        F.col("user").alias("__user"), F.array_distinct("spaces").alias("__spaces"), F.col("include_private").alias("__all"), F.col("trusted_only").alias("__trusted")
+    )
+    named = F.size(readers) > 0 if readers else F.lit(False)
+    fits = (F.col("__all") | ~F.col("__flags.private")) & (~F.col("__trusted") | ~F.col("__flags.untrusted"))
+    columns = [*rows.columns, F.col("__user").alias("user")]
+    open_ = r.where(~named)
+    by_space = open_.join(p.where("__spaces is not null").withColumn("__space", F.explode("__spaces")), F.col(space) == F.col("__space")).where(fits).select(*columns)
+    # those of all spaces stand under each pair of flags that they may read
+    pairs = F.array(*[F.struct(F.lit(a).alias("private"), F.lit(b).alias("untrusted")) for a in (False, True) for b in (False, True)])
+    told = p.where("__spaces is null").withColumn("__key", F.explode(pairs))
+    told = told.where((F.col("__all") | ~F.col("__key.private")) & (~F.col("__trusted") | ~F.col("__key.untrusted")))
+    seen = by_space.unionByName(open_.join(told, F.col("__flags") == F.col("__key")).select(*columns))
+    if not readers:
+        return seen
+    listed = r.where(named).withColumn("__reader", F.explode(F.array_distinct(readers)))
+    inside = F.col("__spaces").isNull() | F.array_contains("__spaces", F.col(space))
+    return seen.unionByName(listed.join(p, F.col("__reader") == F.col("__user")).where(inside & fits).select(*columns))
 
 
 def context_fits(chunks: DataFrame, by: str, text: str, budget: int) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 from notelake.functions.text import tokens
 from notelake.operators import extract as X
 from notelake.operators import memory as M
+from notelake.operators import retrieval as V
 from notelake.operators import search as R
-from notelake.operators.embed import hash_vectors
+from notelake.operators.embed import hash_tokens, hash_vectors
 from notelake.plans.extraction import _STATEMENTS, LINKS, TAGS, words_sql
 from notelake.plans.inputs import FACTS, NOTES, memory, notes
 from notelake.plans.queries_links import _RESOLVED_SQL, NOW, _now, _resolved
@@ -175,11 +176,6 @@ hits AS (SELECT qid, id, lex, cos, score, (row_number() OVER (PARTITION BY qid O
 HYBRID = f"{POSTINGS},{SEMANTIC},{FUSED}"
 
 
-def _queries(spark, sf):
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return q.join(hash_vectors(q, "qid", "text"), "qid", "left")
-
-
 def _asked(spark, sf):
     return table(spark, sf, "benchmark").select(
         F.col("item_id").alias("qid"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")
@@ -193,7 +189,7 @@ def _lexical(spark, sf):
 
 def hybrid_hits(spark, sf, k=8):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    return R.hybrid_search(d, _queries(spark, sf), k, vectors=hash_vectors(d, "id", "text"))
+    return V.hybrid_search(d, table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), k, embed=hash_tokens)
 
 
 @query(f"WITH {POSTINGS} SELECT qid, id, lex FROM lexical")
@@ -247,6 +243,75 @@ def f6_hybrid_search(spark, sf):
     return hybrid_hits(spark, sf, 5).select("qid", "id", "rank", F.round("score", 9).alias("score"))
 
 
+# -- the same for principals: ten documents are a note, which has a space, readers and a trust level
+
+_MARKED = """dn AS (SELECT doc_id AS id, doc_id // 10 AS note, text, 's' || (doc_id // 10 % 3)::VARCHAR AS space, doc_id // 10 % 7 = 0 AS private, doc_id // 10 % 5 < 2 AS untrusted,
+  CASE WHEN doc_id // 10 % 4 = 0 THEN ['u2', 'u' || (doc_id // 10 % 25)::VARCHAR] ELSE [] END AS readers FROM documents),
+pr AS (SELECT 'u' || n_nationkey::VARCHAR AS usr, CASE WHEN n_nationkey % 6 = 0 THEN NULL WHEN n_nationkey % 6 = 1 THEN [] ELSE ['s' || (n_nationkey % 3)::VARCHAR, 's' || (n_nationkey % 2)::VARCHAR] END AS spaces,
+  n_nationkey % 2 = 0 AS include_private, n_nationkey % 3 = 0 AS trusted_only FROM nation),
+dv AS (SELECT usr, dn.* FROM dn JOIN pr ON (spaces IS NULL OR list_contains(spaces, space)) AND (include_private OR NOT private)
+  AND (len(readers) = 0 OR list_contains(readers, usr)) AND (NOT trusted_only OR NOT untrusted))"""
+
+
+def _marked(spark, sf):
+    d = F.col("doc_id")
+    note = F.floor(d / 10)
+    readers = F.when(note % 4 == 0, F.array(F.lit("u2"), F.concat(F.lit("u"), (note % 25).cast("string")))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf, "documents").select(
+        d.alias("id"), note.alias("note"), "text", F.concat(F.lit("s"), (note % 3).cast("string")).alias("space"), (note % 7 == 0).alias("private"), (note % 5 < 2).alias("untrusted"), readers.alias("readers")
+    )
+
+
+def _askers(spark, sf):
+    k = F.col("n_nationkey")
+    two = F.array(F.concat(F.lit("s"), (k % 3).cast("string")), F.concat(F.lit("s"), (k % 2).cast("string")))
+    spaces = F.when(k % 6 == 0, F.lit(None)).when(k % 6 == 1, F.array().cast("array<string>")).otherwise(two)
+    return table(spark, sf, "nation").select(F.concat(F.lit("u"), k.cast("string")).alias("user"), spaces.alias("spaces"), (k % 2 == 0).alias("include_private"), (k % 3 == 0).alias("trusted_only"))
+
+
+@query(
+    f"""WITH {_MARKED} SELECT usr AS "user", count(*) AS chunks, count(DISTINCT note) AS notes, sum(length(text))::BIGINT AS chars, sum(len({_TOK.format('text')}))::BIGINT AS tokens,
+    round(avg(len({_TOK.format('text')})), 6) AS avg_tokens FROM dv GROUP BY usr"""
+)
+def e4_principal_statistics(spark, sf):
+    return V.statistics_as(_marked(spark, sf), _askers(spark, sf)).withColumn("avg_tokens", F.round("avg_tokens", 6))
+
+
+@query(
+    f"""WITH {_MARKED}, q AS (SELECT DISTINCT unnest({_TOK.format('text')}) AS term FROM benchmark), t AS (SELECT id, unnest({_TOK.format('text')}) AS term FROM documents JOIN dn ON id = doc_id),
+    c AS (SELECT id, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY id, term)
+    SELECT usr AS "user", term, count(*) AS df, sum(tf)::BIGINT AS tf FROM c JOIN dv USING (id) GROUP BY usr, term""".replace("SELECT id, unnest(regexp_extract_all(lower(text)", "SELECT id, unnest(regexp_extract_all(lower(documents.text)")
+)
+def e5_principal_frequency(spark, sf):
+    terms = table(spark, sf, "benchmark").select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    users = _askers(spark, sf).select("user")
+    # every user asks about every term: 25 users here
+    asked = terms.withColumn("user", F.explode(F.array(*[F.lit(f"u{i}") for i in range(25)]))).join(users, "user", "left_semi")
+    return V.frequencies_as(_marked(spark, sf), _askers(spark, sf), asked)
+
+
+@query(
+    f"""WITH {_MARKED},{POSTINGS.split("st AS")[0]}{SEMANTIC.lstrip()},
+    qt AS (SELECT DISTINCT qid, unnest({_TOK.format('text')}) AS term FROM q), pt AS (SELECT * FROM p WHERE term IN (SELECT term FROM qt)),
+    us AS (SELECT usr, count(*) AS n, avg(n_tokens) AS avg_len FROM dv JOIN ln_ USING (id) GROUP BY usr),
+    ud AS (SELECT usr, term, ln(any_value(n) / count(*)) AS idf, any_value(avg_len) AS avg_len FROM pt JOIN dv USING (id) JOIN us USING (usr) GROUP BY usr, term),
+    ul AS (SELECT usr, qid, id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_tokens / avg_len))), 6) AS lex
+      FROM qt JOIN pt USING (term) JOIN dv USING (id) JOIN ud USING (usr, term) JOIN ln_ USING (id) WHERE idf > 0 GROUP BY usr, qid, id),
+    uc AS (SELECT usr, qid, id, cos FROM semantic JOIN dv USING (id)),
+    ub AS (SELECT usr, qid, id, coalesce(lex, 0.0) AS lex, coalesce(cos, 0.0) AS cos FROM ul FULL JOIN uc USING (usr, qid, id)),
+    ur AS (SELECT *, row_number() OVER (PARTITION BY usr, qid ORDER BY lex DESC, id) - 1 AS r1, row_number() OVER (PARTITION BY usr, qid ORDER BY cos DESC, id) - 1 AS r2 FROM ub WHERE lex > 0 OR cos > 0),
+    uf AS (SELECT *, 1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2) AS score FROM ur),
+    uh AS (SELECT usr, qid, id, lex, cos, score, (row_number() OVER (PARTITION BY usr, qid ORDER BY score DESC, id) - 1)::INT AS rank FROM uf)
+    SELECT usr AS "user", qid, id, rank, lex, round(score, 9) AS score FROM uh WHERE rank < 5"""
+)
+def f6_principal_search(spark, sf):
+    """Every principal asks every question."""
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    asks = queries.select(F.explode(F.array(*[F.lit(f"u{i}") for i in range(25)])).alias("user"), "qid")
+    found = V.search_as(_marked(spark, sf), queries, asks, _askers(spark, sf), 5, embed=hash_tokens)
+    return found.select("user", "qid", "id", "rank", "lex", F.round("score", 9).alias("score"))
+
+
 @query(
     f"""WITH {POSTINGS}, r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY lex DESC, id) AS r FROM lexical),
     u AS (SELECT qid, id, (r - 1)::INT AS rank, sum(length(text)) OVER (PARTITION BY qid ORDER BY r)::BIGINT AS used FROM r JOIN documents ON doc_id = id) SELECT * FROM u WHERE used <= 20000"""

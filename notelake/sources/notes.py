@@ -68,6 +68,22 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read more than once from there."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_kept(df: DataFrame) -> None:
+    """Deletes the folder of a table from ``kept`` that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def export_snapshot(df: DataFrame, path: str, partition: str | None = None, fmt: str = "parquet") -> None:
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(partition) if partition else writer).format(fmt).save(path)

@@ -194,22 +194,6 @@ def test_bm25_from_texts_equals_the_postings_form(spark):
     assert set(best) <= set(want) and len(best) == sum(min(3, sum(w[0] == i for w in want)) for i in range(10))
 
 
-@pytest.mark.parametrize("reach,k", [(500, 5), (3, 2), (1, 1), (20, 8)])
-def test_hybrid_search_equals_the_full_fusion(spark, monkeypatch, reach, k):
-    rng = random.Random(8)
-    d = spark.createDataFrame([(i, t) for i, t in enumerate(_said(rng, 90))], "id long, text string")
-    q = spark.createDataFrame([(i, t) for i, t in enumerate(_said(rng, 12))], "qid long, text string")
-    q = q.join(hash_vectors(q, "qid", "text"), "qid", "left")
-    v = hash_vectors(d, "id", "text")
-    asked = q.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    monkeypatch.setattr(R, "REACH", reach)
-    monkeypatch.setattr(R, "RRF_K", 2)
-    full = R.fuse(R.bm25_texts(d, asked), R.dense(v, q), ["qid"]).where(F.col("rank") < k)
-    got = R.hybrid_search(d, q, k, vectors=v)
-    key = lambda r: (r.qid, r["rank"], r.id, round(r.lex, 6), round(r.cos, 6), round(r.score, 9))
-    assert sorted(map(key, got.collect())) == sorted(map(key, full.collect()))
-
-
 def test_embed_chain(spark):
     d = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, text string")
 
