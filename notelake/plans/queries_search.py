@@ -373,15 +373,6 @@ def f11_phrase_search(spark, sf):
     return R.phrase_search(d, q)
 
 
-@query()
-def f12_stems(spark, sf):
-    """Stems of the distinct vocabulary of letters and numbers; tests hold the stemmer against published words."""
-    from notelake.functions.stem import search_terms, stem_terms
-
-    vocabulary = table(spark, sf, "documents").select(F.explode(search_terms(F.col("text"))).alias("term")).distinct()
-    return stem_terms(vocabulary)
-
-
 @query(
     """WITH w AS (SELECT doc_id, string_split_regex(text, '[ \n]+') AS w FROM documents),
     a AS (SELECT doc_id, w, list_position(list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')), 'the') AS hit FROM w),
