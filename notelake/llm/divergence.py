@@ -22,44 +22,37 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from notelake.llm.common import drop_written, numbered, text_batches, whole_text, written
 
 #: Documents of its language that a kept term is in at least; added to each count; shares are in these units; terms reported a group.
 MIN_DOCS, PRIOR, UNIT, TOP_TERMS = 30, 5, 1_000_000_000, 50
-#: Distinct terms that a task holds before it sends its counts on, and characters of a text read at a time.
-HELD_TERMS, PIECE = 1 << 18, 1 << 20
+#: Distinct terms that a task holds before it sends its counts on, and bytes of a text read at a time.
+HELD_TERMS, PIECE = 1 << 19, 1 << 20
 #: Sources whose bitmaps meet all others of their language under one salt.
 SOURCES_PER_SALT = 64
 
-_TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Bytes of UTF-8: letters as they are, A-Z lower-cased, all other ASCII white; bytes above belong to other characters.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def terms_of(text: str) -> Counter:
-    """Runs of ASCII letters and other non-ASCII characters, A-Z lower-cased, with their counts."""
-    found: Counter = Counter()
+def terms_of(text: bytes) -> Iterator[list[bytes]]:
+    """Runs of ASCII letters and other non-ASCII characters of a text in UTF-8, A-Z lower-cased, a piece of the text at a time."""
     at = 0
     while at < len(text):
         end = at + PIECE
-        if end < len(text):  # a piece ends where no term goes on
-            on = _TERM.match(text, end)
-            end = on.end() if on else end
-        found.update(_TERM.findall(text, at, end))
+        while end < len(text) and _FOLD[text[end]] != 32:  # a piece ends where no term goes on
+            end += 1
+        yield text[at:end].translate(_FOLD).split()
         at = end
-    lowered: Counter = Counter()
-    for term, n in found.items():
-        lowered[term.translate(_LOWER)] += n
-    return lowered
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -69,29 +62,33 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     rows = docs.select(
         F.coalesce(docs[lang_col].cast("string"), empty).alias("lang"),
         F.coalesce(docs[source_col].cast("string"), empty).alias("source"),
-        whole_text(docs, text_col).alias("text"),
+        whole_text(docs, text_col).cast("binary").alias("text"),
     )
     names = ["lang", "source", "term", "n", "docs"]
 
     def sent(held: dict) -> pa.RecordBatch:
-        columns = list(zip(*[(*k, *v) for k, v in held.items()])) or [()] * 5
-        kinds = [pa.string()] * 3 + [pa.int64()] * 2
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        of = np.repeat(np.arange(len(held)), [len(docs) for _, docs in held.values()])
+        groups = [pa.array([g[i] for g in held], pa.string()).take(pa.array(of)) for i in range(2)]
+        terms = pa.array([t for _, docs in held.values() for t in docs], pa.binary()).cast(pa.string())
+        n = pa.array([said[t] for said, docs in held.values() for t in docs], pa.int64())
+        docs = pa.array([d for _, docs in held.values() for d in docs.values()], pa.int64())
+        return pa.RecordBatch.from_arrays([*groups, terms, n, docs], names=names)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
+        size = 0
         for b in batches:
             for lang, source, text in zip(*[b.column(i) for i in range(3)]):
-                group = (lang.as_py(), source.as_py())
-                found = terms_of(text.as_py())
-                found[""] = 0
-                for term, n in found.items():
-                    have = held.setdefault((*group, term), [0, 0])
-                    have[0] += n
-                    have[1] += 1
-                if len(held) >= HELD_TERMS:
+                said, docs = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+                before, mine = len(docs), {b""}
+                for some in terms_of(text.as_py()):
+                    said.update(some)
+                    mine.update(some)
+                docs.update(mine)
+                size += len(docs) - before
+                if size >= HELD_TERMS:
                     yield sent(held)
-                    held = {}
+                    held, size = {}, 0
         yield sent(held)
 
     return (
@@ -169,7 +166,7 @@ def audit(
         .drop("lang_docs")
     )
     # falling powers of two of the count, dealt by hash within each, so that no window holds a language
-    cells = [-F.floor(F.log2("lang_n")), F.pmod(F.xxhash64("term"), F.lit(16))]
+    cells = [-F.floor(F.log2("lang_n")), F.pmod(F.xxhash64("term"), F.lit(64))]
     terms = written(numbered(kept, ["lang"], cells, [F.col("term")], "number"), "kept-terms")
     mine = written(counts.where("term <> ''").join(terms, ["lang", "term"]).select("lang", "source", "term", "number", "n", "lang_n"), "kept-counts")
     langs = terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))

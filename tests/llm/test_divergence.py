@@ -59,11 +59,17 @@ def test_empty_table(spark):
 
 
 def test_long_texts_are_read_in_pieces(monkeypatch):
-    text = "one two three four,five " * 50
-    whole = divergence.terms_of(text)
+    text = "one Two thrée\u2028four,five\x7fsix " * 50
+    whole = [t for some in divergence.terms_of(text.encode()) for t in some]
+    assert whole == [t.encode() for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.replace("T", "t"))]
     for size in (1, 3, 10, 64):
         monkeypatch.setattr(divergence, "PIECE", size)
-        assert divergence.terms_of(text) == whole
+        assert [t for some in divergence.terms_of(text.encode()) for t in some] == whole
+
+
+def test_counts_sent_on_early(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "HELD_TERMS", 3)
+    check(spark, [("a b c", "en", "a"), ("a d", "en", "b"), ("a b", "en", "a")], min_docs=1)
 
 
 def test_shares_beyond_64_bits(spark):
