@@ -12,7 +12,7 @@ from notelake.plans.queries_sync import _EV, _events
 from notelake.plans.registry import query, table
 from notelake.sources import exports
 from notelake.sources.notes import note_tree, read_jsonl, shared_folder, write_jsonl
-from notelake.streaming import jobs
+from notelake.streaming import jobs, state
 
 
 def _landed(spark, df, name, fmt="json"):
@@ -119,6 +119,27 @@ def i2_stream_denial_cap(spark, sf):
     return out.select("caller", F.col("minute").cast("timestamp_ntz").alias("minute"), "kept", "suppressed")
 
 
+_BUSY = f"""{_EV}, bz AS (SELECT id, 'u' || (id % 2)::VARCHAR AS caller, path, TIMESTAMP '2024-01-01' + to_seconds((id // 10)::BIGINT) AS "at" FROM ev WHERE NOT allowed),
+    bn AS (SELECT *, date_trunc('minute', "at") AS minute, row_number() OVER (PARTITION BY caller, date_trunc('minute', "at") ORDER BY "at", id) AS r FROM bz)"""
+
+
+@query(
+    f"""WITH {_BUSY} SELECT caller, minute, id, path, NULL::BIGINT AS suppressed FROM bn WHERE r <= 20
+    UNION ALL SELECT caller, minute, NULL, NULL, count(*) - 20 FROM bn GROUP BY caller, minute HAVING count(*) > 20"""
+)
+def i2_stream_capped_denials(spark, sf):
+    """Denials squeezed into busy minutes: the first 20 of a minute pass, the number of the others comes when the minute is closed."""
+    squeezed = _events(spark, sf).withColumns(
+        {"caller": F.concat(F.lit("u"), (F.col("id") % 2).cast("string")), "at": F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, floor(id / 10))")}
+    ).select("id", "caller", "path", "at", "allowed")
+    # a denial long after the others moves the watermark past all minutes
+    end = squeezed.agg(F.max("at").alias("at")).select(
+        F.lit(-1).cast("long").alias("id"), F.lit("end").alias("caller"), F.lit("").alias("path"), F.expr("at + interval '1' day").alias("at"), F.lit(False).alias("allowed")
+    )
+    out = jobs.deliver(squeezed.unionByName(end), "at", lambda s: state.capped_denials(s, 20), "append", "capped")
+    return out.where("caller <> 'end'").select("caller", F.col("minute").cast("timestamp_ntz").alias("minute"), "id", "path", "suppressed")
+
+
 @query(
     f"""WITH {_EV}, k AS (SELECT *, lag("at") OVER (PARTITION BY path ORDER BY "at") AS b FROM ev),
     g AS (SELECT *, sum(CASE WHEN b IS NULL OR "at" >= b + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS s FROM k)
@@ -157,4 +178,4 @@ def i11_stream_metrics(spark, sf):
 def i6_stream_reconcile(spark, sf):
     """Facts reconciled as they arrive, a scope per customer."""
     m = memory(spark, sf).select("cust", "id", "stamp", "text")
-    return jobs.deliver(m, "stamp", lambda s: jobs.reconcile_stream(s, "cust"), "append", "reconcile").select("scope", "id", "op", "target", "challenges")
+    return jobs.deliver(m, "stamp", lambda s: state.reconcile_stream(s, "cust"), "append", "reconcile").select("scope", "id", "op", "target", "challenges")

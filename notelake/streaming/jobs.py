@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from notelake.operators.access_log import ingest
-from notelake.operators.memory import LOG, LiveFacts, _folded, fold, folded_rows
 from notelake.sources.notes import shared_folder
+from notelake.streaming.state import STORE
 
 
-def deliver(rows: DataFrame, at: str | None, job: Callable[[DataFrame], DataFrame], mode: str, name: str, deliveries: int = 3) -> DataFrame:
+def deliver(rows: DataFrame, at: str | None, job: Callable[[DataFrame], DataFrame], mode: str, name: str, deliveries: int = 3, checkpoint: str | None = None) -> DataFrame:
     """Lands ``rows`` in several deliveries, in order of ``at``, and runs the stream after each on what is new.
 
     State, watermark and checkpoint carry over from one run to the next, as when a job is restarted. Returns
     what the stream wrote, with the number of the micro-batch in ``batch``. A delivery keeps the partitions of
-    ``rows``; without ``at`` rows are dealt by hash.
+    ``rows``; without ``at`` rows are dealt by hash. State is kept in RocksDB, in the shared folder or at ``checkpoint``.
     """
     spark = rows.sparkSession
     root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -39,10 +37,17 @@ def deliver(rows: DataFrame, at: str | None, job: Callable[[DataFrame], DataFram
     def keep(batch: DataFrame, n: int) -> None:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{root}/out/part={n}")
 
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(keep).trigger(availableNow=True)
-    for i in range(deliveries):
-        landed.where(F.col("__turn") == i).drop("__turn").write.mode("append").parquet(f"{root}/in")
-        writer.start().awaitTermination()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{root}/checkpoint").foreachBatch(keep).trigger(availableNow=True)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    try:
+        for k, v in STORE.items():
+            spark.conf.set(k, v)
+        for i in range(deliveries):
+            landed.where(F.col("__turn") == i).drop("__turn").write.mode("append").parquet(f"{root}/in")
+            writer.start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{root}/out")
 
 
@@ -92,25 +97,6 @@ def connector_upserts(pages: DataFrame, late: str = "1 day") -> DataFrame:
     return p.dropDuplicatesWithinWatermark(["connector", "external_id", "hash"])
 
 
-def reconcile_stream(facts: DataFrame, scope: str) -> DataFrame:
-    """(scope, id, op, target, challenges): facts reconciled as they arrive; a scope's live facts are its state.
-
-    Facts of one batch are taken in order of stamp and id; those of a later batch that come before what they
-    would replace are LATE. A fact leaves the state once a stamp of its scope has passed its expiry.
-    """
-    kind = dict(facts.dtypes)[scope]
-
-    def step(key: tuple, groups: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = folded_rows(pd.concat(list(groups)))
-        held, seen = json.loads(state.get[0]) if state.exists else ([], None)
-        log, live = fold(rows, LiveFacts(held))
-        seen = max(filter(None, [seen, *(r["stamp"] for r in rows)]), default=None)
-        state.update((json.dumps((live.held(seen), seen)),))
-        yield pd.DataFrame([(key[0], *x) for x in log], columns=["scope", "id", "op", "target", "challenges"])
-
-    return _folded(facts, scope).groupBy(scope).applyInPandasWithState(step, f"scope {kind}, {LOG}", "held string", "append", "NoTimeout")
-
-
 def on_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str):
     """Starts ``work`` for each micro-batch; the caller stops the returned query."""
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(work).start()

@@ -5,7 +5,7 @@ from notelake.operators import memory as M
 from notelake.operators import sync as Y
 from notelake.sources import exports
 from notelake.sources.notes import note_tree, read_jsonl
-from notelake.streaming import jobs
+from notelake.streaming import jobs, state
 
 
 def test_crdt_merge_is_commutative_and_idempotent(spark):
@@ -46,7 +46,7 @@ def test_bursts_at_the_edge(spark):
 def test_stream_of_facts_equals_the_fold(spark):
     rows = [(f"s{i % 2}", f"i{i:02}", f"2024-01-{i + 1:02}", f"Ana prefers {'tea' if i % 4 else 'milk'}") for i in range(12)]
     facts = spark.createDataFrame(rows, "scope string, id string, stamp string, text string")
-    got = jobs.deliver(facts, "stamp", lambda s: jobs.reconcile_stream(s, "scope"), "append", "t", 4)
+    got = jobs.deliver(facts, "stamp", lambda s: state.reconcile_stream(s, "scope"), "append", "t", 4)
     assert got.select("batch").distinct().count() >= 4
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, got.select("scope", "id", "op", "target", "challenges").collect())) == sorted(map(key, M.reconcile(facts, "scope").collect()))
@@ -55,15 +55,38 @@ def test_stream_of_facts_equals_the_fold(spark):
 def test_expired_facts_leave_the_state(spark):
     rows = [("s", "a", "2024-01-01", "Ana prefers tea", "2024-01-05"), ("s", "b", "2024-01-09", "x y z", None), ("s", "c", "2024-02-01", "Ana prefers tea", None)]
     facts = spark.createDataFrame(rows, "scope string, id string, stamp string, text string, expires string")
-    got = {r.id: r.op for r in jobs.deliver(facts, "stamp", lambda s: jobs.reconcile_stream(s, "scope"), "append", "t", 4).collect()}
+    got = {r.id: r.op for r in jobs.deliver(facts, "stamp", lambda s: state.reconcile_stream(s, "scope"), "append", "t", 4).collect()}
     assert got == {"a": "ADD", "b": "ADD", "c": "ADD"}
 
 
+def test_expired_facts_leave_by_timer_and_others_stay_as_they_were_written(spark, tmp_path):
+    rows = [("s", f"f{i:02}", f"2024-01-{i + 1:02}", f"thing{i} is unlike all others", "2024-01-06" if i % 3 == 0 else None) for i in range(20)]
+    facts = spark.createDataFrame(rows, "scope string, id string, stamp string, text string, expires string")
+    at = str(tmp_path / "state")
+    jobs.deliver(facts, "stamp", lambda s: state.reconcile_stream(s, "scope", "1 hour"), "append", "t", 4, at).count()
+    held = spark.read.format("statestore").option("stateVarName", "facts").load(at)
+    ids = {r.i for r in held.selectExpr("user_map_key.id AS i").collect()}
+    # those that had expired when they came are written and leave with the next watermark
+    assert ids == {f"f{i:02}" for i in range(20) if i % 3}
+
+
+def test_denials_beyond_the_cap_are_counted(spark):
+    rows = [(i, f"2024-01-01 00:0{i // 40}:{i % 40:02}", "u" if i % 4 else None, f"p{i}", i == 5) for i in range(120)] + [(999, "2024-01-02 00:00:00", "end", "", False)]
+    events = spark.createDataFrame(rows, "id long, at string, caller string, path string, allowed boolean").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    out = [r for r in jobs.deliver(events, "at", lambda s: state.capped_denials(s, 7, "1 second"), "append", "t", 5).collect() if r.caller != "end"]
+    for caller in ("u", ""):
+        for minute in range(3):
+            asked = [i for i in range(minute * 40, minute * 40 + 40) if (i % 4 == 0) == (caller == "") and i != 5]
+            own = [r for r in out if r.caller == caller and r.minute.minute == minute]
+            assert sorted(r.id for r in own if r.id is not None) == asked[:7]
+            assert [r.suppressed for r in own if r.id is None] == ([len(asked) - 7] if len(asked) > 7 else [])
+
+
 def test_a_late_fact_does_not_replace_a_newer_one(spark):
     rows = [(0, "s", "b", "2024-02-01", "Ana prefers tea"), (1, "s", "a", "2024-01-01", "Ana prefers milk")]
     facts = spark.createDataFrame(rows, "turn int, scope string, id string, stamp string, text string")
     late = facts.withColumn("turn", F.timestamp_seconds("turn"))
-    got = {r.id: (r.op, r.target) for r in jobs.deliver(late, "turn", lambda s: jobs.reconcile_stream(s, "scope"), "append", "t", 2).collect()}
+    got = {r.id: (r.op, r.target) for r in jobs.deliver(late, "turn", lambda s: state.reconcile_stream(s, "scope"), "append", "t", 2).collect()}
     assert got == {"b": ("ADD", None), "a": ("LATE", "b")}
 
 
