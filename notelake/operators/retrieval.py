@@ -235,6 +235,26 @@ def _candidates(table: DataFrame, views, questions, pairs: int, reach: int, leas
     return table.mapInPandas(run, f"pair long, id {kind}, lex long, cos long")
 
 
+def _scores(table: DataFrame, views, questions, pairs: int, wanted: pd.DataFrame, least: int) -> DataFrame:
+    """(pair, id, lex, cos) of the wanted rows (pair, id) that enter."""
+    by_pair = {int(p): g["id"].to_numpy() for p, g in wanted.groupby("pair")}
+    sent = table.sparkSession.sparkContext.broadcast((views, questions, by_pair))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        views, questions, asked = sent.value
+        for b in _steps(batches, pairs):
+            ids = b["id"].to_numpy()
+            for view, seen, lex, cos in _legs(b, views, questions):
+                cos, enters = _entering(lex, cos, least)
+                for i, pair in enumerate(view.pairs.tolist()):
+                    j = np.flatnonzero(enters[i] & np.isin(ids[seen], asked.get(pair, [])))
+                    if len(j):
+                        yield pd.DataFrame({"pair": pair, "id": ids[seen[j]], "lex": lex[i, j], "cos": cos[i, j]})
+
+    kind = dict(table.dtypes)["id"]
+    return table.mapInPandas(run, f"pair long, id {kind}, lex long, cos long")
+
+
 def _places(table: DataFrame, views, questions, pairs: int, candidates: pd.DataFrame, least: int) -> DataFrame:
     """(candidate, r1, r2): how many rows stand above each candidate on either leg."""
     order = np.argsort(candidates["pair"].to_numpy(), kind="stable")
@@ -281,8 +301,9 @@ def _views(pairs: pd.DataFrame, means: dict, idf: dict, questions: _Question, si
     return out
 
 
-def search_views(rows: DataFrame, cells: DataFrame, queries: DataFrame, asks: DataFrame, k: int, least: float = 0.0, vectors: DataFrame | None = None, embed: Callable | None = None) -> DataFrame:
-    """(view, qid, id, lex, cos, score, rank): the first ``k`` rows of each asked pair.
+def search_views(rows: DataFrame, cells: DataFrame, queries: DataFrame, asks: DataFrame, k: int, least: float = 0.0, vectors: DataFrame | None = None, embed: Callable | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """(view, qid, id, lex, cos, score, rank): the first ``k`` rows of each asked pair, or of the ``wanted`` rows (view, qid, id)
+    alone, whose lex, cos and score are those that they have among all rows.
 
     ``rows``: (id, cell, text) with ``embedding`` in the same frame, in ``vectors`` (id, embedding), or made by ``embed`` from a text's tokens;
     ``cells``: (view, cell); ``queries``: (qid, text, embedding?); ``asks``: (view, qid).
@@ -292,12 +313,12 @@ def search_views(rows: DataFrame, cells: DataFrame, queries: DataFrame, asks: Da
     found = None
     for g in range(groups):
         own = queries if groups == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(groups)) == g)
-        part = _search_group(rows, cells, own.toPandas(), asks, k, least, vectors, embed)
+        part = _search_group(rows, cells, own.toPandas(), asks, k, least, vectors, embed, wanted)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _search_group(rows, cells, asked: pd.DataFrame, asks, k, least, vectors, embed) -> DataFrame:
+def _search_group(rows, cells, asked: pd.DataFrame, asks, k, least, vectors, embed, wanted) -> DataFrame:
     spark = rows.sparkSession
     kinds = {c: dict(f.dtypes)[c] for c, f in (("qid", asks), ("id", rows), ("view", asks))}
     said = [list(dict.fromkeys(_TOKEN.findall((t or "").lower()))) for t in asked["text"]]
@@ -338,9 +359,9 @@ def _search_group(rows, cells, asked: pd.DataFrame, asks, k, least, vectors, emb
         local = {v: i for i, v in enumerate(sorted(block["view"].unique()))}
         inside = F.array(*[F.lit(int(v)) for v in local])
         asked_terms = block[["view", "question"]].merge(words, on="question")[["view", "term"]].drop_duplicates()
-        wanted = spark.createDataFrame(asked_terms.astype({"view": "int32", "term": "int32"}), "view int, term int")
+        block_terms = spark.createDataFrame(asked_terms.astype({"view": "int32", "term": "int32"}), "view int, term int")
         idf: dict = {}
-        for r in by_view.join(wanted, ["view", "term"]).collect():  # a row per view and asked term of the block
+        for r in by_view.join(block_terms, ["view", "term"]).collect():  # a row per view and asked term of the block
             if r["df"] < stats[r["view"]]["n"]:
                 idf.setdefault(r["view"], []).append((r["term"], float(np.log(stats[r["view"]]["n"] / r["df"]))))
         views = _views(block, means, idf, questions, len(of))
@@ -350,10 +371,16 @@ def _search_group(rows, cells, asked: pd.DataFrame, asks, k, least, vectors, emb
         reach = 2 * (RRF_K + k)
         floor = int(np.floor(max(least, 0.0) * MILLION))
         by = Window.partitionBy("pair")
-        met = _candidates(own, views, questions, len(block), reach, floor)
-        for leg, rank in (("lex", "c1"), ("cos", "c2")):
-            met = met.withColumn(rank, F.row_number().over(by.orderBy(F.desc(leg), "id")))
-        first = met.where(F.least("c1", "c2") <= reach).drop("c1", "c2").toPandas()  # at most 2 * reach rows a pair
+        labels = pd.DataFrame({"pair": block["pair"], "view": [needed[v] for v in block["view"]], "qid": asked["qid"].to_numpy()[block["question"]]})
+        named_pairs = F.broadcast(spark.createDataFrame(labels, f"pair long, view {kinds['view']}, qid {kinds['qid']}"))
+        if wanted is None:
+            met = _candidates(own, views, questions, len(block), reach, floor)
+            for leg, rank in (("lex", "c1"), ("cos", "c2")):
+                met = met.withColumn(rank, F.row_number().over(by.orderBy(F.desc(leg), "id")))
+            first = met.where(F.least("c1", "c2") <= reach).drop("c1", "c2").toPandas()  # at most 2 * reach rows a pair
+        else:
+            chosen = wanted.join(named_pairs, ["view", "qid"]).select("pair", "id").distinct().toPandas()
+            first = _scores(own, views, questions, len(block), chosen, floor).toPandas()
         first["candidate"] = np.arange(len(first))
         places = _places(own, views, questions, len(block), first, floor)
         given = spark.createDataFrame(first, f"pair long, id {kinds['id']}, lex long, cos long, candidate long")
@@ -361,8 +388,7 @@ def _search_group(rows, cells, asked: pd.DataFrame, asks, k, least, vectors, emb
         scored = given.join(places, "candidate", "left").withColumn("score", share("r1") + share("r2"))
         rank = (F.row_number().over(by.orderBy(F.desc("score"), "id")) - 1).cast("int")
         best = scored.withColumn("rank", rank).where(F.col("rank") < k)
-        labels = pd.DataFrame({"pair": block["pair"], "view": [needed[v] for v in block["view"]], "qid": asked["qid"].to_numpy()[block["question"]]})
-        named = best.join(F.broadcast(spark.createDataFrame(labels, f"pair long, view {kinds['view']}, qid {kinds['qid']}")), "pair")
+        named = best.join(named_pairs, "pair")
         part = kept(named.select("view", "qid", "id", (F.col("lex") / MILLION).alias("lex"), (F.col("cos") / MILLION).alias("cos"), "score", "rank"), "found")
         found = part if found is None else found.unionByName(part)
     for frame in done:
@@ -378,6 +404,94 @@ def hybrid_search(rows: DataFrame, queries: DataFrame, k: int = 8, least: float
     return search_views(rows.withColumn("cell", F.lit("")), everything, queries, asks, k, least, vectors, embed).drop("view")
 
 
+def first_notes(rows: DataFrame, queries: DataFrame, k: int, embed: Callable | None = None, vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(first, more): for each question the best row of each of its first ``k`` notes (qid, id, note, score, place), and, for
+    questions that have fewer notes, the next ``2k + 9`` other rows (likewise, places go on).
+
+    A note with many rows can hold back others, so questions that are not served by their first rows look at four times as many.
+    """
+    notes = rows.select("id", "note")
+    found, rest, reach = None, queries, 4 * k
+    while True:
+        hits = hybrid_search(rows.drop("note"), rest, reach, vectors=vectors, embed=embed).join(notes, "id")
+        own = F.row_number().over(Window.partitionBy("qid", "note").orderBy("rank"))
+        hits = kept(hits.withColumn("again", own > 1), "hits")
+        served = hits.groupBy("qid").agg(F.count_if(~F.col("again")).alias("notes"), F.count("*").alias("n")).withColumn("open", (F.col("notes") < k) & (F.col("n") == reach))
+        open_ = served.where("open").select("qid")
+        done = hits.join(open_, "qid", "left_anti")
+        found = done if found is None else found.unionByName(done)
+        if open_.isEmpty():
+            break
+        rest, reach = rest.join(open_, "qid", "left_semi"), 4 * reach
+    place = F.row_number().over(Window.partitionBy("qid", "again").orderBy("rank"))
+    placed = kept(found.withColumn("place", place), "placed")
+    first = placed.where(~F.col("again") & (F.col("place") <= k))
+    short = first.groupBy("qid").agg(F.count("*").alias("notes")).where(F.col("notes") < k)
+    more = placed.where(F.col("again") & (F.col("place") <= 2 * k + 9)).join(short, "qid").withColumn("place", F.col("place") + F.col("notes"))
+    columns = ["qid", "id", "note", "score", "place"]
+    return first.select(*columns), more.select(*columns)
+
+
+#: Results that are widened by their note's best chunks, and chunks of a note that such a passage draws on.
+MERGED_HITS, MERGED_CHUNKS = 3, 3
+GAP = "[…]"
+
+
+def merged_passages(chunks: DataFrame, queries: DataFrame, k: int = 8, embed: Callable | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """(qid, place, note, chunk_idx, score, passage): what a question is answered with, at most ``k`` passages.
+
+    ``chunks``: (id, note, chunk_idx, text), id in corpus order. The best chunk of each note comes first, then further chunks. The first three
+    passages hold their note's three best chunks and the hit's neighbours, in document order with gaps marked; what a passage holds
+    does not come again. The order of a note's chunks is that of the whole fused ranking.
+    """
+    first, more = first_notes(chunks.select("id", "note", "text"), queries, k, embed, vectors)
+    first, more = kept(first, "first"), kept(more, "more")
+    tops = first.where(F.col("place") <= MERGED_HITS).select("qid", "note", F.col("id").alias("hit"))
+    # when there are few notes, a further chunk can be among the first three
+    tops = tops.unionByName(more.where(F.col("place") <= MERGED_HITS + 2 * k + 9).join(first.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") < MERGED_HITS), "qid").select("qid", "note", F.col("id").alias("hit")))
+    pieces = chunks.select("note", "chunk_idx", "id")
+    asked = tops.select("qid", "note").distinct().join(pieces, "note").select(F.lit("").alias("view"), "qid", "id")
+    everything = chunks.sparkSession.createDataFrame([("", "")], "view string, cell string")
+    ranked = search_views(
+        chunks.select("id", "text", F.lit("").alias("cell")), everything, queries, asked.select("view", "qid").distinct(), 1 << 30, 0.0, vectors, embed, wanted=asked
+    ).join(chunks.select("id", "note", "chunk_idx"), "id")
+    order = F.row_number().over(Window.partitionBy("qid", "note").orderBy(F.desc("score"), "id"))
+    # hit + two others are among the note's first three or the hit itself
+    best = ranked.withColumn("r", order).where(F.col("r") <= MERGED_CHUNKS).select("qid", "note", "chunk_idx", "r")
+    chosen = first.unionByName(more).join(chunks.select("id", "chunk_idx"), "id")
+    of_note = best.groupBy("qid", "note").agg(F.sort_array(F.collect_list(F.struct("r", "chunk_idx"))).alias("best"))
+    near = pieces.groupBy("note").agg(F.max("chunk_idx").alias("last"))
+    kinds = dict(chosen.dtypes)
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        covered, out = set(), []
+        for r in group.sort_values("place").itertuples():
+            if len(out) >= k:
+                break
+            if (r.note, r.chunk_idx) in covered:
+                continue
+            wanted = {r.chunk_idx}
+            if len(out) < MERGED_HITS:
+                for b in r.best if r.best is not None else ():
+                    if len(wanted) < MERGED_CHUNKS:
+                        wanted.add(b["chunk_idx"])
+                wanted |= {r.chunk_idx - 1, r.chunk_idx + 1}
+            wanted = sorted(i for i in wanted if 0 <= i <= r.last)
+            covered |= {(r.note, i) for i in wanted}
+            out.append((r.qid, len(out) + 1, r.note, r.chunk_idx, r.score, wanted))
+        return pd.DataFrame(out, columns=["qid", "place", "note", "chunk_idx", "score", "parts"])
+
+    rows = chosen.join(of_note, ["qid", "note"], "left").join(near, "note").select("qid", "note", "chunk_idx", "score", "place", "best", "last")
+    picked = rows.groupBy("qid").applyInPandas(choose, f"qid {kinds['qid']}, place int, note {kinds['note']}, chunk_idx int, score double, parts array<int>")
+    each = picked.select("*", F.explode("parts").alias("part"))
+    said = each.join(chunks.select("note", F.col("chunk_idx").alias("part"), "text"), ["note", "part"])
+    before = F.lag("part").over(Window.partitionBy("qid", "place").orderBy("part"))
+    piece = F.when(F.col("part") - before > 1, F.concat(F.lit(GAP + "\n"), "text")).otherwise(F.col("text"))
+    ordered = F.sort_array(F.collect_list(F.struct("part", "piece")))
+    whole = said.withColumn("piece", piece).groupBy("qid", "place", "note", "chunk_idx", "score")
+    return whole.agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "\n").alias("passage"))
+
+
 def search_as(
     rows: DataFrame, queries: DataFrame, asks: DataFrame, principals: DataFrame, k: int = 8, least: float = 0.0, vectors: DataFrame | None = None, embed: Callable | None = None
 ) -> DataFrame:

@@ -238,6 +238,21 @@ def f5_passages(spark, sf):
     return R.passages(hits, c, ["qid"]).select("qid", "place", "note", F.md5("passage").alias("passage_md5"))
 
 
+@query(
+    f"""WITH {HYBRID}, c AS (SELECT doc_id // 10 AS note, (doc_id % 10)::INT AS chunk_idx, text, doc_id AS id FROM documents), h AS (SELECT qid, id, note, chunk_idx, rank, score FROM hits JOIN c USING (id)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY qid, note ORDER BY rank) AS own FROM h), f AS (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY rank))::INT AS place FROM o WHERE own = 1 QUALIFY place <= 8),
+    w AS (SELECT qid, place, note, chunk_idx AS part FROM f UNION SELECT f.qid, place, f.note, o.chunk_idx FROM f JOIN o ON o.qid = f.qid AND o.note = f.note WHERE place <= 3 AND o.own <= 3
+      UNION SELECT qid, place, note, unnest([chunk_idx - 1, chunk_idx + 1]) FROM f WHERE place <= 3),
+    x AS (SELECT qid, place, w.note, part, text, lag(part) OVER (PARTITION BY qid, place ORDER BY part) AS b FROM w JOIN c ON c.note = w.note AND c.chunk_idx = part)
+    SELECT qid, place, note, md5(string_agg(CASE WHEN part - b > 1 THEN '[…]' || chr(10) || text ELSE text END, chr(10) ORDER BY part)) AS passage_md5 FROM x GROUP BY qid, place, note"""
+)
+def f5_merged_passages(spark, sf):
+    d = F.col("doc_id")
+    chunks = table(spark, sf, "documents").select(d.alias("id"), F.floor(d / 10).alias("note"), (d % 10).cast("int").alias("chunk_idx"), "text")
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return V.merged_passages(chunks, queries, 8, hash_tokens).select("qid", "place", "note", F.md5("passage").alias("passage_md5"))
+
+
 @query(f"WITH {HYBRID} SELECT qid, id, rank, round(score, 9) AS score FROM hits WHERE rank < 5")
 def f6_hybrid_search(spark, sf):
     return hybrid_hits(spark, sf, 5).select("qid", "id", "rank", F.round("score", 9).alias("score"))

@@ -115,3 +115,50 @@ def test_no_questions_no_rows(spark):
     assert V.hybrid_search(d, q.where("qid > 5"), 5, embed=hash_tokens).count() == 0
     assert V.hybrid_search(d.where("id > 5"), q, 5, embed=hash_tokens).count() == 0
     assert {r.qid for r in V.hybrid_search(d, q, 5, embed=hash_tokens).collect()} <= {1}
+
+
+def plain_passages(order, chunks, k):
+    """``order``: (note, chunk_idx, score) of one question, best first; ``chunks``: {(note, idx): text}."""
+    seen, primary, extra = set(), [], []
+    for hit in order:
+        (extra if hit[0] in seen else primary).append(hit)
+        seen.add(hit[0])
+    out, covered = [], set()
+    for note, idx, score in primary[: 2 * k + 9] + extra[: 2 * k + 9]:
+        if len(out) == k:
+            break
+        if (note, idx) in covered:
+            continue
+        parts = {idx}
+        if len(out) < 3:
+            for n, i, _ in order:
+                if len(parts) < 3 and n == note:
+                    parts.add(i)
+            parts |= {idx - 1, idx + 1}
+        parts = sorted(p for p in parts if (note, p) in chunks)
+        covered |= {(note, p) for p in parts}
+        text = ""
+        for a, b in zip([None, *parts], parts):
+            text += ("" if a is None else "\n" if b == a + 1 else "\n[…]\n") + chunks[note, b]
+        out.append((len(out) + 1, note, idx, round(score, 9), text))
+    return out
+
+
+@pytest.mark.parametrize("k,notes", [(4, 9), (6, 2), (5, 1), (2, 30)])
+def test_merged_passages_equal_a_plain_version(spark, k, notes):
+    rng = random.Random(k)
+    said = [t or "" for t in texts(rng, 60)]
+    rows, at = [], {}
+    for i, t in enumerate(said):
+        note = f"n{rng.randrange(notes)}" if i % 5 else "n0"  # one long note
+        at[note] = at.get(note, -1) + 1
+        rows.append((i, note, at[note], t))
+    chunks = spark.createDataFrame(rows, "id long, note string, chunk_idx int, text string")
+    q = spark.createDataFrame(list(enumerate(texts(rng, 6))), "qid long, text string")
+    order = {}
+    place = {i: (note, idx) for i, note, idx, _ in rows}
+    for r in full(chunks.select("id", "text"), q, 1000).orderBy("rank").collect():
+        order.setdefault(r.qid, []).append((*place[r.id], r.score))
+    want = {(qid, *x) for qid, hits in order.items() for x in plain_passages(hits, {(n, i): t for _, n, i, t in rows}, k)}
+    got = {(r.qid, r.place, r.note, r.chunk_idx, round(r.score, 9), r.passage) for r in V.merged_passages(chunks, q, k, hash_tokens).collect()}
+    assert got == want
