@@ -43,7 +43,7 @@ ORDER, ADD = 5, 0.1
 #: One row in so many is held out.
 HELD_OUT = 10
 #: Words with more than one in so many tokens, and endings of words with more than one in so many, are joined by broadcast.
-HOT_WORDS, HOT_ENDINGS = 50_000, 20_000
+HOT_WORDS, HOT_ENDINGS = 400_000, 400_000
 #: Bytes of a text read at a time.
 PIECE = 1 << 20
 #: A logarithm is kept as so many COARSE-ths and a rest in FINE-ths, both whole numbers.
