@@ -263,20 +263,29 @@ def i2_denial_cap(spark, sf):
     return A.cap_denials(squeezed, 40)
 
 
-_BREADTH = """b AS (SELECT caller, "at", count(DISTINCT path) OVER w AS n, max("at") OVER w AS last FROM ev WHERE allowed WINDOW w AS (PARTITION BY caller ORDER BY "at" RANGE BETWEEN CURRENT ROW AND INTERVAL 14400 SECOND FOLLOWING)),
-br AS (SELECT caller, n, "at" AS first, last FROM b WHERE n >= 8 QUALIFY row_number() OVER (PARTITION BY caller ORDER BY n DESC, "at") = 1)"""
-_DENIED = """d AS (SELECT caller, "at", count(*) OVER w AS n, max("at") OVER w AS last FROM ev WHERE NOT allowed WINDOW w AS (PARTITION BY caller ORDER BY "at" RANGE BETWEEN CURRENT ROW AND INTERVAL 14400 SECOND FOLLOWING)),
-dn AS (SELECT caller, n, "at" AS first, last FROM d WHERE n >= 4 QUALIFY row_number() OVER (PARTITION BY caller ORDER BY n DESC, "at") = 1)"""
+_BREADTH = """b AS (SELECT caller, id, "at", count(DISTINCT CASE WHEN allowed THEN path END) OVER w AS n, max(CASE WHEN allowed THEN "at" END) OVER w AS last FROM ev WINDOW w AS (PARTITION BY caller ORDER BY "at" RANGE BETWEEN CURRENT ROW AND INTERVAL 14400 SECOND FOLLOWING)),
+b1 AS (SELECT caller, n, "at" AS first, last FROM b WHERE n >= 8 QUALIFY row_number() OVER (PARTITION BY caller ORDER BY n DESC, "at", id) = 1),
+b2 AS (SELECT b1.caller, path, arg_min(id, ("at", id)) AS i, min("at") AS a FROM b1 JOIN ev ON ev.caller = b1.caller AND allowed AND "at" BETWEEN first AND last GROUP BY b1.caller, path),
+b3 AS (SELECT * FROM b2 QUALIFY row_number() OVER (PARTITION BY caller ORDER BY a, i) <= 8),
+br AS (SELECT caller, n, first, last, documents FROM b1 JOIN (SELECT caller, string_agg(path, ',' ORDER BY a, i) AS documents FROM b3 GROUP BY caller) USING (caller))"""
+_DENIED = """d AS (SELECT caller, id, "at", count(*) OVER w AS n, max("at") OVER w AS last FROM ev WHERE NOT allowed WINDOW w AS (PARTITION BY caller ORDER BY "at" RANGE BETWEEN CURRENT ROW AND INTERVAL 14400 SECOND FOLLOWING)),
+d1 AS (SELECT caller, id AS from_, n, "at" AS first, last FROM d WHERE n >= 4 QUALIFY row_number() OVER (PARTITION BY caller ORDER BY n DESC, "at", id) = 1),
+d3 AS (SELECT d1.caller, path, id, "at" AS a FROM d1 JOIN ev ON ev.caller = d1.caller AND NOT allowed AND ("at", id) >= (first, from_) AND "at" <= last QUALIFY row_number() OVER (PARTITION BY d1.caller ORDER BY "at", id) <= 8),
+dn AS (SELECT caller, n, first, last, documents FROM d1 JOIN (SELECT caller, string_agg(path, ',' ORDER BY a, id) AS documents FROM d3 GROUP BY caller) USING (caller))"""
+
+
+def _named(found):
+    return found.withColumn("documents", F.array_join("documents", ","))
 
 
 @query(f"WITH {_EV}, {_BREADTH} SELECT * FROM br")
 def i3_breadth_burst(spark, sf):
-    return A.breadth_bursts(_events(spark, sf), 14400, 8)
+    return _named(A.breadth_bursts(_events(spark, sf), 14400, 8))
 
 
 @query(f"WITH {_EV}, {_DENIED} SELECT * FROM dn")
 def i4_denial_burst(spark, sf):
-    return A.denial_bursts(_events(spark, sf), 14400, 4)
+    return _named(A.denial_bursts(_events(spark, sf), 14400, 4))
 
 
 _RECENT = _EV.replace("FROM events)", "FROM events WHERE ts >= TIMESTAMP '2024-01-15')")
@@ -284,7 +293,7 @@ _RECENT = _EV.replace("FROM events)", "FROM events WHERE ts >= TIMESTAMP '2024-0
 
 @query(f"WITH {_RECENT}, {_BREADTH}, {_DENIED} SELECT *, 'breadth' AS kind FROM br UNION ALL SELECT *, 'denied' FROM dn")
 def i5_anomaly_report(spark, sf):
-    return A.anomalies(_events(spark, sf), F.expr("timestamp_ntz '2024-01-15 00:00:00'"), 14400, 8, 4)
+    return _named(A.anomalies(_events(spark, sf), F.expr("timestamp_ntz '2024-01-15 00:00:00'"), 14400, 8, 4))
 
 
 @query(f"""WITH {_EV} SELECT id FROM ev WHERE "at" >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY""")

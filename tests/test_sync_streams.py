@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from notelake.operators import access_log as A
@@ -43,6 +44,31 @@ def test_bursts_at_the_edge(spark):
     assert A.denial_bursts(_burst(spark, 5, 76, False)).count() == 0
 
 
+@pytest.mark.parametrize("windows", [1, 2, 12])
+def test_bursts_equal_a_search_from_every_event(spark, monkeypatch, windows):
+    import datetime
+    import random
+
+    monkeypatch.setattr(A, "WINDOWS_PER_SLICE", windows)
+    rng = random.Random(windows)
+    rows = [(i, rng.choice("ab") if i % 3 else "hot", f"p{rng.randrange(30)}", rng.random() < 0.7, rng.randrange(4000)) for i in range(600)]
+    base = datetime.datetime(2024, 1, 1)
+    e = spark.createDataFrame([(i, c, p, ok, base + datetime.timedelta(seconds=s)) for i, c, p, ok, s in rows], "id long, caller string, path string, allowed boolean, at timestamp_ntz")
+    for breadth, found in ((True, A.breadth_bursts(e, 300, 3)), (False, A.denial_bursts(e, 300, 3))):
+        want = set()
+        for caller in {r[1] for r in rows}:
+            own = sorted((s, i, p, ok) for i, c, p, ok, s in rows if c == caller)
+            best = None
+            for k, (s, _, _, ok) in enumerate(own):
+                inside = [x for x in own[k:] if x[0] <= s + 300 and x[3] == breadth]
+                paths = list(dict.fromkeys(x[2] for x in inside)) if breadth else [x[2] for x in inside]
+                if (breadth or not ok) and len(paths) >= 3 and (best is None or len(paths) > best[0]):
+                    best = (len(paths), s, inside[-1][0], ",".join(paths[:8]))
+            want |= {(caller, *best)} if best else set()
+        got = {(r.caller, r.n, (r["first"] - base).seconds, (r["last"] - base).seconds, ",".join(r.documents)) for r in found.collect()}
+        assert got == want and want
+
+
 def test_stream_of_facts_equals_the_fold(spark):
     rows = [(f"s{i % 2}", f"i{i:02}", f"2024-01-{i + 1:02}", f"Ana prefers {'tea' if i % 4 else 'milk'}") for i in range(12)]
     facts = spark.createDataFrame(rows, "scope string, id string, stamp string, text string")
