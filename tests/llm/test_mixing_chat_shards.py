@@ -166,6 +166,22 @@ def test_shards_keep_groups_together(filed):
     assert sum(held[:5]) > len(hot) / 2
 
 
+def test_groups_alone_stay_together_but_at_the_ends_of_shards(filed):
+    rows = [(i, f"text {i // 5}") for i in range(1000)]
+    placed = shards.shard_documents(filed(rows, "doc_id long, text string", files=3))
+    check_shards(placed, 1000)
+    groups, split, _ = shards.cut(placed).first()
+    assert groups == 200 and split <= 15
+
+
+def test_large_groups_are_ranked_in_slices(filed, monkeypatch):
+    monkeypatch.setattr(shards, "PART_ROWS", 10)
+    rows = [(i, "hot" if i < 300 else f"text {i // 4}") for i in range(800)]
+    placed = shards.shard_documents(filed(rows, "doc_id long, text string", files=3))
+    check_shards(placed, 800)
+    assert shards.cut(placed).first().split <= 15
+
+
 def test_cut_counts_groups_on_several_shards(spark):
     rows = [(1, 0), (1, 0), (1, 3), (2, 4), (2, 4), (3, 5)]
     assert tuple(shards.cut(spark.createDataFrame(rows, "by_group long, shard int")).first()) == (2, 1, 1)
