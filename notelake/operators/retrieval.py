@@ -308,12 +308,12 @@ def search_views(rows: DataFrame, cells: DataFrame, queries: DataFrame, asks: Da
     ``rows``: (id, cell, text) with ``embedding`` in the same frame, in ``vectors`` (id, embedding), or made by ``embed`` from a text's tokens;
     ``cells``: (view, cell); ``queries``: (qid, text, embedding?); ``asks``: (view, qid).
     """
-    n = queries.count()
-    groups = max(1, -(-n // QUESTIONS))
+    first = queries.limit(QUESTIONS + 1).toPandas()
+    groups = 1 if len(first) <= QUESTIONS else -(-queries.count() // QUESTIONS)
     found = None
     for g in range(groups):
-        own = queries if groups == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(groups)) == g)
-        part = _search_group(rows, cells, own.toPandas(), asks, k, least, vectors, embed, wanted)
+        own = first if groups == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(groups)) == g).toPandas()
+        part = _search_group(rows, cells, own, asks, k, least, vectors, embed, wanted)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -334,13 +334,13 @@ def _search_group(rows, cells, asked: pd.DataFrame, asks, k, least, vectors, emb
     empty = spark.createDataFrame([], f"view {kinds['view']}, qid {kinds['qid']}, id {kinds['id']}, lex double, cos double, score double, rank int")
     if numbered is None:
         return empty
-    pairs = kept(asks.join(numbered, "qid").select("view", "question").distinct(), "pairs")
+    pairs = asks.join(numbered, "qid").select("view", "question").distinct().toPandas()  # what is asked, two numbers a pair
     parsed = _parsed(rows, of, embed)
     if vectors is not None:
         packed = _parsed(vectors.select("id", F.lit(None).cast("string").alias("cell"), F.lit(None).cast("string").alias("text"), "embedding"), {}, None)
         parsed = parsed.drop("v").join(packed.select("id", "v"), "id", "left")
     # a row that no asked view sees is left behind here
-    needed = pairs.select("view").distinct().toPandas()["view"].sort_values().tolist()
+    needed = sorted(pairs["view"].unique())
     names = spark.createDataFrame([(v, i) for i, v in enumerate(needed)], f"view {kinds['view']}, number int")
     shown = kept(cells.join(names, "view").groupBy("cell").agg(F.collect_list("number").alias("numbers")), "shown")
     table = kept(parsed.join(shown, "cell"), "parsed")
@@ -350,9 +350,9 @@ def _search_group(rows, cells, asked: pd.DataFrame, asks, k, least, vectors, emb
     means = {v: (r["total"] or 0) / max(1, r["known"]) for v, r in stats.items()}
     dfs = table.select("cell", F.explode("terms").alias("term")).groupBy("cell", "term").agg(F.count("*").alias("df"))
     by_view = dfs.join(shown, "cell").select("term", "df", F.explode("numbers").alias("view")).groupBy("view", "term").agg(F.sum("df").alias("df"))
-    rest = pairs.join(names, "view").select(F.col("number").alias("view"), "question").orderBy("view", "question").toPandas()
+    rest = pairs.assign(view=pairs["view"].map({v: i for i, v in enumerate(needed)})).sort_values(["view", "question"])
     words = pd.DataFrame({"question": np.repeat(np.arange(len(said)), [len(t) for t in questions.terms]), "term": np.concatenate([*questions.terms, np.array([], dtype=np.int64)]).astype(np.int64)})
-    found, done = None, [table, shown, pairs]
+    found, done = None, [table, shown]
     for start in range(0, len(rest), PAIRS):
         block = rest.iloc[start : start + PAIRS].reset_index(drop=True)
         block["pair"] = np.arange(len(block))
@@ -361,7 +361,8 @@ def _search_group(rows, cells, asked: pd.DataFrame, asks, k, least, vectors, emb
         asked_terms = block[["view", "question"]].merge(words, on="question")[["view", "term"]].drop_duplicates()
         block_terms = spark.createDataFrame(asked_terms.astype({"view": "int32", "term": "int32"}), "view int, term int")
         idf: dict = {}
-        for r in by_view.join(block_terms, ["view", "term"]).collect():  # a row per view and asked term of the block
+        in_block = by_view if len(needed) == 1 else by_view.join(block_terms, ["view", "term"])
+        for r in in_block.collect():  # a row per view and asked term of the block
             if r["df"] < stats[r["view"]]["n"]:
                 idf.setdefault(r["view"], []).append((r["term"], float(np.log(stats[r["view"]]["n"] / r["df"]))))
         views = _views(block, means, idf, questions, len(of))

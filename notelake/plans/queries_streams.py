@@ -12,7 +12,7 @@ from notelake.plans.queries_sync import _EV, _events
 from notelake.plans.registry import query, table
 from notelake.sources import exports
 from notelake.sources.notes import note_tree, read_jsonl, shared_folder, write_jsonl
-from notelake.streaming import jobs, state
+from notelake.streaming import index, jobs, state
 
 
 def _landed(spark, df, name, fmt="json"):
@@ -155,6 +155,25 @@ def i8_stream_coalesced_edits(spark, sf):
     return out.where("path <> ''").select("path", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n", "content")
 
 
+@query(
+    f"""WITH {_EV}, c AS (SELECT path, arg_max('see [[' || caller || ']] worth ' || floor(value)::BIGINT::VARCHAR || ' of lot ' || (id % 7)::VARCHAR, ("at", id)) AS content FROM ev GROUP BY path),
+    t AS (SELECT path, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) AS term FROM c)
+    SELECT 'term' AS kind, term AS name, count(*) AS n FROM t GROUP BY term UNION ALL SELECT 'link', regexp_extract(content, '\\[\\[(.*?)\\]\\]', 1), count(*) FROM c GROUP BY ALL""".replace("\\\\", "\\")
+)
+def i8_stream_index(spark, sf):
+    """The index behind coalesced edits, as it stands after the last delivery."""
+    said = F.concat(F.lit("see [["), "caller", F.lit("]] worth "), F.floor("value").cast("string"), F.lit(" of lot "), (F.col("id") % 7).cast("string"))
+    e = _events(spark, sf).select("path", "at", F.col("id").alias("seq"), said.alias("content"))
+    end = e.agg(F.max("at").alias("at")).select(
+        F.lit("").alias("path"), F.expr("at + interval '30' day").alias("at"), F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("content")
+    )
+    root = f"{shared_folder(spark)}/follow-{uuid.uuid4().hex}"
+    index.follow(e.unionByName(end), root, "6 hours")
+    now = index.current(spark, f"{root}/index")
+    terms = now["frequencies"].select(F.lit("term").alias("kind"), F.col("term").alias("name"), F.col("df").alias("n"))
+    return terms.unionByName(now["links"].groupBy(F.col("target").alias("name")).agg(F.count("*").alias("n")).select(F.lit("link").alias("kind"), "name", "n"))
+
+
 @query("SELECT DISTINCT 'c' || (doc_id % 3)::VARCHAR AS connector, 'e' || (doc_id // 2)::VARCHAR AS external_id, md5((doc_id // 2)::VARCHAR) AS hash FROM documents")
 def i7_stream_upserts(spark, sf):
     k = F.col("doc_id")

@@ -14,15 +14,14 @@ from notelake.sources.notes import shared_folder
 from notelake.streaming.state import STORE
 
 
-def deliver(rows: DataFrame, at: str | None, job: Callable[[DataFrame], DataFrame], mode: str, name: str, deliveries: int = 3, checkpoint: str | None = None) -> DataFrame:
-    """Lands ``rows`` in several deliveries, in order of ``at``, and runs the stream after each on what is new.
+def deliver_to(rows: DataFrame, at: str | None, job: Callable[[DataFrame], DataFrame], mode: str, root: str, work: Callable[[DataFrame, int], None], deliveries: int = 3, checkpoint: str | None = None) -> DataFrame:
+    """Lands ``rows`` in several deliveries, in order of ``at``, and runs the stream after each on what is new; ``work`` gets each micro-batch.
 
-    State, watermark and checkpoint carry over from one run to the next, as when a job is restarted. Returns
-    what the stream wrote, with the number of the micro-batch in ``batch``. A delivery keeps the partitions of
-    ``rows``; without ``at`` rows are dealt by hash. State is kept in RocksDB, in the shared folder or at ``checkpoint``.
+    State, watermark and checkpoint carry over from one run to the next, as when a job is restarted. A delivery keeps the
+    partitions of ``rows``; without ``at`` rows are dealt by hash. State is kept in RocksDB, under ``root`` or at ``checkpoint``.
+    Returns the stream, for its schema.
     """
     spark = rows.sparkSession
-    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if at is None:
         turn = F.pmod(F.xxhash64(*rows.columns), F.lit(deliveries))
     else:
@@ -33,11 +32,7 @@ def deliver(rows: DataFrame, at: str | None, job: Callable[[DataFrame], DataFram
     landed = rows.withColumn("__turn", turn)
     rows.where(F.lit(False)).write.parquet(f"{root}/in")  # a stream needs the folder to be there
     stream = job(spark.readStream.schema(rows.schema).parquet(f"{root}/in"))
-
-    def keep(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{root}/out/part={n}")
-
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{root}/checkpoint").foreachBatch(keep).trigger(availableNow=True)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{root}/checkpoint").foreachBatch(work).trigger(availableNow=True)
     before = {k: spark.conf.get(k, None) for k in STORE}
     try:
         for k, v in STORE.items():
@@ -48,6 +43,18 @@ def deliver(rows: DataFrame, at: str | None, job: Callable[[DataFrame], DataFram
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return stream
+
+
+def deliver(rows: DataFrame, at: str | None, job: Callable[[DataFrame], DataFrame], mode: str, name: str, deliveries: int = 3, checkpoint: str | None = None) -> DataFrame:
+    """What a stream wrote over several deliveries (``deliver_to``), with the number of the micro-batch in ``batch``."""
+    spark = rows.sparkSession
+    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{root}/out/part={n}")
+
+    stream = deliver_to(rows, at, job, mode, root, keep, deliveries, checkpoint)
     return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{root}/out")
 
 
