@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from notelake.functions.text import normal
-from notelake.sources.notes import shared_folder
+from notelake.sources.notes import kept, shared_folder
 
 
 def link_keys(notes: DataFrame) -> DataFrame:
@@ -184,6 +185,67 @@ def neighbourhood(mentioned: DataFrame, seeds: DataFrame, hops: int = 2) -> Data
     return reached
 
 
+#: Bytes from which on a seed may be a part of an entity's name.
+PARTIAL = 3
+
+
+def resolve_seeds(mentioned: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(asked, seed) of (asked): the entity of that name, else the shortest one that contains it (of equals the first), else what was asked.
+
+    Entities stand under their trigrams. A seed looks under the one of its trigrams that the fewest entities have, so frequent trigrams fetch nothing.
+    """
+    asked = seeds.select("asked", F.lower(F.trim("asked")).alias("name")).distinct()
+    names = mentioned.select("entity").distinct()
+    exact = asked.join(names, F.col("name") == F.col("entity"), "left_semi")
+    part = asked.join(exact.select("asked"), "asked", "left_anti").where(F.octet_length("name") >= PARTIAL)
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
+    under = names.select("entity", F.explode(grams(F.col("entity"))).alias("gram"))
+    wanted = part.select("asked", "name", F.explode(grams(F.col("name"))).alias("gram"))
+    frequent = under.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    # a trigram that no entity has means that none contains the seed
+    rarest = wanted.join(frequent, "gram", "left").groupBy("asked", "name").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    # a seed shorter than three characters, of three bytes or more, is a trigram of names as short as itself alone, so it reads all names
+    short = part.where(F.length("name") < 3)
+    holds = rarest.where(F.length("name") >= 3).join(under, "gram").where(F.contains("entity", F.col("name"))).select("asked", "entity")
+    pairs = F.explode(F.transform(F.sequence(F.lit(1), F.length("entity")), lambda i: F.substring("entity", i, F.lit(2))))
+    singles = F.explode(F.transform(F.sequence(F.lit(1), F.length("entity")), lambda i: F.substring("entity", i, F.lit(1))))
+    within = names.select("entity", pairs.alias("name")).unionByName(names.select("entity", singles.alias("name")))
+    holds = holds.unionByName(short.join(within, "name").select("asked", "entity").distinct())
+    best = holds.groupBy("asked").agg(F.min_by("entity", F.struct(F.octet_length("entity"), "entity")).alias("seed"))
+    return asked.join(best, "asked", "left").select("asked", F.coalesce("seed", "name").alias("seed"))
+
+
+def entity_graph(mentioned: DataFrame, seeds: DataFrame, hops: int = 1, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """What lies around each asked seed: nodes (asked, entity, depth, facts, place) and edges (asked, a, b, facts).
+
+    ``mentioned``: (fact, entity); ``seeds``: (asked), names or parts of names. A node's facts are how many name it; nodes are ordered by depth, then
+    by falling facts, then by name, and the first ``limit`` stay. An edge holds the ids, sorted, of the facts that name both of its ends, of which one is nearer
+    than ``hops``; edges to nodes that do not stay are left out. Each hop is written to the shared folder.
+    """
+    if not 1 <= hops <= 4:
+        raise ValueError("hops must lie between 1 and 4")
+    pairs = kept(mentioned.select("fact", "entity").distinct(), "mentions")
+    degree = pairs.groupBy("entity").agg(F.count("*").alias("facts"))
+    start = kept(resolve_seeds(pairs, seeds), "seeds")
+    reached = start.select("asked", F.col("seed").alias("entity"), F.lit(0).alias("depth"))
+    frontier, met = reached, None
+    for d in range(1, hops + 1):
+        others = pairs.withColumnRenamed("entity", "other")
+        found = kept(frontier.select("asked", "entity").join(pairs, "entity").join(others, "fact").where("other <> entity").select("asked", "entity", "other", "fact"), "hop")
+        met = found if met is None else met.unionByName(found)
+        fresh = found.select("asked", F.col("other").alias("entity")).distinct().join(reached, ["asked", "entity"], "left_anti").withColumn("depth", F.lit(d))
+        frontier = kept(fresh, "frontier")
+        reached = reached.unionByName(frontier)
+    order = F.row_number().over(Window.partitionBy("asked").orderBy("depth", F.desc("facts"), "entity"))
+    nodes = reached.join(degree, "entity", "left").na.fill(0, ["facts"]).withColumn("place", order).where(F.col("place") <= limit)
+    nodes = kept(nodes.select("asked", "entity", "depth", "facts", "place"), "nodes")
+    stays = nodes.select("asked", F.col("entity").alias("end"))
+    edges = met.select("asked", F.least("entity", "other").alias("a"), F.greatest("entity", "other").alias("b"), "fact")
+    for end in ("a", "b"):
+        edges = edges.join(stays.withColumnRenamed("end", end), ["asked", end], "left_semi")
+    return nodes, edges.groupBy("asked", "a", "b").agg(F.sort_array(F.collect_set("fact")).alias("facts"))
+
+
 def busiest(mentioned: DataFrame, n: int = 20) -> tuple[DataFrame, DataFrame]:
     """The ``n`` entities in most facts, as (entity, facts), and the co-mentions among them."""
     top = mentioned.groupBy("entity").agg(F.count_distinct("fact").alias("facts")).orderBy(F.desc("facts"), "entity").limit(n)

@@ -404,6 +404,35 @@ def d13_entity_neighbourhood(spark, sf):
     return L.neighbourhood(m, seeds, 2)
 
 
+_PARTIAL = """tp AS (SELECT entity FROM men GROUP BY entity ORDER BY count(*) DESC, entity LIMIT 10), sd AS (SELECT DISTINCT left(entity, greatest(3, length(entity) - 1)) AS asked FROM tp UNION SELECT 'zq'),
+rs AS (SELECT asked, coalesce((SELECT any_value(entity) FROM men WHERE entity = asked), CASE WHEN strlen(asked) >= 3 THEN (SELECT arg_min(entity, (strlen(entity), entity)) FROM men WHERE contains(entity, asked)) END, asked) AS seed FROM sd),
+pairs AS (SELECT a.entity AS a, b.entity AS b, fact FROM men a JOIN men b USING (fact) WHERE a.entity <> b.entity), near AS (SELECT DISTINCT a, b FROM pairs),
+walk AS (SELECT asked, seed AS entity, 0 AS depth FROM rs UNION SELECT asked, b, depth + 1 FROM walk JOIN near ON a = entity WHERE depth < 2),
+nd AS (SELECT asked, entity, min(depth)::INT AS depth FROM walk GROUP BY asked, entity), dg AS (SELECT entity, count(*) AS facts FROM men GROUP BY entity),
+kn AS (SELECT asked, entity, depth, coalesce(facts, 0) AS facts, (row_number() OVER (PARTITION BY asked ORDER BY depth, coalesce(facts, 0) DESC, entity))::INT AS place FROM nd LEFT JOIN dg USING (entity) QUALIFY place <= 50)"""
+
+
+def _graph(spark, sf):
+    m = _mentioned(spark, sf)
+    top = m.groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity").limit(10)
+    seeds = top.select(F.left("entity", F.greatest(F.lit(3), F.length("entity") - 1)).alias("asked")).unionByName(spark.range(1).select(F.lit("zq").alias("asked")))
+    return L.entity_graph(m, seeds, 2)
+
+
+@query(rf"WITH RECURSIVE {_MENTIONED}, {_PARTIAL} SELECT asked, entity, depth, facts, place FROM kn")
+def d13_graph_nodes(spark, sf):
+    """Around parts of the names of the busiest entities, two hops far."""
+    return _graph(spark, sf)[0]
+
+
+@query(
+    rf"""WITH RECURSIVE {_MENTIONED}, {_PARTIAL}, ed AS (SELECT DISTINCT n.asked, least(p.a, p.b) AS a, greatest(p.a, p.b) AS b, fact FROM nd n JOIN pairs p ON p.a = n.entity WHERE n.depth < 2)
+    SELECT ed.asked, a, b, string_agg(fact, ',' ORDER BY fact) AS facts FROM ed JOIN kn x ON x.asked = ed.asked AND x.entity = a JOIN kn y ON y.asked = ed.asked AND y.entity = b GROUP BY 1, 2, 3"""
+)
+def d13_graph_edges(spark, sf):
+    return _graph(spark, sf)[1].withColumn("facts", F.array_join("facts", ","))
+
+
 @query(
     rf"""WITH {_MENTIONED}, top AS (SELECT entity, count(*) AS n FROM men GROUP BY entity ORDER BY 2 DESC, 1 LIMIT 40)
     SELECT a.entity AS a, b.entity AS b, count(DISTINCT fact) AS facts FROM men a JOIN men b USING (fact) WHERE a.entity < b.entity

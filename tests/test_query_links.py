@@ -94,3 +94,16 @@ def test_numbered_is_one_window(spark):
     for g in range(3):
         own = sorted((r for r in got if r.g == g), key=lambda r: (r.x, r.id))
         assert [r.n for r in own] == list(range(len(own)))
+
+
+def test_graph_around_partial_seeds(spark):
+    said = {"f1": ["priya sharma", "acme"], "f2": ["priya sharma", "acme", "rome"], "f3": ["rome", "tiber"], "f4": ["priya sharma jr", "x1"], "f5": ["tiber", "sea"], "f6": ["日本", "kyoto 日本"]}
+    m = spark.createDataFrame([(f, e) for f, es in said.items() for e in es], "fact string, entity string")
+    seeds = spark.createDataFrame([("Priya",), ("acme",), ("zz",), ("nobody",), (" harm",), ("本",)], "asked string")
+    got = {r.asked: r.seed for r in L.resolve_seeds(m, seeds).collect()}
+    assert got == {"Priya": "priya sharma", "acme": "acme", "zz": "zz", "nobody": "nobody", " harm": "priya sharma", "本": "日本"}
+    nodes, edges = L.entity_graph(m, seeds.where("asked in ('Priya', 'nobody')"), 2, 4)
+    assert [(r.asked, r.entity, r.depth, r.facts) for r in nodes.orderBy("asked", "place").collect()] == [
+        ("Priya", "priya sharma", 0, 2), ("Priya", "acme", 1, 2), ("Priya", "rome", 1, 2), ("Priya", "tiber", 2, 2), ("nobody", "nobody", 0, 0)
+    ]
+    assert {(r.a, r.b, tuple(r.facts)) for r in edges.collect()} == {("acme", "priya sharma", ("f1", "f2")), ("priya sharma", "rome", ("f2",)), ("acme", "rome", ("f2",)), ("rome", "tiber", ("f3",))}
