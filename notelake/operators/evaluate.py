@@ -62,6 +62,51 @@ def compare_runs(baseline: DataFrame, current: DataFrame) -> DataFrame:
     return both.select("q", F.when(F.col("now"), "fixed").otherwise("broken").alias("change"))
 
 
+def run_deltas(baseline: DataFrame, current: DataFrame, configs: tuple[dict, dict]) -> DataFrame:
+    """One row (questions, recall, note_recall, mrr, each with its change, fixed, broken, same_config) of two scored runs of one set.
+
+    Only questions of both runs are compared. Runs with different settings say nothing about a change of the code, so ``same_config`` tells.
+    """
+    pick = lambda df, p: df.select("q", *[F.col(c).cast("double").alias(f"{p}_{c}") for c in ("recalled", "note_recalled", "reciprocal")])
+    both = pick(baseline, "a").join(pick(current, "b"), "q")
+    out = [F.count("*").alias("questions")]
+    for name, c in (("recall", "recalled"), ("note_recall", "note_recalled"), ("mrr", "reciprocal")):
+        now = F.coalesce(F.avg(f"b_{c}"), F.lit(0.0))
+        out += [F.round(now, 4).alias(name), F.round(now - F.coalesce(F.avg(f"a_{c}"), F.lit(0.0)), 4).alias(f"{name}_change")]
+    out += [F.count_if(F.col("b_recalled") > F.col("a_recalled")).alias("fixed"), F.count_if(F.col("b_recalled") < F.col("a_recalled")).alias("broken")]
+    return both.agg(*out).withColumn("same_config", F.lit(configs[0] == configs[1]))
+
+
+#: idf of a question's term that the corpus does not have; rarest terms of a question that are its ask.
+UNSEEN_IDF, RARE_TERMS = 0.6931471805599453, 3
+
+
+def all_signals(hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """Every signal of whether a question's hits suffice. ``hits``: (qid, rank, lex, cos, score); ``terms``: (qid, term, idf or null, found).
+
+    Gaps are between the two highest of a leg; legs agree when one hit is first on both; a question's rarest terms are those of highest idf, ties by term.
+    """
+    two = lambda c: F.slice(F.sort_array(F.collect_list(c), False), 1, 2)
+    gap = lambda a: F.when(F.size(a) > 1, a[0] - F.get(a, F.lit(1))).otherwise(F.lit(0.0))
+    first = lambda c: F.min_by(c, "rank")
+    h = hits.groupBy("qid").agg(
+        F.count("*").alias("n_hits"), first("cos").alias("top_cosine"), F.max("cos").alias("max_cosine"), F.avg("cos").alias("mean_cosine"), two("cos").alias("__c"),
+        first("lex").alias("top_lexical"), F.max("lex").alias("max_lexical"), two("lex").alias("__l"),
+        (F.max_by("rank", F.struct("cos", -F.col("rank"))) == F.max_by("rank", F.struct("lex", -F.col("rank")))).alias("legs_agree"),
+        first("score").alias("top_score"), (first("score") - F.max_by("score", "rank")).alias("score_margin"), (F.max("score") - F.min("score")).alias("score_spread"),
+    )
+    h = h.withColumns({"cosine_gap": gap(F.col("__c")), "lexical_gap": gap(F.col("__l"))}).drop("__c", "__l")
+    t = terms.withColumn("idf", F.coalesce("idf", F.lit(UNSEEN_IDF)))
+    t = t.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("idf"), "term")))
+    rare = F.col("at") <= RARE_TERMS
+    c = t.groupBy("qid").agg(
+        (F.sum(F.when(F.col("found"), F.col("idf")).otherwise(0.0)) / F.sum("idf")).alias("term_coverage"),
+        (F.count_if(rare & F.col("found")) / F.count_if(rare)).alias("rare_term_coverage"),
+        F.count("*").alias("n_query_terms"),
+    )
+    return h.join(c, "qid", "left")
+
+
 def auc(rows: DataFrame, score: str, label: str, *by: str) -> DataFrame:
     """(by, auc) by rank sums with average ranks for ties; null where a class is empty.
 

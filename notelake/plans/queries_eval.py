@@ -69,6 +69,18 @@ def j5_compare_runs(spark, sf):
     return E.compare_runs(s.select("q", was.alias("recalled")), s.select("q", now.alias("recalled")))
 
 
+@query(
+    f"""WITH {HYBRID}, {_QS}, a AS (SELECT *, coalesce(note_rank < 3, false) AS was, coalesce(note_rank BETWEEN 1 AND 9, false) AS now FROM sr)
+    SELECT count(*) AS questions, round(avg(now::INT::DOUBLE), 4) AS recall, round(avg(now::INT::DOUBLE) - avg(was::INT::DOUBLE), 4) AS recall_change, round(avg(note_recalled::INT::DOUBLE), 4) AS note_recall, 0.0::DOUBLE AS note_recall_change,
+      round(avg(reciprocal), 4) AS mrr, 0.0::DOUBLE AS mrr_change, count(*) FILTER (WHERE now AND NOT was) AS fixed, count(*) FILTER (WHERE was AND NOT now) AS broken, false AS same_config FROM a"""
+)
+def j5_run_deltas(spark, sf):
+    s = E.score_run(_questions(spark, sf).drop("kind"), _run(spark, sf), 10)
+    rank = F.col("note_rank")
+    was, now = F.coalesce(rank < 3, F.lit(False)), F.coalesce(rank.between(1, 9), F.lit(False))
+    return E.run_deltas(s.withColumn("recalled", was), s.withColumn("recalled", now), ({"k": 3}, {"k": 9, "skip": 1}))
+
+
 @query(
     """WITH x AS (SELECT lang, quality, n_chars // 50 AS s FROM labels JOIN documents USING (doc_id)),
     t AS (SELECT lang, s, count(*) AS n, sum(quality) AS pos FROM x GROUP BY ALL), r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY lang ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS rank FROM t)
@@ -86,15 +98,36 @@ def j6_auc(spark, sf):
     SELECT qid, round(top_cos, 6) AS top_cos, round(mean_cos, 6) AS mean_cos, round(top_cos - mean_cos, 6) AS gap, agree, round(margin, 6) AS margin, round(coverage, 6) AS coverage FROM f LEFT JOIN c USING (qid)"""
 )
 def j7_sufficiency_signals(spark, sf):
+    hits, t = _signal_inputs(spark, sf, 5)
+    return E.sufficiency_signals(hits, t.na.fill({"idf": 0.0}))
+
+
+def _signal_inputs(spark, sf, k):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     n = table(spark, sf, "documents").agg(F.count("*").alias("n"))
     asked = _asked(spark, sf)
     df = d.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))
     idf = df.select("term", F.log(F.col("n") / F.col("df")).alias("idf"))
-    hits = hybrid_hits(spark, sf, 5)
+    hits = hybrid_hits(spark, sf, k)
     found = hits.select("qid", "id").join(d, "id").select("qid", "term").distinct().withColumn("found", F.lit(True))
-    t = asked.join(idf, "term", "left").join(found, ["qid", "term"], "left").na.fill({"idf": 0.0, "found": False})
-    return E.sufficiency_signals(hits, t)
+    return hits, asked.join(idf, "term", "left").join(found, ["qid", "term"], "left").na.fill({"found": False})
+
+
+@query(
+    f"""WITH {HYBRID}, h AS (SELECT * FROM hits WHERE rank < 10), g AS (SELECT qid, list_reverse_sort(list(cos)) AS c, list_reverse_sort(list(lex)) AS l FROM h GROUP BY qid),
+    f AS (SELECT qid, count(*) AS n_hits, arg_min(cos, rank) AS top_cosine, max(cos) AS max_cosine, round(avg(cos), 6) AS mean_cosine, arg_min(lex, rank) AS top_lexical, max(lex) AS max_lexical,
+      arg_max(rank, (cos, -rank)) = arg_max(rank, (lex, -rank)) AS legs_agree, round(arg_min(score, rank), 9) AS top_score, round(arg_min(score, rank) - arg_max(score, rank), 9) AS score_margin, round(max(score) - min(score), 9) AS score_spread FROM h GROUP BY qid),
+    i AS (SELECT qt.qid, qt.term, coalesce(dfs.idf, ln(2)) AS idf, EXISTS (SELECT 1 FROM h JOIN p ON p.id = h.id WHERE h.qid = qt.qid AND p.term = qt.term) AS found FROM qt LEFT JOIN dfs USING (term)),
+    j AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY idf DESC, term) AS at_ FROM i),
+    k AS (SELECT qid, round(sum(CASE WHEN found THEN idf ELSE 0 END) / sum(idf), 6) AS term_coverage, round(count(*) FILTER (WHERE at_ <= 3 AND found) / count(*) FILTER (WHERE at_ <= 3), 6) AS rare_term_coverage, count(*) AS n_query_terms FROM j GROUP BY qid)
+    SELECT f.*, round(CASE WHEN len(c) > 1 THEN c[1] - c[2] ELSE 0 END, 6)::DOUBLE AS cosine_gap, round(CASE WHEN len(l) > 1 THEN l[1] - l[2] ELSE 0 END, 6)::DOUBLE AS lexical_gap, k.* EXCLUDE (qid) FROM f JOIN g USING (qid) LEFT JOIN k USING (qid)"""
+)
+def j7_all_signals(spark, sf):
+    hits, t = _signal_inputs(spark, sf, 10)
+    places = {"score": 9, "margin": 9, "spread": 9}
+    out = E.all_signals(hits, t)
+    kinds = dict(out.dtypes)
+    return out.select(*[F.round(c, places.get(c.split("_")[-1], 6)).alias(c) if kinds[c] == "double" else F.col(c) for c in out.columns])
 
 
 @query()

@@ -173,6 +173,17 @@ def g9_reconcile_fold(spark, sf):
     return M.reconcile(facts, "cust")
 
 
+@query(
+    f"""SELECT f.scope AS cust, f.id, m.stamp, m.text, m.agent, f.challenges, n.id AS superseded_by, n.stamp AS superseded_at
+    FROM ({FOLD}) f JOIN (WITH {FACTS} SELECT * FROM mem) m ON m.id = f.id LEFT JOIN (SELECT g.target, g.id, k.stamp FROM ({FOLD}) g JOIN (WITH {FACTS} SELECT * FROM mem) k ON k.id = g.id WHERE g.op = 'UPDATE') n ON n.target = f.id
+    WHERE f.op IN ('ADD', 'UPDATE')"""
+)
+def g9_fact_table(spark, sf):
+    """What is on record after the fold per customer."""
+    facts = memory(spark, sf).select("cust", "id", "stamp", "text", "agent")
+    return M.fact_table(facts, M.reconcile(facts, "cust"), "cust")
+
+
 @query()
 def g9_reconcile_authority(spark, sf):
     """The fold per topic with authority, immutable facts and expiry; a test holds it against a plain version."""
