@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from notelake.functions.text import tokens
 from notelake.operators import extract as X
 from notelake.operators import memory as M
+from notelake.operators import overview as O
 from notelake.operators import retrieval as V
 from notelake.operators import search as R
 from notelake.operators.embed import hash_tokens, hash_vectors
@@ -149,6 +150,34 @@ def e13_briefing(spark, sf):
     return parts.withColumn("again", again).where("again = 1").drop("again")
 
 
+@query(
+    f"""WITH {NOTES}, {TAGS}, t AS (SELECT tag, count(DISTINCT note) AS n FROM tags GROUP BY tag)
+    SELECT 'total' AS kind, 'notes' AS name, count(*) AS n FROM notes UNION ALL SELECT 'total', 'tags', count(*) FROM t UNION ALL (SELECT 'tag', tag, n FROM t ORDER BY n DESC, tag LIMIT 5)
+    UNION ALL SELECT 'words', strftime(updated, '%Y-%m-%d'), sum(len(list_filter(string_split_regex(body, '\\s+'), lambda x: x <> '')))::BIGINT FROM notes WHERE updated IS NOT NULL GROUP BY ALL""".replace("\\\\", "\\")
+)
+def e10_vault_panel(spark, sf):
+    n = notes(spark, sf)
+    return O.vault_stats(n, X.tags(n))
+
+
+@query(
+    f"""WITH {NOTES}, {TAGS}, {FACTS}, o AS (SELECT * FROM notes WHERE NOT private),
+    s AS (SELECT 0 AS i, 'pinned' AS section, * FROM (SELECT path, title, updated FROM o WHERE pinned ORDER BY updated DESC NULLS LAST, path LIMIT 10)
+      UNION ALL SELECT 1, 'onboarding', * FROM (SELECT path, title, updated FROM o WHERE path IN (SELECT note FROM tags WHERE tag = 'vip/building') ORDER BY updated DESC NULLS LAST, path LIMIT 10)
+      UNION ALL SELECT 2, 'recent_memories', * FROM (SELECT path, title, updated FROM o WHERE starts_with(path, 'asia/') ORDER BY updated DESC NULLS LAST, path LIMIT 5)),
+    u AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY path ORDER BY i) = 1), f AS (SELECT id, text, stamp FROM mem WHERE superseded_by IS NULL AND (expires IS NULL OR expires > TIMESTAMP '{NOW}') ORDER BY stamp DESC, id LIMIT 5),
+    w AS (SELECT CASE WHEN num % 13 = 0 THEN 'retracted:' || agent ELSE superseded_by END AS by_ FROM mem WHERE superseded_at > TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND superseded_at <= TIMESTAMP '{NOW}')
+    SELECT section, (row_number() OVER (PARTITION BY section ORDER BY updated DESC NULLS LAST, path))::INT AS place, path AS key, title FROM u
+    UNION ALL SELECT 'recent_facts', (row_number() OVER (ORDER BY stamp DESC, id))::INT, id, text FROM f
+    UNION ALL SELECT 'belief_changes', 1, 'changed', (count(*) FILTER (WHERE NOT starts_with(by_, 'retracted:')))::VARCHAR FROM w UNION ALL SELECT 'belief_changes', 2, 'retracted', (count(*) FILTER (WHERE starts_with(by_, 'retracted:')))::VARCHAR FROM w"""
+)
+def e13_full_briefing(spark, sf):
+    n = notes(spark, sf)
+    facts = memory(spark, sf)
+    retracted = F.when((F.col("num") % 13 == 0) & F.col("superseded_by").isNotNull(), F.concat(F.lit("retracted:"), "agent")).otherwise(F.col("superseded_by"))
+    return O.briefing(n, X.tags(n), facts.withColumn("superseded_by", retracted), _now(), 5, "vip/building", "asia/")
+
+
 # -- retrieval over documents, one chunk a row; queries are the benchmark texts
 
 _TOK = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
