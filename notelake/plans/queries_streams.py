@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from notelake.plans.inputs import NOTES, memory, notes
+from notelake.plans.inputs import NOTES, PAGES, memory, notes
 from notelake.plans.queries_memory import FOLD
 from notelake.plans.queries_sync import _EV, _events
 from notelake.plans.registry import query, table
@@ -34,16 +34,16 @@ def a1_note_tree(spark, sf):
     return found.agg(F.sum(starts).cast("long").alias("notes"), F.sum(F.length("body")).alias("chars"))
 
 
-@query("SELECT 'http://x/' || page_id::VARCHAR AS external_id, 'Page ' || page_id::VARCHAR AS title, TIMESTAMP '2024-01-01' + to_hours(page_id) AS updated FROM pages")
+@query(f"WITH {PAGES} SELECT 'http://x/' || page_id::VARCHAR AS external_id, 'Page ' || page_id::VARCHAR AS title, TIMESTAMP '2024-01-01' + to_hours(page_id) AS updated, md5(body) AS body_md5 FROM md")
 def a5_feed(spark, sf):
     k = F.col("page_id").cast("string")
     at = F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, page_id, 0, 0)")
     text = F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
     link = F.concat(F.lit("http://x/"), k)
-    rows = table(spark, sf, "pages").select(link.alias("link"), F.concat(F.lit("Page "), k).alias("title"), F.lit("<p>x</p>").alias("description"), text.alias("pubDate"))
+    rows = table(spark, sf, "pages").select(link.alias("link"), F.concat(F.lit("Page "), k).alias("title"), F.col("html").alias("description"), text.alias("pubDate"))
     path = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
     rows.write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(path)
-    return exports.feed(spark, path).select("external_id", "title", "updated")
+    return exports.feed(spark, path).select("external_id", "title", "updated", F.md5("body").alias("body_md5"))
 
 
 @query(
@@ -66,12 +66,11 @@ def a8_tracker_export(spark, sf):
     return exports.tracker(spark, path).select("external_id", "body")
 
 
-@query("SELECT page_id::VARCHAR AS external_id, '# T' || page_id::VARCHAR || chr(10) || 'a & b' AS body, 's' || (page_id % 3)::VARCHAR AS space FROM pages")
+@query(f"WITH {PAGES} SELECT page_id::VARCHAR AS external_id, md5(body) AS body_md5, 's' || (page_id % 3)::VARCHAR AS space FROM md")
 def a9_wiki_export(spark, sf):
     k = F.col("page_id").cast("string")
-    html = F.concat(F.lit("<h1>T"), k, F.lit("</h1><p>a &amp; b</p>"))
-    rows = table(spark, sf, "pages").select(k.alias("id"), F.lit("t").alias("title"), F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")).alias("space"), F.struct(F.struct(html.alias("value")).alias("storage")).alias("body"), F.lit("2024-02").alias("updated"))
-    return exports.wiki(spark, _landed(spark, rows, "wiki")).select("external_id", "body", F.element_at("meta", F.lit("space")).alias("space"))
+    rows = table(spark, sf, "pages").select(k.alias("id"), F.lit("t").alias("title"), F.concat(F.lit("s"), (F.col("page_id") % 3).cast("string")).alias("space"), F.struct(F.struct(F.col("html").alias("value")).alias("storage")).alias("body"), F.lit("2024-02").alias("updated"))
+    return exports.wiki(spark, _landed(spark, rows, "wiki")).select("external_id", F.md5("body").alias("body_md5"), F.element_at("meta", F.lit("space")).alias("space"))
 
 
 @query(

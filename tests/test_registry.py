@@ -18,6 +18,8 @@ SAMPLE = (
     "e2_memory_facets", "e8_latency_histogram", "f3_fusion", "f10_prefix_search", "g4_believed_at", "g7_pair_decision", "h9_crdt_merge", "i3_breadth_burst", "i11_stream_metrics", "j9_mcnemar",
     "a10_code_export", "a11_drive_export", "b10_embed_chain", "b13_content_ids", "b15_attributes", "b16_negation", "b17_typed_values", "b22_corpus_build", "c10_filter_before_limit", "c11_whole_corpus", "d7_unlinked_mentions",
     "d13_entity_neighbourhood", "d16_supersession_chains", "e12_statement_similarity", "f2_dense", "f6_hybrid_search", "f11_phrase_search", "f18_all_words_recall", "g1_fact_ranking", "g8_value_updates", "g9_reconcile_fold",
+    "a5_feed", "a9_wiki_export", "d13_graph_nodes", "d13_graph_edges", "e4_principal_statistics", "e5_principal_frequency", "e10_vault_panel", "e13_full_briefing", "f5_merged_passages", "f6_principal_search", "f10_fulltext_search",
+    "f11_phrase_policy", "f11_terms_policy", "f12_stems", "f18_whole_question_recall", "g9_fact_table", "i2_stream_capped_denials", "i4_denial_burst", "i5_anomaly_report", "i8_stream_index", "j5_run_deltas", "j7_all_signals",
     "i2_stream_denial_cap", "i6_stream_reconcile", "i7_stream_upserts", "i8_stream_coalesced_edits", "j4_score_run",
 )
 
