@@ -7,7 +7,7 @@ above them do the same inside the JVM. Word boundaries are those of ASCII words
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,20 +149,25 @@ _STOP, _NOISE, _GENERIC = frozenset(STOPWORDS), frozenset([*SLOT_NOISE, *NUMBER_
 
 
 class Statement:
-    """What the fold needs to know of a statement, worked out once."""
-
-    __slots__ = ("text", "words", "attribute", "negated", "slots", "values")
+    """What the fold needs to know of a statement, worked out once; slots and values only where they are asked for."""
 
     def __init__(self, text: str):
         self.text = text
-        n = " ".join("".join(c if c.isalpha() or c.isnumeric() else " " for c in text.lower()).split())
-        self.words = frozenset(w for w in n.split() if w not in _STOP)
+        said = "".join([c if c.isalpha() or c.isnumeric() else " " for c in text.lower()]).split()
+        n = " ".join(said)
+        self.words = frozenset([w for w in said if w not in _STOP])
         m = _PLAIN_ATTRIBUTE.match(n)
         subject, value = (re.sub(_ARTICLES, "", m[i] or "") for i in (1, 3)) if m else ("", "")
         self.attribute = (subject, m[2], value) if subject and value else None
         self.negated = bool(_PLAIN_NEGATION.search(n))
-        self.slots = frozenset(w for w in self.words if len(w.encode()) >= 3 and w not in _NOISE and not re.search("[0-9]", w))
-        self.values = self._values(text.lower())
+
+    @cached_property
+    def slots(self) -> frozenset:
+        return frozenset(w for w in self.words if len(w.encode()) >= 3 and w not in _NOISE and not re.search("[0-9]", w))
+
+    @cached_property
+    def values(self) -> dict[str, list[str]]:
+        return self._values(self.text.lower())
 
     @staticmethod
     def _values(rest: str) -> dict[str, list[str]]:
