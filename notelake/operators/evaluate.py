@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,17 +122,32 @@ def auc(rows: DataFrame, score: str, label: str, *by: str) -> DataFrame:
     return sums.select(*by, F.round(value, 6).alias("auc"))
 
 
+def _log_factorial(n: Column) -> Column:
+    """ln n! by Stirling's series from n + 8 on, exact to a double's last places."""
+    x = n.cast("double") + 9
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return series - F.log(F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(1.0), lambda p, j: p * (n + j)))
+
+
 def mcnemar(paired: DataFrame, *by: str) -> DataFrame:
-    """(by, only_a, only_b, p) of (a, b) booleans per question: exact two-sided binomial test on discordant pairs."""
+    """(by, only_a, only_b, p) of (a, b) booleans per question: exact two-sided binomial test on discordant pairs.
+
+    The tail's largest term C(n, k) / 2^n comes from log factorials, each smaller one from the one before by its ratio
+    i / (n - i + 1). Terms more than 7 sqrt(n) below k are less than exp(-98) of the largest, each, and are all beyond a double's places.
+    """
     d = paired.groupBy(*by).agg(F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(~F.col("a") & F.col("b")).alias("only_b"))
     n, k = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
-    # log C(n, i) as a running sum of logs; one row per pair of arms
-    logs = F.transform(
-        F.sequence(F.lit(0), F.col("k")),
-        lambda i: F.exp(F.aggregate(F.sequence(F.lit(1), F.greatest(i, F.lit(1))), F.lit(0.0), lambda s, j: s + F.when(i == 0, 0.0).otherwise(F.log(F.col("n") - i + j) - F.log(j))) - F.col("n") * F.log(F.lit(2.0))),
-    )
-    tail = F.aggregate(logs, F.lit(0.0), lambda s, v: s + v)
-    return d.withColumns({"n": n, "k": k}).withColumn("p", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))).drop("n", "k")
+    largest = F.exp(_log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) - n * math.log(2))
+    reach = F.least(k, F.ceil(7 * F.sqrt(n)))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def smaller(s: Column, t: Column) -> Column:
+        term = s["term"] * (k - t + 1) / (n - k + t)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    steps = F.when(reach > 0, F.sequence(F.lit(1).cast("long"), reach)).otherwise(F.array().cast("array<long>"))
+    tail = largest * F.aggregate(steps, start, smaller)["sum"]
+    return d.withColumn("p", F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail)))
 
 
 def stratified_sample(rows: DataFrame, by: str, id_col: str, n: int, seed: str = "0") -> DataFrame:
