@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -138,10 +139,53 @@ def piece_ids(words: DataFrame, vocabulary: dict[str, int], unknown: int, word_c
     return words.withColumn("ids", pieces(F.col(word_col)))
 
 
-def mean_of_rows(keyed: DataFrame, rows: DataFrame, id_col: str, key_col: str, vector_col: str, times: str | None = None) -> DataFrame:
-    """(id, dim, x): the unit mean of the table rows that an id's keys name, each as often as ``times`` says; unknown keys count for nothing."""
-    counted = keyed.groupBy(id_col, key_col).agg((F.sum(times) if times else F.count("*")).alias("n"))
-    spread = counted.join(rows, key_col).select(id_col, "n", F.posexplode(vector_col).alias("dim", "v"))
-    means = spread.groupBy(id_col, "dim").agg((F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).alias("m"))
-    norms = means.groupBy(id_col).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm")).where("norm > 0")
-    return means.join(norms, id_col).select(id_col, "dim", (F.col("m") / F.col("norm")).alias("x"))
+def mean_of_pieces(
+    docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[str, int], unknown: int, rows: DataFrame, key_col: str, vector_col: str
+) -> DataFrame:
+    """(id, dim, x): the unit mean of the table rows that the pieces of an id's words name, each as often as it occurs; unknown keys count for nothing.
+
+    A text's pieces are counted and summed where it lies: only the rows that the vocabulary names go to the workers, few ten
+    thousand at most whatever the table's size, and one pair of arrays a text is shuffled.
+    """
+    spark = docs.sparkSession
+    keys = spark.createDataFrame([(k,) for k in sorted({*vocabulary.values(), unknown})], "__key long")
+    named = rows.join(F.broadcast(keys), F.col(key_col) == F.col("__key"), "left_semi").where(F.col(vector_col).isNotNull())
+    held = named.select(F.col(key_col).alias("k"), F.col(vector_col).cast("array<double>").alias("v")).distinct().collect()
+    width = max([1, *(len(r["v"]) for r in held)])
+    place = {k: i for i, k in enumerate(sorted({r["k"] for r in held}))}
+    sums, times = np.zeros((len(place), width)), np.zeros((len(place), width))
+    for r in held:
+        sums[place[r["k"]], : len(r["v"])] += [0.0 if x is None else x for x in r["v"]]
+        times[place[r["k"]], : len(r["v"])] += 1
+    sent = spark.sparkContext.broadcast((vocabulary, unknown, place, sums, times))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, missing, at, table, often = sent.value
+        remembered: dict[str, list[int]] = {}
+        for b in batches:
+            ids, s, w = [], [], []
+            for id_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                places: list[int] = []
+                for word in _TOKEN.findall(text or ""):
+                    own = remembered.get(word)
+                    if own is None:
+                        if len(remembered) >= REMEMBERED:
+                            remembered.clear()
+                        remembered[word] = own = [at[i] for i in word_pieces(word, known, missing) if i in at]
+                    places += own
+                if places:
+                    n = np.bincount(places, minlength=len(at))
+                    said = np.flatnonzero(n)
+                    ids.append(id_)
+                    s.append(n[said] @ table[said])
+                    w.append(n[said] @ often[said])
+            arrays = [pa.array(ids, b.schema.field(0).type), pa.array(s, pa.list_(pa.float64())), pa.array(w, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "s", "w"])
+
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
+    each = texts.mapInArrow(count, f"id {dict(docs.dtypes)[id_col]}, s array<double>, w array<double>")
+    added = each.groupBy("id").agg(*[F.array(*[F.sum(F.col(c)[d]) for d in range(width)]).alias(c) for c in ("s", "w")])
+    means = added.select("id", F.zip_with("s", "w", lambda x, n: F.when(n > 0, x / n)).alias("m"))
+    norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda t, x: t + F.coalesce(x * x, F.lit(0.0))))
+    unit = means.withColumn("norm", norm).where("norm > 0").select(F.col("id").alias(id_col), "norm", F.posexplode("m").alias("dim", "v"))
+    return unit.where("v IS NOT NULL").select(id_col, "dim", (F.col("v") / F.col("norm")).alias("x"))
