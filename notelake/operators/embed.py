@@ -52,12 +52,17 @@ def hash_tokens(said: Sequence[str]) -> np.ndarray | None:
     return x / norm if norm > 0 else None
 
 
-def hash_vectors(docs: DataFrame, id_col: str, text_col: str, out: str = "embedding") -> DataFrame:
-    """(id, embedding) with ``BUCKETS`` doubles, in one pass over the texts; texts without a vector are left out."""
+def hash_vectors(docs: DataFrame, id_col: str, text_col: str, out: str = "embedding", cancelled: bool = False) -> DataFrame:
+    """(id, embedding) with ``BUCKETS`` doubles, in one pass over the texts; texts without a vector are left out, those
+    whose tokens all cancel out have zeros with ``cancelled``."""
+
+    def vector(text: str | None) -> np.ndarray | None:
+        made = hash_vector(text)
+        return np.zeros(BUCKETS) if made is None and cancelled and _TOKEN.search((text or "").lower()) else made
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series([hash_vector(t) for t in texts], dtype=object)
+        return pd.Series([vector(t) for t in texts], dtype=object)
 
     # else the optimizer may run it once for each use of its result
     made = docs.select(id_col, vectors.asNondeterministic()(F.col(text_col)).alias(out))
