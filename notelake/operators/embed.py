@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from notelake.sources.notes import shared_folder
+from notelake.sources.notes import shared_folder, text_batches
 
 BUCKETS = 256
 
 
 #: Tokens whose bucket a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 _TOKEN = re.compile("[a-z0-9]+")
 
 
@@ -64,6 +64,7 @@ def hash_vectors(docs: DataFrame, id_col: str, text_col: str, out: str = "embedd
     def vectors(texts: pd.Series) -> pd.Series:
         return pd.Series([vector(t) for t in texts], dtype=object)
 
+    text_batches(docs.sparkSession)
     # else the optimizer may run it once for each use of its result
     made = docs.select(id_col, vectors.asNondeterministic()(F.col(text_col)).alias(out))
     return made.where(F.col(out).isNotNull())
@@ -187,6 +188,7 @@ def mean_of_pieces(
             arrays = [pa.array(ids, b.schema.field(0).type), pa.array(s, pa.list_(pa.float64())), pa.array(w, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "s", "w"])
 
+    text_batches(spark)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
     each = texts.mapInArrow(count, f"id {dict(docs.dtypes)[id_col]}, s array<double>, w array<double>")
     added = each.groupBy("id").agg(*[F.array(*[F.sum(F.col(c)[d]) for d in range(width)]).alias(c) for c in ("s", "w")])
