@@ -92,3 +92,36 @@ def test_ids_of_any_type(spark, filed):
 def test_features_of_any_text():
     for text in ("", " ", "a", "é" * 10, "word " * 1000, "\ud800"):
         assert np.isfinite(quality.features(text)).all()
+
+
+def test_every_labelled_row_teaches(spark, filed):
+    # more rows a label than were once learned from: turning any one of them round moves the weights
+    n = 7000
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(["aa", "b1", "C", "dd!"], 4))) for i in range(n)]
+    labels = [(i, i % 2) for i in range(n)]
+    docs = filed(rows, "doc_id long, text string")
+    flags = {r.doc_id: r.h for r in docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("h")).collect()}
+    used = [(t, i % 2) for i, t in rows if not flags[i]]
+    model = quality.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    x, y = np.stack([quality.features(t) for t, _ in used]), np.array([q for _, q in used])
+    assert len(y) > 5000
+    seen = []
+    quality._Arrays(x, y).total(lambda a, b, bucket, own: seen.append((own.sum(), len(set(bucket.tolist())))))
+    assert seen == [(len(y), len(y) // quality.BUCKET)]
+    assert np.allclose(model.weights, quality.fit(x, y).weights)
+
+
+def test_scarce_labels_are_in_every_bucket(spark, filed):
+    docs, _ = _corpus(filed, 200)
+    labels = [(i, int(i not in (4, 8, 20))) for i in range(200)]
+    model = quality.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert np.isfinite(model.weights).all() and model.slope > 0
+
+
+def test_a_value_by_its_place(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SORTED_ROWS", 3)
+    values = [float(x) for x in [*range(50), *[7.0] * 20, 1e9, -1e-9]]
+    df = spark.createDataFrame([(v,) for v in values], "s double")
+    for at in (0, 1, 8, 20, 40, len(values) - 1):
+        assert quality._at(df, "s", at) == sorted(values)[at]
