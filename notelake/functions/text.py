@@ -27,7 +27,12 @@ def normal(text: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Distinct words of the normalised text that are not stopwords."""
-    words = F.array_distinct(F.split(normal(text), " "))
+    return words_of_normal(normal(text))
+
+
+def words_of_normal(said: Column) -> Column:
+    """``content_words`` of a text that is in normal form."""
+    words = F.array_distinct(F.split(said, " "))
     return F.filter(words, lambda w: (w != "") & ~w.isin(*STOPWORDS))
 
 
@@ -43,8 +48,9 @@ def slug(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct values; 0 where both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
+    shared = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - shared
+    return F.when(union == 0, F.lit(0.0)).otherwise(shared / union)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -57,6 +63,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norms == 0), F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def when_chain(pairs, otherwise=None) -> Column:
     """CASE from (condition, value) pairs."""
     chain = None
