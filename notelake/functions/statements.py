@@ -12,7 +12,7 @@ from functools import cached_property, lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notelake.functions.text import STOPWORDS, normal
+from notelake.functions.text import STOPWORDS, content_words, let, normal
 
 # -- fixed values: results depend on exactly these
 
@@ -71,17 +71,28 @@ NUMBER_WORD = r"\b(?:" + "|".join(NUMBER_WORDS) + r")\b"
 
 
 def _java(pattern: str) -> str:
-    """The pattern with boundaries of ASCII words, which Java's own are not."""
+    """The pattern with boundaries of ASCII words, which Java's own are not; what begins with one goes on with a word."""
+    pattern = re.sub(r"(^|\|)\\b", r"\1(?<![A-Za-z0-9_])", pattern)
     edge = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
     return pattern.replace(r"\b", edge)
 
 
 def attribute(text: Column) -> Column:
     """struct(subject, predicate, value) of a statement; null without a predicate, a subject or a value."""
-    n = normal(text)
-    bare = lambda i: F.regexp_replace(F.regexp_extract(n, ATTRIBUTE, i), _ARTICLES, "")
-    found = F.struct(bare(1).alias("subject"), F.regexp_extract(n, ATTRIBUTE, 2).alias("predicate"), bare(3).alias("value"))
-    return F.when((found["subject"] != "") & (found["value"] != ""), found)
+    return attribute_of_normal(normal(text))
+
+
+def attribute_of_normal(said: Column) -> Column:
+    """``attribute`` of a statement that is in normal form."""
+    # one pass of the pattern; what does not match stays whole
+    parts = F.split(F.regexp_replace(said, ATTRIBUTE, "$1\x01$2\x01$3"), "\x01")
+    bare = lambda x: F.regexp_replace(x, _ARTICLES, "")
+
+    def found(p: Column) -> Column:
+        made = F.struct(bare(F.get(p, F.lit(0))).alias("subject"), F.get(p, F.lit(1)).alias("predicate"), bare(F.get(p, F.lit(2))).alias("value"))
+        return F.when(F.size(p) == 3, let(made, lambda m: F.when((m["subject"] != "") & (m["value"] != ""), m)))
+
+    return let(parts, found)
 
 
 def is_negation(text: Column) -> Column:
@@ -95,10 +106,11 @@ def value_text(raw: Column) -> Column:
 
 def values(text: Column) -> Column:
     """array of distinct (kind, text), kinds in order; bare years between 1900 and 2099 are no numbers."""
-    rest = F.lower(text)
-    found = F.array().cast("array<struct<kind:string,text:string>>")
     of = lambda kind, texts: F.transform(texts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text")))
-    for kind, pattern in VALUE_PATTERNS:
+
+    def look(i: int, rest: Column, found: Column) -> Column:
+        """The kinds from the ``i``-th on; each sees the text as the one before has left it, masked once."""
+        kind, pattern = VALUE_PATTERNS[i]
         hits = F.transform(F.regexp_extract_all(rest, F.lit(_java(pattern)), F.lit(0)), value_text)
         if kind == "number":
             hits = F.filter(hits, lambda x: ~x.rlike(YEAR))
@@ -106,38 +118,38 @@ def values(text: Column) -> Column:
             table = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
             hits = F.concat(hits, F.transform(said, lambda w: F.element_at(table, w)))
         found = F.concat(found, of(kind, F.filter(hits, lambda x: x != "")))
-        rest = F.regexp_replace(rest, _java(pattern), " ")
-    return F.array_distinct(found)
+        if i + 1 == len(VALUE_PATTERNS):
+            return F.array_distinct(found)
+        return let(F.regexp_replace(rest, _java(pattern), " "), lambda r: look(i + 1, r, found))
 
+    return let(F.lower(text), lambda r: look(0, r, F.array().cast("array<struct<kind:string,text:string>>")))
 
-def slot_terms(text: Column) -> Column:
-    """Distinct words that say what a statement is about: no stopwords, fillers, short words and numbers."""
-    words = F.array_distinct(F.split(normal(text), " "))
-    return F.filter(
-        words, lambda w: (F.octet_length(w) >= 3) & ~w.isin(*STOPWORDS, *SLOT_NOISE, *NUMBER_WORDS) & ~w.rlike("[0-9]")
-    )
 
+def slot_terms(words: Column) -> Column:
+    """Of a statement's content words those that say what it is about: no fillers, short words and numbers."""
+    return F.filter(words, lambda w: (F.octet_length(w) >= 3) & ~w.isin(*SLOT_NOISE, *NUMBER_WORDS) & ~w.rlike("[0-9]"))
 
-def with_slots(rows: DataFrame, *texts: str, where: Column | None = None) -> DataFrame:
-    """``rows`` with {text}_slots and {text}_values for each named column, so that they are worked out once; null where
-    the condition does not hold."""
-    made = {f"{t}_slots": slot_terms(F.col(t)) for t in texts} | {f"{t}_values": values(F.col(t)) for t in texts}
-    return rows.withColumns(made if where is None else {c: F.when(where, v) for c, v in made.items()})
 
+def with_value_update(rows: DataFrame, where: Column | None = None) -> DataFrame:
+    """``rows`` (old, new, ...) with ``shared`` slot terms, their share of the shorter's (``overlap``), and whether the one value of
+    a kind differs in the same slot (``update``); null where the condition does not hold.
 
-def value_update(old: str = "old", new: str = "new") -> tuple[Column, Column, Column]:
-    """(shared slot terms, their share of the shorter's, whether the one value of a kind differs in the same slot), of ``with_slots``."""
-    a, b = F.col(f"{old}_slots"), F.col(f"{new}_slots")
-    both = F.array_intersect(a, b)
-    shared, least = F.size(both), F.least(F.size(a), F.size(b))
-    telling = F.size(F.filter(both, lambda w: ~w.isin(*GENERIC_TERMS)))
-    overlap = F.when(least == 0, F.lit(0.0)).otherwise(shared / least)
+    Each step is a column of its own, so that it is worked out once, and values are looked for only in statements of one slot.
+    """
+    when = (lambda v: v) if where is None else (lambda v: F.when(where, v))
+    words = {f"{t}_words": content_words(F.col(t)) for t in ("old", "new") if f"{t}_words" not in rows.columns}
+    slots = rows.withColumns(words).withColumns({f"{t}_slots": when(slot_terms(F.col(f"{t}_words"))) for t in ("old", "new")})
+    both = slots.withColumns({"both": F.array_intersect("old_slots", "new_slots"), "least": F.least(F.size("old_slots"), F.size("new_slots"))})
+    telling = F.size(F.filter("both", lambda w: ~w.isin(*GENERIC_TERMS)))
+    overlap = F.when(F.col("least") == 0, F.lit(0.0)).otherwise(F.col("shared") / F.col("least"))
+    counted = both.withColumn("shared", when(F.size("both"))).withColumn("overlap", when(overlap))
+    same = counted.withColumn("same_slot", (F.col("shared") >= SHARED_TERMS) & (F.col("overlap") >= SLOT_OVERLAP) & (telling >= TELLING_TERMS))
+    said = same.withColumns({f"{t}_values": F.when(F.col("same_slot"), values(F.col(t))) for t in ("old", "new")})
     differs = F.lit(False)
     for kind, _ in VALUE_PATTERNS:
-        x, y = (F.filter(f"{t}_values", lambda e: e["kind"] == kind) for t in (old, new))
+        x, y = (F.filter(f"{t}_values", lambda e: e["kind"] == kind) for t in ("old", "new"))
         differs = differs | ((F.size(x) == 1) & (F.size(y) == 1) & (F.get(x, F.lit(0))["text"] != F.get(y, F.lit(0))["text"]))
-    same = (shared >= SHARED_TERMS) & (telling >= TELLING_TERMS) & (overlap >= SLOT_OVERLAP)
-    return shared, overlap, same & F.coalesce(differs, F.lit(False))
+    return said.withColumn("update", F.col("same_slot") & F.coalesce(differs, F.lit(False)))
 
 
 # -- one statement at a time, for the fold

@@ -145,7 +145,7 @@ _OLD = """CASE o_orderkey % 5 WHEN 0 THEN 'The yearly hosting budget of team ' |
     + """) AS "update" FROM x JOIN vn USING (id) JOIN vo USING (id)"""
 )
 def g8_value_updates(spark, sf):
-    pairs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_NEW).alias("new"), F.expr(_OLD).alias("old"))
+    pairs = table(spark, sf, "orders", costly=True).select(F.col("o_orderkey").alias("id"), F.expr(_NEW).alias("new"), F.expr(_OLD).alias("old"))
     return M.value_updates(pairs).select("id", "shared", "overlap", "update")
 
 
