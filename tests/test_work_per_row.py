@@ -49,3 +49,20 @@ def test_costly_tables_are_dealt_in_small_parts(spark, tmp_path, monkeypatch):
     spark.range(200_000).select(F.rand(1).alias("x")).write.parquet(f"{tmp_path}/t.parquet")
     parts = table(spark, str(tmp_path), "t", costly=True).rdd.getNumPartitions()
     assert parts >= 20 > spark.sparkContext.defaultParallelism and COSTLY == 8 << 20
+
+
+def test_sharding_rounds_run_over_cells_and_keep_counts():
+    from notelake.llm import shards
+
+    # 15 groups across the ends of 16 shards; lone rows only on some
+    cells = {g: {g % 16: 40 + g, g % 16 + 1: 30 + g} for g in range(15)}
+    lone = {s: 60 for s in range(0, 16, 2)}
+    after, filled = shards.settle(cells, lone, 16)
+    sizes = lambda c, own: [sum(x.get(s, 0) for x in c.values()) + own.get(s, 0) for s in range(16)]
+    assert sizes(after, filled) == sizes(cells, lone) and min(filled.values()) >= 0
+    assert {g: sum(c.values()) for g, c in after.items()} == {g: sum(c.values()) for g, c in cells.items()}
+    assert shards._apart(after) < shards._apart(cells)
+    for g in cells:
+        moves = shards._moves(cells[g], after[g])
+        for s, n in cells[g].items():
+            assert n - sum(e - f for at, f, e, _ in moves if at == s) + sum(e - f for _, f, e, to in moves if to == s) == after[g].get(s, 0)
