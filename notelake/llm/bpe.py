@@ -50,7 +50,7 @@ def _splitter(letter: str, digit: str) -> str:
 _NARROW = re.compile(_splitter(r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9"))
 _WIDE = regex.compile(_splitter(r"\p{L}", r"\p{N}"))
 
-#: Encoded pieces that one worker remembers, and the length from which a piece is not remembered.
+#: Encoded pieces that one worker remembers, in two halves by age, and the length from which a piece is not remembered.
 MAX_REMEMBERED, MAX_REMEMBERED_CHARS = 200_000, 32
 
 
@@ -120,16 +120,24 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Encoder(dict):
-    """Piece -> packed ids; what is missing is merged, and remembered while there is room."""
+    """Piece -> packed ids; what is missing is merged and remembered.
+
+    When half of ``MAX_REMEMBERED`` is reached, what is remembered becomes the older half and a new one begins; what is asked for again
+    comes over from the older half, so frequent pieces are not merged again.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("I", merge(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
+        ids = self.older.pop(piece, None)
+        if ids is None:
+            ids = array("I", merge(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
         if len(piece) <= MAX_REMEMBERED_CHARS:
-            if len(self) >= MAX_REMEMBERED:
+            if 2 * len(self) >= MAX_REMEMBERED:
+                self.older = self.copy()
                 self.clear()
             self[piece] = ids
         return ids

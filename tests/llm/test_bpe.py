@@ -49,3 +49,13 @@ def test_encoding_runs_once(odd_docs):
     coded = bpe.decode_ids(bpe.encode_texts(odd_docs, PATH), PATH).select("ids", "decoded")
     plan = coded._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("bpe_encode(") == 1
+
+
+def test_frequent_pieces_are_merged_once_however_many_others_come(monkeypatch):
+    merged = []
+    monkeypatch.setattr(bpe, "MAX_REMEMBERED", 20)
+    monkeypatch.setattr(bpe, "merge", lambda piece, ranks: merged.append(piece) or [len(piece)])
+    encoder = bpe._Encoder({})
+    for i in range(200):
+        assert encoder["often"] == (5).to_bytes(4, "little") and encoder[f"rare {i}"]
+    assert merged.count(b"often") == 1 and len(encoder) + len(encoder.older) <= 20
