@@ -10,6 +10,10 @@ from pyspark.sql.window import Window
 MERGEABLE = r"\.(md|markdown|txt)$"
 
 
+#: Atoms and tombstones that one task merges, about.
+MERGED_ATOMS = 1_000_000
+
+
 def sync_status(old: DataFrame, new: DataFrame, tolerance: float = 0.001) -> DataFrame:
     """(path, status): added, removed, unchanged (same mtime within a millisecond, else same hash), updated."""
     o = old.select("path", F.col("mtime").alias("old_mtime"), F.col("hash").alias("old_hash"), F.lit(1).alias("in_old"))
@@ -114,8 +118,13 @@ def crdt_merge(atoms: DataFrame, tombs: DataFrame) -> DataFrame:
 
     Any order and repetition of replicas gives the same text.
     """
-    alive = atoms.dropDuplicates(["doc", "site", "clock"]).join(tombs.select("doc", "site", "clock").distinct(), ["doc", "site", "clock"], "left_anti")
-    ordered = F.sort_array(F.collect_list(F.struct("key", "site", "clock", "ch")))
+    # a document's atoms and tombstones come to one task once, and tasks stay small however many atoms there are
+    held = atoms.select("doc", "site", "clock", F.struct("key", "ch").alias("atom"), F.lit(False).alias("dead"))
+    gone = tombs.select("doc", "site", "clock", F.lit(None).cast(held.schema["atom"].dataType).alias("atom"), F.lit(True).alias("dead"))
+    parts = max(atoms.sparkSession.sparkContext.defaultParallelism, -(-(atoms.count() + tombs.count()) // MERGED_ATOMS))
+    met = held.unionByName(gone).repartition(parts, "doc").groupBy("doc", "site", "clock")
+    alive = met.agg(F.max("dead").alias("dead"), F.first("atom", ignorenulls=True).alias("atom")).where("not dead")
+    ordered = F.sort_array(F.collect_list(F.struct("atom.key", "site", "clock", "atom.ch")))
     return alive.groupBy("doc").agg(F.array_join(F.transform(ordered, lambda a: a["ch"]), "").alias("text"), F.count("*").alias("atoms"))
 
 

@@ -66,3 +66,34 @@ def test_sharding_rounds_run_over_cells_and_keep_counts():
         moves = shards._moves(cells[g], after[g])
         for s, n in cells[g].items():
             assert n - sum(e - f for at, f, e, _ in moves if at == s) + sum(e - f for _, f, e, to in moves if to == s) == after[g].get(s, 0)
+
+
+def test_merging_replicas_shuffles_once_into_tasks_of_bounded_size(spark, monkeypatch):
+    from notelake.operators import sync
+
+    monkeypatch.setattr(sync, "MERGED_ATOMS", 100)
+    atoms = spark.range(2000).select((F.col("id") % 50).alias("doc"), F.array(F.col("id").cast("int")).alias("key"), F.lit("a").alias("site"), F.col("id").alias("clock"), F.lit("x").alias("ch"))
+    merged = sync.crdt_merge(atoms.unionByName(atoms.where("id % 2 = 0")), atoms.where("clock % 5 = 0"))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(doc" in plan and ", 34)" in plan
+    assert {r.doc: (r.text, r.atoms) for r in merged.collect()} == {d: ("x" * n, n) for d in range(50) if (n := sum(i % 5 != 0 for i in range(d, 2000, 50)))}
+
+
+def test_a_reconciled_scope_is_read_as_plain_rows(spark):
+    from pyspark.sql import Row
+
+    from notelake.streaming.state import _Reconciler
+
+    class Held(dict):
+        def iterator(self):
+            return iter([])
+
+        def updateValue(self, k, v):
+            self[k] = v
+
+    r = _Reconciler()
+    r.facts = Held()
+    base = dict(authority=1, immutable=False, expires=None, until=None)
+    rows = [Row(id="b", stamp="2", text="Ann prefers tea", **base), Row(id="a", stamp="1", text="Ann prefers milk", **base)]
+    got = [tuple(x) for x in r.handleInputRows(("s",), iter(rows), None)]
+    assert [g[1:4] for g in got] == [("a", "ADD", None), ("b", "UPDATE", "a")] and list(r.facts) == [("b",)]
