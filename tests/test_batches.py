@@ -47,3 +47,18 @@ def test_ends_of_earlier_batches_hold_back_later_rows():
     first = search._hits(qids, np.arange(3), np.array([[3.0, 2.0, 1.0]]), 2, 0.0, "lex", ends)
     later = search._hits(qids, np.arange(3, 6), np.array([[1.5, 2.0, 4.0]]), 2, 0.0, "lex", ends)
     assert first["id"].tolist() == [0, 1] and later["id"].tolist() == [4, 5]  # what ties with the last stays
+
+
+def test_tasks_keep_no_more_rows_than_the_first_can_come_from(spark, monkeypatch):
+    docs, asked = _texts(spark, 600)
+    monkeypatch.setattr(retrieval, "RRF_K", 6)
+    by, seen, candidates = ["qid", "rank", "id", "score"], [], retrieval._candidates
+
+    def counted(table, views, questions, pairs, reach, least):
+        seen.append(reach)
+        return candidates(table, views, questions, pairs, reach, least)
+
+    monkeypatch.setattr(retrieval, "_candidates", counted)
+    few = retrieval.hybrid_search(docs, asked, 4, embed=hash_tokens).select(*by).orderBy(*by).collect()
+    many = retrieval.hybrid_search(docs, asked, 300, embed=hash_tokens).where("rank < 4").select(*by).orderBy(*by).collect()
+    assert len(few) == 20 and few == many and seen == [14, 606]
