@@ -347,3 +347,10 @@ def test_word_sets_are_looked_for_where_the_texts_lie(spark, monkeypatch):
         got = [(tuple(r.words), r.note) for r in made.collect()]
         assert set(got) == want and len(got) == len(want)
     assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_answers_are_cut_at_spaces_and_line_feeds_alone(spark):
+    texts = ["aaaa bb\n more", "aaaa b\tcc more", "aaaa bb more", "aaaaa\n\n bbbb"]
+    rows = spark.createDataFrame([(1, i, t, False) for i, t in enumerate(texts)], "qid long, rank int, text string, untrusted boolean")
+    got = R.extractive_answer(rows, ["qid"], most=8).first().answer
+    assert got == "[1] aaaa bb…\n[2] aaaa…\n[3] aaaa bb…\n[4] aaaaa…"
