@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -191,3 +192,32 @@ def test_shards_of_odd_rows(odd_docs):
     got = check_shards(shards.shard_documents(odd_docs), odd_docs.count())
     assert {r.size for r in got if r.doc_id in (3, 4)} == {1}
     assert shards.shard_documents(odd_docs.where(F.lit(False))).count() == 0
+
+
+def test_exchanges_along_a_cycle_of_shards_go_on_to_their_end():
+    # every group has rows on two neighbours and there are no lone rows, so no two shards alone can exchange
+    for n in (3, 5, 16, 40):
+        cells = {g: {g: 7, (g + 1) % n: 4} for g in range(n)}
+        settled, lone = shards.settle(cells, {}, n)
+        assert all(len(c) == 1 for c in settled.values()) and not any(lone.values())
+        assert sorted(s for c in settled.values() for s in c) == list(range(n))
+
+
+def test_no_change_and_no_swap_of_shards_gathers_more():
+    rng = random.Random(5)
+    for _ in range(60):
+        n, groups = rng.choice([2, 3]), rng.randint(2, 4)
+        cells = {g: {s: rng.randint(1, 6) for s in range(n)} for g in range(groups)}
+        lone = {s: rng.choice([0, 2]) for s in range(n)}
+        room = [lone[s] + sum(c[s] for c in cells.values()) for s in range(n)]
+        settled, left = shards.settle(cells, lone, n)
+        size = {g: sum(c.values()) for g, c in cells.items()}
+        assert {g: sum(c.values()) for g, c in settled.items()} == size
+        assert [left.get(s, 0) + sum(c.get(s, 0) for c in settled.values()) for s in range(n)] == room
+        # homes from which no change and no swap gathers more rows
+        gathered = lambda home: sum(min(room[s], sum(size[g] for g in size if home[g] == s)) for s in range(n))
+        home = {g: min(c, key=lambda s: (-c[s], s)) for g, c in settled.items()}
+        held = sum(max(c.values()) for c in settled.values())
+        for g in home:
+            assert all(gathered({**home, g: s}) <= held for s in range(n))
+            assert all(gathered({**home, g: home[h], h: home[g]}) <= held for h in home)
