@@ -120,11 +120,12 @@ def links(fingerprints: DataFrame, fp: str = "fp", max_distance: int = 3, segmen
 
     One flipped bit a segment must be enough, so ``max_distance`` is less than twice ``segments``.
     More segments have shorter, less selective keys. A pair that could meet in several segments
-    leaves the join in the first of them alone.
+    leaves the join in the first of them alone. Spark sizes an exploded table as if it were not,
+    so joins of probes and entries are never left to choose a broadcast.
     """
     distinct = fingerprints.select(fp).where(F.col(fp).isNotNull()).distinct()
     entries, probes, fits = _table_and_probes(distinct, fp, max_distance, segments)
-    met = probes.withColumnRenamed("key", "asked").join(entries, (F.col("asked") == F.col("key")) & (F.col("a") < F.col("b")) & fits)
+    met = probes.withColumnRenamed("key", "asked").join(entries.hint("merge"), (F.col("asked") == F.col("key")) & (F.col("a") < F.col("b")) & fits)
     return met.select("a", "b")
 
 
@@ -140,14 +141,14 @@ def spanning_links(fingerprints: DataFrame, fp: str = "fp", max_distance: int =
     ends = entries.groupBy(F.col("key").alias("at")).agg(F.min("b").alias("low"), F.max("b").alias("high"))
     centres = ends.select("at", F.explode(F.array_distinct(F.array("low", "high"))).alias("c"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("c"))) <= max_distance
-    met = probes.join(centres, (F.col("key") == F.col("at")) & (F.col("a") != F.col("c")) & near)
+    met = probes.join(centres.hint("merge"), (F.col("key") == F.col("at")) & (F.col("a") != F.col("c")) & near)
     stars = written(met.select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct(), "stars")
     groups = connected_components(stars, "a", "b").withColumnRenamed("node", "member")
-    rooted = distinct.join(groups, distinct[fp] == groups["member"], "left").select(fp, F.coalesce("root", fp).alias("root"))
+    rooted = distinct.join(groups.hint("merge"), distinct[fp] == groups["member"], "left").select(fp, F.coalesce("root", fp).alias("root"))
     rooted = written(rooted, "rooted")
     entries, probes, fits = _table_and_probes(rooted, fp, max_distance, segments, "root")
     apart = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits
-    between = probes.withColumnRenamed("key", "asked").join(entries, (F.col("asked") == F.col("key")) & apart)
+    between = probes.withColumnRenamed("key", "asked").join(entries.hint("merge"), (F.col("asked") == F.col("key")) & apart)
     return stars.unionByName(between.select("a", "b"))
 
 
@@ -166,12 +167,12 @@ def near_duplicates(
     smallest = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     found = connected_components(spanning_links(prints, "fp", max_distance), "a", "b")
     rooted = (
-        smallest.join(found, smallest["fp"] == found["node"], "left")
+        smallest.join(found.hint("merge"), smallest["fp"] == found["node"], "left")
         .select("fp", "least", F.coalesce("root", "fp").alias("root"))
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = written(rooted.join(least, "root").select(F.col("fp").alias("group_fp"), "component_id"), "groups")
-    return prints.join(groups, prints["fp"] == groups["group_fp"]).select(id_col, "fp", "component_id")
+    groups = written(rooted.join(least.hint("merge"), "root").select(F.col("fp").alias("group_fp"), "component_id"), "groups")
+    return prints.join(groups.hint("merge"), prints["fp"] == groups["group_fp"]).select(id_col, "fp", "component_id")
 
 
 #: 64-bit words of a set's parity bits, which bound from above what two sets can share.
