@@ -5,7 +5,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from notelake.llm import simhash
+from notelake.llm import components, simhash
+from notelake.llm.common import written
 from notelake.llm.components import connected_components
 
 
@@ -137,3 +138,21 @@ def test_near_copies_under_one_fingerprint(filed):
     assert brute_components(texts) == {1: 1, 2: 1}
     got = simhash.near_copies(filed(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1}
+
+
+def test_tables_that_grow_are_never_broadcast(spark, monkeypatch):
+    plans = []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "written", seen)
+    said = "one two three four five six seven eight nine ten"
+    rows = [(i, f"{said} {i // 3}" if i % 2 else f"{said} {said} x{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for found in (simhash.near_duplicates(docs), simhash.near_copies(docs), simhash.links(docs.select(F.col("doc_id").alias("fp")))):
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        assert found.count()
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
