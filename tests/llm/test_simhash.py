@@ -149,6 +149,7 @@ def test_tables_that_grow_are_never_broadcast(spark, monkeypatch):
 
     for module in (simhash, components):
         monkeypatch.setattr(module, "written", seen)
+    monkeypatch.setattr(components, "BROADCAST_EDGES", 0)
     said = "one two three four five six seven eight nine ten"
     rows = [(i, f"{said} {i // 3}" if i % 2 else f"{said} {said} x{i}") for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
