@@ -52,6 +52,16 @@ def hash_tokens(said: Sequence[str]) -> np.ndarray | None:
     return x / norm if norm > 0 else None
 
 
+def hash_token_rows(said: Sequence[Sequence[str]]) -> np.ndarray:
+    """``hash_tokens`` of many texts, a row each; zeros where there is none."""
+    codes = np.array([_CODES[t] for ts in said for t in ts], dtype=np.int64)
+    row = np.repeat(np.arange(len(said)), np.array([len(ts) for ts in said], dtype=np.int64))
+    counts = np.bincount(row * (2 * BUCKETS) + codes, minlength=len(said) * 2 * BUCKETS).reshape(len(said), 2 * BUCKETS)
+    x = (counts[:, 1::2] - counts[:, ::2]).astype(np.float64)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
 def hash_vectors(docs: DataFrame, id_col: str, text_col: str, out: str = "embedding", cancelled: bool = False) -> DataFrame:
     """(id, embedding) with ``BUCKETS`` doubles, in one pass over the texts; texts without a vector are left out, those
     whose tokens all cancel out have zeros with ``cancelled``."""

@@ -92,8 +92,8 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_SPARK_NOTES, **{t: table(spark, sf_dir, t) for t in ("customer", "nation", "region", "orders")})
 
 
-def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"SELECT {_FACT_COLS} FROM {{orders}} {_FACT_WINDOW}", orders=table(spark, sf_dir, "orders"))
+def memory(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    return spark.sql(f"SELECT {_FACT_COLS} FROM {{orders}} {_FACT_WINDOW}", orders=table(spark, sf_dir, "orders", costly))
 
 
 def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

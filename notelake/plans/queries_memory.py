@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from notelake.functions.text import content_id
 from notelake.operators import memory as M
 from notelake.operators import search as R
-from notelake.operators.embed import hash_vectors
+from notelake.operators.embed import hash_token_rows, hash_vectors
 from notelake.functions.statements import GENERIC_TERMS, VALUE_PATTERNS
 from notelake.plans.extraction import ATTRIBUTE, NORMAL, attribute_sql, negation_sql, slot_sql, values_sql, words_sql
 from notelake.plans.inputs import FACTS, memory
@@ -48,9 +48,7 @@ _ENT = r"""list_filter(list_distinct(list_transform(list_concat(regexp_extract_a
     r AS (SELECT qid, id, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, stamp DESC, id))::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 10"""
 )
 def g1_fact_ranking(spark, sf):
-    f, q = memory(spark, sf), _asked(spark, sf)
-    semantic = R.dense(hash_vectors(f, "id", "text"), hash_vectors(q, "qid", "text"))
-    return M.rank_facts(f, q, semantic, _now())
+    return M.rank_facts(memory(spark, sf, costly=True), _asked(spark, sf), hash_token_rows, _now())
 
 
 @query(f"WITH {FACTS} SELECT note, id, text FROM mem WHERE agent = 'ann' AND category = '' AND superseded_by IS NULL AND NOT coalesce(expires <= TIMESTAMP '{NOW}', false)")
@@ -60,7 +58,7 @@ def g2_fact_filter(spark, sf):
 
 @query(f"WITH {FACTS}, {_FQ} SELECT qid, id, round(keyword, 6) AS keyword FROM kw")
 def g3_keyword_score(spark, sf):
-    return M.keyword_scores(memory(spark, sf), _asked(spark, sf)).withColumn("keyword", F.round("keyword", 6))
+    return M.keyword_scores(memory(spark, sf, costly=True), _asked(spark, sf)).withColumn("keyword", F.round("keyword", 6))
 
 
 _INSTANTS = ("1996-01-01 00:00:00", "1998-06-15 00:00:00", NOW)

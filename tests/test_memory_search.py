@@ -10,9 +10,10 @@ from notelake.functions.statements import statement
 from notelake.functions.stem import stem_terms
 from notelake.functions.text import tokens
 from notelake.operators import evaluate as E
+from notelake.operators import extract as X
 from notelake.operators import memory as M
 from notelake.operators import search as R
-from notelake.operators.embed import embed_chain, hash_vectors, mean_of_pieces, piece_ids, signature, stale, word_pieces
+from notelake.operators.embed import embed_chain, hash_token_rows, hash_vector, hash_vectors, mean_of_pieces, piece_ids, signature, stale, word_pieces
 
 
 def _bm25(spark, docs, queries):
@@ -354,3 +355,57 @@ def test_answers_are_cut_at_spaces_and_line_feeds_alone(spark):
     rows = spark.createDataFrame([(1, i, t, False) for i, t in enumerate(texts)], "qid long, rank int, text string, untrusted boolean")
     got = R.extractive_answer(rows, ["qid"], most=8).first().answer
     assert got == "[1] aaaa bb…\n[2] aaaa…\n[3] aaaa bb…\n[4] aaaaa…"
+
+
+def _facts(spark):
+    names = ["Ann", "Bob", "Cid"]
+    rows = [(f"f{i:03}", f"{names[i % 3]} likes tea {i % 7}" if i % 10 else None, i // 4, i % 4, i % 3) for i in range(200)]
+    facts = spark.createDataFrame(rows, "id string, text string, d int, helpful int, unhelpful int").repartition(3)
+    facts = facts.withColumn("stamp", F.expr("timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(d)")).drop("d")
+    asked = spark.createDataFrame([(1, "Does Ann like tea"), (2, "Bob coffee 3"), (3, "nothing known"), (4, "likes")], "qid long, text string")
+    return facts, asked
+
+
+def _slow_keywords(facts, asked):
+    held = {r.id: set((r.text or "").lower().split()) for r in facts.collect()}
+    weight = lambda t: math.log(1 + (len(held) - d + 0.5) / (d + 0.5)) if (d := sum(t in h for h in held.values())) else 1.0
+    out = {}
+    for q in asked.collect():
+        ws = {t: weight(t) for t in set(q.text.lower().split())}
+        out |= {(q.qid, i): sum(w for t, w in ws.items() if t in h) / sum(ws.values()) for i, h in held.items() if h & set(ws)}
+    return out
+
+
+@pytest.mark.parametrize("bytes_", [R.BROADCAST_BYTES, 100])
+def test_keywords_are_scored_where_the_facts_lie(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(M, "BROADCAST_BYTES", bytes_)
+    facts, asked = _facts(spark)
+    facts = facts.localCheckpoint()
+    got = M.keyword_scores(facts, asked)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    got = {(r.qid, r.id): r.keyword for r in got.collect()}
+    assert got == pytest.approx(_slow_keywords(facts, asked)) and len(got) > 200
+
+
+@pytest.mark.parametrize("bytes_, held", [(R.BROADCAST_BYTES, 250_000), (3000, 1)])
+def test_first_facts_leave_a_task(spark, monkeypatch, bytes_, held):
+    facts, asked = _facts(spark)
+    keyword, now = _slow_keywords(facts, asked), F.lit("2026-03-01").cast("timestamp_ntz")
+    priors = facts.select("id", "text", "stamp", X.entities(F.col("text")).alias("e"), M.recency(F.col("stamp"), now).alias("r"), M.usefulness(F.col("helpful"), F.col("unhelpful")).alias("u")).collect()
+    want = []
+    for q in asked.withColumn("e", X.entities(F.col("text"))).collect():
+        scored, v = [], hash_vector(q.text)
+        for f in priors:
+            x = hash_vector(f.text)
+            cos, word = max(0.0, round(float(v @ x), 6)) if x is not None else 0.0, keyword.get((q.qid, f.id), 0.0)
+            if cos or word:
+                overlap = sum(a in (f.e or ()) or (len(a) > 2 and any(a in h for h in f.e or ())) for a in q.e) / len(q.e) if q.e else 0.0
+                scored.append((round(0.42 * cos + 0.28 * word + 0.18 * overlap + 0.04 * f.r + 0.08 * f.u, 6), f.stamp, f.id))
+        scored.sort(key=lambda s: s[2])
+        scored.sort(key=lambda s: s[:2], reverse=True)
+        want += [(q.qid, i, s, rank + 1) for rank, (s, _, i) in enumerate(scored[:5])]
+    monkeypatch.setattr(M, "BROADCAST_BYTES", bytes_)
+    monkeypatch.setattr(M, "HELD", held)
+    monkeypatch.setattr(M, "BLOCK_SCORES", 40)
+    got = M.rank_facts(facts, asked, hash_token_rows, now, 5)
+    assert sorted(map(tuple, got.collect()), key=lambda r: (r[0], r[3])) == [(q, i, pytest.approx(s, abs=2e-6), r) for q, i, s, r in want]
