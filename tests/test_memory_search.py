@@ -13,6 +13,7 @@ from notelake.operators import evaluate as E
 from notelake.operators import extract as X
 from notelake.operators import memory as M
 from notelake.operators import search as R
+from notelake.sources import notes as N
 from notelake.operators.embed import embed_chain, hash_token_rows, hash_vector, hash_vectors, mean_of_pieces, piece_ids, signature, stale, word_pieces
 
 
@@ -409,3 +410,27 @@ def test_first_facts_leave_a_task(spark, monkeypatch, bytes_, held):
     monkeypatch.setattr(M, "BLOCK_SCORES", 40)
     got = M.rank_facts(facts, asked, hash_token_rows, now, 5)
     assert sorted(map(tuple, got.collect()), key=lambda r: (r[0], r[3])) == [(q, i, pytest.approx(s, abs=2e-6), r) for q, i, s, r in want]
+
+
+def test_more_queries_than_a_broadcast_holds_shuffle_no_rows(spark, monkeypatch):
+    rng = random.Random(3)
+    vectors = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(600)]  # many ties, some zeros
+    rows = spark.createDataFrame(vectors, "id long, embedding array<double>").repartition(3)
+    q = rows.where("id % 5 = 0").withColumnRenamed("id", "qid")
+    want = sorted(tuple(r) for r in R.dense(rows, q, best=4).collect())
+    unit = {i: [x / (math.sqrt(sum(y * y for y in v)) or 1) for x in v] for i, v in vectors}
+    slow = []
+    for i in range(0, 600, 5):
+        found = [(-round(sum(a * b for a, b in zip(unit[i], v)), 6), j) for j, v in unit.items()]
+        slow += [(i, j, -c) for c, j in sorted(x for x in found if x[0] < 0)[:4]]
+    assert want == sorted(slow)
+    monkeypatch.setattr(R, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(R, "ROW_CHUNK", 3)
+    monkeypatch.setattr(N, "BATCH_ROWS", 50)
+    try:
+        got = R.dense(rows, q, best=4)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "CoGroup" not in plan and plan.count("Exchange") == 1 and sorted(tuple(r) for r in got.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
