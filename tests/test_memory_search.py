@@ -358,7 +358,7 @@ def test_answers_are_cut_at_spaces_and_line_feeds_alone(spark):
     assert got == "[1] aaaa bb…\n[2] aaaa…\n[3] aaaa bb…\n[4] aaaaa…"
 
 
-def _facts(spark):
+def _tea_facts(spark):
     names = ["Ann", "Bob", "Cid"]
     rows = [(f"f{i:03}", f"{names[i % 3]} likes tea {i % 7}" if i % 10 else None, i // 4, i % 4, i % 3) for i in range(200)]
     facts = spark.createDataFrame(rows, "id string, text string, d int, helpful int, unhelpful int").repartition(3)
@@ -380,7 +380,7 @@ def _slow_keywords(facts, asked):
 @pytest.mark.parametrize("bytes_", [R.BROADCAST_BYTES, 100])
 def test_keywords_are_scored_where_the_facts_lie(spark, monkeypatch, bytes_):
     monkeypatch.setattr(M, "BROADCAST_BYTES", bytes_)
-    facts, asked = _facts(spark)
+    facts, asked = _tea_facts(spark)
     facts = facts.localCheckpoint()
     got = M.keyword_scores(facts, asked)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
@@ -390,7 +390,7 @@ def test_keywords_are_scored_where_the_facts_lie(spark, monkeypatch, bytes_):
 
 @pytest.mark.parametrize("bytes_, held", [(R.BROADCAST_BYTES, 250_000), (3000, 1)])
 def test_first_facts_leave_a_task(spark, monkeypatch, bytes_, held):
-    facts, asked = _facts(spark)
+    facts, asked = _tea_facts(spark)
     keyword, now = _slow_keywords(facts, asked), F.lit("2026-03-01").cast("timestamp_ntz")
     priors = facts.select("id", "text", "stamp", X.entities(F.col("text")).alias("e"), M.recency(F.col("stamp"), now).alias("r"), M.usefulness(F.col("helpful"), F.col("unhelpful")).alias("u")).collect()
     want = []
